@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowlantern.functions import strict_json
 from rowlantern.functions.render import CUT_MARK, cut
@@ -123,9 +123,7 @@ def value_preview(text: Column, kind: Column) -> Column:
     )
 
 
-@F.pandas_udf("boolean")
-def _strictly_json(texts: pd.Series) -> pd.Series:
-    return texts.map(strict_json.is_json)
+_strictly_json = F.pandas_udf(strict_json.all_json, T.BooleanType())
 
 
 def is_json(raw: Column) -> Column:

@@ -2,6 +2,8 @@
 
 import json
 
+import pandas as pd
+
 
 def _refuse(name):
     raise ValueError(name)
@@ -15,3 +17,7 @@ def is_json(text):
     except (ValueError, RecursionError):
         return False
     return True
+
+
+def all_json(texts: pd.Series) -> pd.Series:
+    return texts.map(is_json)

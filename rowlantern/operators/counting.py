@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowlantern.functions import find_all
 from rowlantern.functions.search_text import matches, needles, occurrences, quoted
@@ -33,9 +33,7 @@ def occurrence_total(records: DataFrame, query: str, case_sensitive: bool = Fals
     return records.agg(F.sum(occurrences(F.col(column), query, case_sensitive)).alias("occurrences"))
 
 
-@F.pandas_udf("array<long>")
-def _positions(hay: pd.Series, needle: pd.Series) -> pd.Series:
-    return pd.Series([find_all.positions(h, n) for h, n in zip(hay, needle)])
+_positions = F.pandas_udf(find_all.all_positions, T.ArrayType(T.LongType()))
 
 
 def match_spans(records: DataFrame, query: str, case_sensitive: bool = False, column: str = "text") -> DataFrame:

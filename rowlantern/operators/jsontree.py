@@ -111,6 +111,37 @@ def subtree_search(records: DataFrame, path: Sequence[PathSegment], query: str,
     return found.where(matches(hay, query, key_value=False))
 
 
+def _expand_once(preview_chars: int):
+    """Replace a container that is still folded by itself and its children."""
+    node = F.col("node")
+    prefix = F.when(node["path"] == "", "").otherwise(F.concat(node["path"], F.lit(".")))
+
+    def child(c):
+        path = F.when(
+            node["kind"] == "array", F.concat(node["path"], F.lit("["), c["seg"], F.lit("]"))
+        ).otherwise(F.concat(prefix, c["seg"]))
+        return F.struct(
+            path.alias("path"), (node["depth"] + 1).alias("depth"), c["pos"].alias("pos"), c["seg"].alias("seg"),
+            c["kind"].alias("kind"), F.lit(None).cast("long").alias("child_count"),
+            cut(c["text"], preview_chars).alias("preview"),
+            F.when(c["kind"].isin("object", "array"), c["text"]).alias("text"))
+
+    def unfolded(kids):
+        own = F.struct(
+            node["path"].alias("path"), node["depth"].alias("depth"), node["pos"].alias("pos"),
+            node["seg"].alias("seg"), node["kind"].alias("kind"),
+            F.coalesce(F.size(kids), F.lit(0)).cast("long").alias("child_count"),
+            node["preview"].alias("preview"), F.lit(None).cast("string").alias("text"))
+        return F.concat(F.array(own), F.coalesce(F.transform(kids, child), F.array().cast(own_type)))
+
+    own_type = ("array<struct<path:string,depth:int,pos:bigint,seg:string,kind:string,child_count:bigint,"
+                "preview:string,text:string>>")
+    # An array of one stands for "let kids be ...": the JSON is parsed once.
+    kids = F.array(children_of(node["text"], node["kind"]))
+    return F.explode(F.when(node["text"].isNull(), F.array(node)).otherwise(
+        F.flatten(F.transform(kids, unfolded)))).alias("node")
+
+
 def nodes(records: DataFrame, max_depth: int = MAX_DEPTH, column: str = "raw",
           preview_chars: int = PREVIEW_CHARS) -> DataFrame:
     """Every node of every record: path, depth, pos, seg, kind, child_count, preview.
@@ -127,23 +158,9 @@ def nodes(records: DataFrame, max_depth: int = MAX_DEPTH, column: str = "raw",
         F.lit(None).cast("string").alias("seg"), kind.alias("kind"),
         F.lit(None).cast("long").alias("child_count"), cut(raw, preview_chars).alias("preview"),
         F.when(kind.isin("object", "array"), raw).alias("text")).alias("node"))
-    for depth in range(1, max_depth + 1):
-        df = df.select(*keys, F.col("node"), F.when(
-            F.col("node.text").isNotNull(), children_of(F.col("node.text"), F.col("node.kind"))).alias("kids"))
-        below = F.transform("kids", lambda c: F.struct(
-            F.concat(F.col("node.path"), F.when(
-                F.col("node.kind") == "array", F.concat(F.lit("["), c["seg"], F.lit("]"))).otherwise(
-                F.concat(F.when(F.col("node.path") == "", "").otherwise("."), c["seg"]))).alias("path"),
-            F.lit(depth).alias("depth"), c["pos"].alias("pos"), c["seg"].alias("seg"), c["kind"].alias("kind"),
-            F.lit(None).cast("long").alias("child_count"), cut(c["text"], preview_chars).alias("preview"),
-            F.when(c["kind"].isin("object", "array"), c["text"]).alias("text")))
-        own = F.array(F.struct(
-            F.col("node.path").alias("path"), F.col("node.depth").alias("depth"), F.col("node.pos").alias("pos"),
-            F.col("node.seg").alias("seg"), F.col("node.kind").alias("kind"),
-            F.coalesce(F.col("node.child_count"), F.size("kids").cast("long")).alias("child_count"),
-            F.col("node.preview").alias("preview"), F.lit(None).cast("string").alias("text")))
-        kept = F.when(F.col("kids").isNull(), F.array(F.col("node"))).otherwise(F.concat(own, below))
-        df = df.select(*keys, F.explode(kept).alias("node"))
+    step = _expand_once(preview_chars)  # the same expression at every level
+    for _ in range(max_depth):
+        df = df.select(*keys, step)
     text, kind = F.col("node.text"), F.col("node.kind")
     left = text.isNotNull()
     return df.select(
