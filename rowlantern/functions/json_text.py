@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,23 +24,20 @@ PREVIEW_KEYS = 6
 PREVIEW_STRING = 160
 
 
+# Kind of a JSON value by its first character.
+_KINDS = {"{": "object", "[": "array", '"': "string", "t": "boolean", "f": "boolean", "n": "null",
+          "-": "number", **{str(d): "number" for d in range(10)}}
+
+
 def kind_of_text(text: Column) -> Column:
     """Kind of a JSON value from its first character."""
-    c = F.substring(F.ltrim(text, F.lit(" \t\r\n\x00")), 1, 1)
-    return (
-        F.when(c == "{", "object").when(c == "[", "array").when(c == '"', "string")
-        .when(c.isin("t", "f"), "boolean").when(c == "n", "null")
-        .when((c == "-") | c.between("0", "9"), "number").otherwise("unknown")
-    )
+    return _kind_of_first(F.substring(F.ltrim(text, F.lit(" \t\r\n\x00")), 1, 1))
 
 
-def kind_of_variant(v: Column) -> Column:
-    s = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull() | (s == "VOID"), "null")
-        .when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array")
-        .when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").otherwise("number")
-    )
+def _kind_of_first(c: Column) -> Column:
+    # A lookup evaluates its argument once; a chain of conditions would repeat it.
+    table = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
+    return F.when(c.isNotNull(), F.coalesce(F.try_element_at(table, c), F.lit("unknown")))
 
 
 def child_count(text: Column, kind: Column) -> Column:
@@ -51,22 +48,31 @@ def child_count(text: Column, kind: Column) -> Column:
 
 
 def children_of(text: Column, kind: Column) -> Column:
-    """ARRAY<STRUCT<pos, seg, kind, text>> of the direct children, in document order."""
-    def item(pos, seg, v, s):
-        k = kind_of_variant(v)
-        return F.struct(
-            pos.cast("long").alias("pos"), seg.cast("string").alias("seg"), k.alias("kind"),
-            F.when(k.isin("object", "array"), s).otherwise(F.coalesce(F.to_json(v), F.lit("null"))).alias("text"))
+    """ARRAY<STRUCT<pos, seg, kind, text>> of the direct children, in document order.
 
+    Each child is read as a VARIANT, which keeps "1" and 1 apart, and as text,
+    which keeps the key order inside a nested value.
+    """
     elements = F.arrays_zip(
         F.from_json(text, "array<variant>").alias("v"), F.from_json(text, "array<string>").alias("s"))
     entries = F.arrays_zip(
         F.map_entries(F.from_json(text, "map<string,variant>")).alias("v"),
         F.map_entries(F.from_json(text, "map<string,string>")).alias("s"))
+
+    def read(key, v, s):
+        return F.struct(key.alias("seg"), F.coalesce(F.to_json(v), F.lit("null")).alias("t"), s.alias("s"))
+
+    def item(c, i):
+        first = F.substring(c["t"], 1, 1)
+        return F.struct(
+            i.cast("long").alias("pos"), c["seg"].alias("seg"), _kind_of_first(first).alias("kind"),
+            F.when(first.isin("{", "["), c["s"]).otherwise(c["t"]).alias("text"))
+
     return (
-        F.when(kind == "array", F.transform(elements, lambda e, i: item(i, i, e["v"], e["s"])))
+        F.when(kind == "array", F.transform(
+            F.transform(elements, lambda e, i: read(i.cast("string"), e["v"], e["s"])), item))
         .when(kind == "object", F.transform(
-            entries, lambda e, i: item(i, e["v"]["key"], e["v"]["value"], e["s"]["value"])))
+            F.transform(entries, lambda e: read(e["v"]["key"], e["v"]["value"], e["s"]["value"])), item))
     )
 
 
@@ -84,7 +90,7 @@ def _plain(seg: PathSegment) -> str | None:
 def text_at(raw: Column, path: Sequence[PathSegment]) -> Column:
     """JSON text of the value at ``path``; NULL when the path does not lead anywhere."""
     if not path:
-        return F.trim(raw, F.lit(" \t\r\n\x00"))
+        return raw
     steps = [_plain(s) for s in path]
     parent, last = text_at(raw, path[:-1]), path[-1]
     if None in steps:
@@ -126,20 +132,21 @@ def value_preview(text: Column, kind: Column) -> Column:
 _strictly_json = F.pandas_udf(strict_json.all_json, T.BooleanType())
 
 
-def is_json(raw: Column) -> Column:
-    """Is the text exactly one JSON value?
+def with_json_ok(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds a flag: is the text exactly one JSON value?
 
-    The built-in parsers stop after the first value, so the text is followed by
-    a token no value can hold (its own digest): only a text that is one complete
-    value leaves an array of two.  That parser also lets through single quotes
-    and raw control characters; the strict VARIANT parser settles those, and
-    the few rows it refuses (say, for repeated keys) get a second opinion.
+    The built-in parsers stop after the first value, so the text is put in an
+    array, followed by a token no value can hold (its own digest): only a text
+    that is one complete value leaves that token in second place.  The VARIANT
+    parser is strict but also refuses repeated keys and very long strings; the
+    few rows where a lenient parser disagrees get a second opinion.
     """
+    raw = F.col(column)
     framed = F.concat(F.lit("["), raw, F.lit(',"'), F.md5(raw), F.lit('"]'))
-    lenient = F.coalesce(F.json_array_length(framed) == 2, F.lit(False)) & (
-        F.coalesce(F.get_json_object(framed, "$[1]"), F.lit("")) == F.md5(raw))
-    strict = F.try_parse_json(framed).isNotNull()
-    # A string beyond the parsers' own size limit is not a verdict on the text.
-    large = F.octet_length(raw) > 10_000_000
-    doubtful = F.coalesce((lenient & ~strict) | large, F.lit(False))
-    return F.when(raw.isNull(), False).when(doubtful, _strictly_json(F.when(doubtful, raw))).otherwise(lenient)
+    strict = F.try_variant_get(F.try_parse_json(framed), "$[1]", "string") == F.md5(raw)
+    lenient = (F.json_array_length(framed) == 2) | (F.octet_length(raw) > 10_000_000)
+    flagged = df.withColumn("_strict", F.coalesce(strict, F.lit(False)))
+    flagged = flagged.withColumn("_doubt", ~F.col("_strict") & F.coalesce(lenient, F.lit(False)))
+    opinion = _strictly_json(F.when(F.col("_doubt"), raw))
+    verdict = F.col("_strict") | (F.col("_doubt") & F.coalesce(opinion, F.lit(False)))
+    return flagged.withColumn(name, verdict).drop("_strict", "_doubt")

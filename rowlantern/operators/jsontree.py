@@ -64,7 +64,8 @@ def node_summary(records: DataFrame, path: Sequence[PathSegment] = (), max_items
     at = subtree(records, path, "skip", column)
     n = child_count(F.col("value"), F.col("kind"))
     return at.select(
-        *key_columns(records), "kind", F.least(n, F.lit(max_items).cast("long")).alias("child_count"),
+        *key_columns(records), "kind",
+        F.when(n.isNotNull(), F.least(n, F.lit(max_items).cast("long"))).alias("child_count"),
         (n.isNull() | (n <= max_items)).alias("complete"))
 
 
@@ -111,9 +112,8 @@ def subtree_search(records: DataFrame, path: Sequence[PathSegment], query: str,
     return found.where(matches(hay, query, key_value=False))
 
 
-def _expand_once(preview_chars: int):
-    """Replace a container that is still folded by itself and its children."""
-    node = F.col("node")
+def _children_as_nodes(node, preview_chars: int):
+    """A folded container as itself and, behind it, its children; any other node alone."""
     prefix = F.when(node["path"] == "", "").otherwise(F.concat(node["path"], F.lit(".")))
 
     def child(c):
@@ -132,38 +132,40 @@ def _expand_once(preview_chars: int):
             node["seg"].alias("seg"), node["kind"].alias("kind"),
             F.coalesce(F.size(kids), F.lit(0)).cast("long").alias("child_count"),
             node["preview"].alias("preview"), F.lit(None).cast("string").alias("text"))
-        return F.concat(F.array(own), F.coalesce(F.transform(kids, child), F.array().cast(own_type)))
+        return F.when(kids.isNull(), F.array(own)).otherwise(F.concat(F.array(own), F.transform(kids, child)))
 
-    own_type = ("array<struct<path:string,depth:int,pos:bigint,seg:string,kind:string,child_count:bigint,"
-                "preview:string,text:string>>")
     # An array of one stands for "let kids be ...": the JSON is parsed once.
     kids = F.array(children_of(node["text"], node["kind"]))
-    return F.explode(F.when(node["text"].isNull(), F.array(node)).otherwise(
-        F.flatten(F.transform(kids, unfolded)))).alias("node")
+    return F.when(node["text"].isNull(), F.array(node)).otherwise(F.flatten(F.transform(kids, unfolded)))
 
 
 def nodes(records: DataFrame, max_depth: int = MAX_DEPTH, column: str = "raw",
           preview_chars: int = PREVIEW_CHARS) -> DataFrame:
     """Every node of every record: path, depth, pos, seg, kind, child_count, preview.
 
-    One narrow stage: each level replaces a container by itself and its
-    children, so the input is read once and nothing is shuffled.  A container at
-    ``max_depth`` is listed with its child count and ``expanded`` false.
+    One narrow stage: a record unfolds level by level inside its own row and
+    stops at its own depth, so the input is read once and nothing is shuffled.
+    A container at ``max_depth`` is listed with its child count and ``expanded``
+    false.
     """
     keys = key_columns(records)
-    raw = text_at(F.col(column), [])
+    raw = F.col(column)
     kind = kind_of_text(raw)
-    df = records.select(*keys, F.struct(
+    root = F.struct(
         F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("pos"),
-        F.lit(None).cast("string").alias("seg"), kind.alias("kind"),
-        F.lit(None).cast("long").alias("child_count"), cut(raw, preview_chars).alias("preview"),
-        F.when(kind.isin("object", "array"), raw).alias("text")).alias("node"))
-    step = _expand_once(preview_chars)  # the same expression at every level
-    for _ in range(max_depth):
-        df = df.select(*keys, step)
-    text, kind = F.col("node.text"), F.col("node.kind")
-    left = text.isNotNull()
-    return df.select(
-        *keys, "node.path", "node.depth", "node.pos", "node.seg", "node.kind",
-        F.when(left, child_count(text, kind)).otherwise(F.col("node.child_count")).alias("child_count"),
-        "node.preview", (~left).alias("expanded"))
+        F.lit(None).cast("string").alias("seg"), F.col("kind"), F.lit(None).cast("long").alias("child_count"),
+        cut(raw, preview_chars).alias("preview"),
+        F.when(F.col("kind").isin("object", "array"), raw).alias("text"))
+
+    def one_level(found, _):
+        folded = F.exists(found, lambda n: n["text"].isNotNull())
+        return F.when(folded, F.flatten(F.transform(found, lambda n: _children_as_nodes(n, preview_chars)))).otherwise(found)
+
+    levels = F.sequence(F.lit(1), F.lit(max_depth)) if max_depth else F.array().cast("array<int>")
+    listed = records.where(raw.isNotNull()).select(*keys, raw, kind.alias("kind")).select(
+        *keys, F.inline(F.aggregate(levels, F.array(root), one_level)))
+    left = F.col("text").isNotNull()
+    return listed.select(
+        *keys, "path", "depth", "pos", "seg", "kind",
+        F.when(left, child_count(F.col("text"), F.col("kind"))).otherwise(F.col("child_count")).alias("child_count"),
+        "preview", (~left).alias("expanded"))

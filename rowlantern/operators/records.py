@@ -36,4 +36,4 @@ def get_records(records: DataFrame, ids, max_bytes: int = MAX_RECORD_BYTES) -> D
 
 def json_validity(records: DataFrame, column: str = "raw") -> DataFrame:
     """Adds ``json_ok``: is the record exactly one JSON value?"""
-    return records.withColumn("json_ok", json_text.is_json(F.col(column)))
+    return json_text.with_json_ok(records, column, "json_ok")

@@ -78,5 +78,8 @@ def write_values(df: DataFrame, order: list[str], out_format: str, out_path: str
     if out_format == "json":
         lines = lines.mapInArrow(framing.json_array, "value string")
     lines.write.mode(mode).option("lineSep", "\n").text(out_path)
+    if out_format == "json" and written.get["n"] == 0 and mode in ("errorifexists", "error", "overwrite"):
+        # Without rows there may be no part at all; an empty export is still an array.
+        spark.range(1, numPartitions=1).select(F.lit("[]")).write.mode("overwrite").text(out_path)
     return spark.createDataFrame([(out_path, out_format, written.get["n"])],
                                  "path string, format string, records_written long")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowlantern.sources import kernels
 from rowlantern.sources.splits import (
-    assemble, carried_splits, has_straddlers, scan_pieces, straddling_records)
+    assemble, carried_splits, overview, scan_pieces, straddling_records)
 
 
 def read_csv(spark: SparkSession, paths) -> DataFrame:
@@ -20,12 +20,14 @@ def read_csv(spark: SparkSession, paths) -> DataFrame:
     # The first pass needs text only where a quote occurs, or where the header may be.
     wanted = F.when(F.col("value").contains('"') | (F.col("block_start") == 0), F.col("value").cast("binary"))
     splits = carried_splits(lines, kernels.summarise_csv, wanted, level=0)
-    _check_headers(splits)
-    whole = assemble(lines, splits, kernels.assemble_csv)
-    if not has_straddlers(splits):
+    seen = overview(splits)
+    if seen.headless:
+        _check_headers(splits)
+    whole = assemble(lines, splits, seen.n_splits, kernels.assemble_csv)
+    if not seen.cut:
         return whole
     heads = splits.where("block_start = 0").select("file", "head", "bom", "file_size")
-    pieces = straddling_records(lines, splits, "\n").join(heads, "file", "left")
+    pieces = straddling_records(lines, splits, seen.n_splits, "\n").join(heads, "file", "left")
     marked = (F.col("record_id") == 0) & (F.col("bom") > 0)
     at = F.when(marked, 0).otherwise(F.col("byte_offset"))
     located = pieces.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rowlantern.sources import kernels
 from rowlantern.sources.splits import (
-    MAX_RECORD_BYTES, assemble, carried_splits, has_straddlers, scan_pieces, straddling_records)
+    MAX_RECORD_BYTES, assemble, carried_splits, overview, scan_pieces, straddling_records)
 
 # A root array is cut at commas, so even a file without line breaks is read in
 # splits; concatenated values are cut at line breaks.
@@ -28,34 +28,33 @@ def read_json(spark: SparkSession, paths, shape: str = "auto") -> DataFrame:
         return _values(spark, paths)
     pieces = scan_pieces(spark, paths, _ARRAY)
     splits = carried_splits(pieces, kernels.summarise_json(b",", True), F.col("value").cast("binary"), level=1)
-    if shape == "array":
-        return _records(pieces, splits, _ARRAY, True)
-    # One row per file, and only of files that are not arrays; the driver lists them anyway.
-    others = [r.file for r in splits.where("block_start = 0")
-              .where(F.col("head").isNull() | (F.col("head") != F.lit(b"[")))
-              .select("file").toLocalIterator()]
-    if not others:
-        return _records(pieces, splits, _ARRAY, True)
-    values = _values(spark, [as_path(f) for f in others])
-    arrays = [as_path(r.file) for r in splits.where("block_start = 0").where(F.col("head") == F.lit(b"["))
-              .select("file").toLocalIterator()]
-    if not arrays:
+    seen = overview(splits)
+    if shape == "array" or not seen.others:
+        return _records(pieces, splits, seen, _ARRAY, True)
+    heads = splits.where("block_start = 0")
+    values = _values(spark, _paths(heads.where(F.col("head").isNull() | (F.col("head") != F.lit(b"[")))))
+    if not seen.arrays:
         return values
-    return values.unionByName(read_json(spark, arrays, shape="array"))
+    return values.unionByName(read_json(spark, _paths(heads.where(F.col("head") == F.lit(b"["))), shape="array"))
+
+
+def _paths(heads: DataFrame) -> list[str]:
+    """One row per file of a mixed folder; Spark's own file index on the driver holds the same list."""
+    return [as_path(r.file) for r in heads.select("file").toLocalIterator()]
 
 
 def _values(spark, paths):
     pieces = scan_pieces(spark, paths, _VALUES)
     splits = carried_splits(pieces, kernels.summarise_json(b"\n", False), F.col("value").cast("binary"), level=0)
-    return _records(pieces, splits, _VALUES, False)
+    return _records(pieces, splits, overview(splits), _VALUES, False)
 
 
-def _records(pieces, splits, sep, array_file):
-    whole = assemble(pieces, splits, kernels.assemble_json(sep.encode(), array_file))
-    if not has_straddlers(splits):
+def _records(pieces, splits, seen, sep, array_file):
+    whole = assemble(pieces, splits, seen.n_splits, kernels.assemble_json(sep.encode(), array_file))
+    if not seen.cut:
         return whole
     text = F.trim(F.make_valid_utf8(F.col("body").cast("string")), F.lit(_TRIM))
-    cut = straddling_records(pieces, splits, sep).select(
+    cut = straddling_records(pieces, splits, seen.n_splits, sep).select(
         "file", "record_id", "byte_offset",
         F.when(F.col("byte_len") > MAX_RECORD_BYTES, F.col("byte_len"))
         .otherwise(F.octet_length(F.trim(F.col("body").cast("string"), F.lit(_TRIM)))).cast("long").alias("byte_len"),

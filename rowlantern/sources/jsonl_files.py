@@ -27,7 +27,7 @@ def read_jsonl(spark: SparkSession, paths, locations: bool = True) -> DataFrame:
     facts = ["base_id", "base_off", "bom"]
     text = F.rtrim(F.make_valid_utf8("value"), F.lit("\r\n")).alias("text")
     record_id = (F.col("base_id") + F.col("piece")).alias("record_id")
-    numbered = attach_splits(lines, splits, facts)
+    numbered = attach_splits(lines, splits, splits.count(), facts)
     if not locations:
         out = numbered.select("file", record_id, text)
         return out.withColumn("raw", F.col("text"))

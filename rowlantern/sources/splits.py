@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowlantern.session import materialise, pin_split_layout
@@ -47,10 +46,10 @@ def piece_bytes() -> Column:
     return F.octet_length("value").cast("long") + 1
 
 
-def attach_splits(pieces: DataFrame, splits: DataFrame, columns: list[str]) -> DataFrame:
+def attach_splits(pieces: DataFrame, splits: DataFrame, n_splits: int, columns: list[str]) -> DataFrame:
     """Join each piece to its split row; fail rather than number rows wrongly."""
     small = splits.select(*SPLIT_KEY, "first_seq", "n_pieces", *columns)
-    if splits.count() <= BROADCAST_SPLITS:
+    if n_splits <= BROADCAST_SPLITS:
         small = F.broadcast(small)
     joined = pieces.join(small, SPLIT_KEY, "left")
     moved = F.raise_error(F.lit("file splits changed between two scans of the same data"))
@@ -63,89 +62,77 @@ def _before(w):
     return w.rowsBetween(W.unboundedPreceding, -1)
 
 
-def place_lines(per_split: DataFrame) -> DataFrame:
-    """First record id and byte offset of each split when every piece is a record."""
-    w = W.partitionBy("file").orderBy("block_start")
-    whole = W.partitionBy("file")
-    return per_split.select(
-        "*",
-        F.coalesce(F.sum("n_pieces").over(_before(w)), F.lit(0)).alias("base_id"),
-        F.coalesce(F.sum("n_bytes").over(_before(w)), F.lit(0)).alias("raw_off"),
-        _mark_bytes(F.sum("n_bytes").over(whole)).alias("bom"),
-    ).withColumn("base_off", F.col("raw_off") + F.col("bom"))
+# Bytes of a leading byte-order mark, which the line reader swallows: pieces plus
+# one separator each add up to the file size, or to one more when the last
+# separator is missing; a surplus of two or three is the mark.
+_MARK = "IF(file_size - total >= 2, 3, 0)"
+_WINDOWS = """WINDOW upto AS (PARTITION BY file ORDER BY block_start ROWS UNBOUNDED PRECEDING),
+    before AS (PARTITION BY file ORDER BY block_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    after AS (PARTITION BY file ORDER BY block_start ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING),
+    whole AS (PARTITION BY file ORDER BY block_start ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+
+_PLACE_LINES = f"""
+WITH a AS (
+    SELECT *, coalesce(sum(n_pieces) OVER before, 0) AS base_id, coalesce(sum(n_bytes) OVER before, 0) AS raw_off,
+           sum(n_bytes) OVER whole AS total
+    FROM {{splits}} {_WINDOWS})
+SELECT *, {_MARK} AS bom, raw_off + {_MARK} AS base_off FROM a
+"""
 
+# A split maps the quote state {closed, open} to itself, swaps it, or forces it,
+# so the state on entry is the last forced value, flipped once per later swap.
+# Bracket depth, record counts and bytes then add up as plain prefix sums.
+_PLACE_CARRIED = f"""
+WITH a AS (
+    SELECT *, int(out0 = 1 AND out1 = 0) AS swap FROM {{summary}}
+), b AS (
+    SELECT *, sum(swap) OVER upto AS swaps, coalesce(sum(swap) OVER before, 0) AS swaps_before,
+           coalesce(sum(n_bytes) OVER before, 0) AS raw_off, sum(n_bytes) OVER whole AS total,
+           first_value(head) OVER upto AS file_head
+    FROM a {_WINDOWS}
+), c AS (
+    SELECT *, int((coalesce(last_value(IF(out0 = out1, out0 + swaps, NULL)) IGNORE NULLS OVER before, 0)
+                   + swaps_before) % 2) AS entry_inside
+    FROM b {_WINDOWS}
+), d AS (
+    SELECT *, IF(entry_inside = 0, out0, out1) AS exit_inside,
+           int(coalesce(sum(IF(entry_inside = 0, delta0, delta1)) OVER before, 0)) AS entry_depth,
+           int(sum(IF(entry_inside = 0, delta0, delta1)) OVER upto) AS exit_depth
+    FROM c {_WINDOWS}
+), e AS (
+    SELECT *, try_element_at(filter(starts, s -> s.inside = entry_inside AND s.rel = {{level}} - entry_depth), 1) AS any_start,
+           try_element_at(filter(closes, s -> s.inside = entry_inside AND s.rel = -entry_depth AND {{level}} > 0), 1) AS close
+    FROM d
+), f AS (
+    SELECT *, coalesce(max(close IS NOT NULL) OVER before, false) AS closed_before FROM e {_WINDOWS}
+), g AS (
+    -- Starts behind the end of the root value belong to nothing.
+    SELECT *, IF(NOT closed_before AND (close IS NULL OR any_start.first_off < close.off), any_start, NULL) AS start FROM f
+), h AS (
+    -- Where the record that is still open at a split's end stops.
+    SELECT *, coalesce(start.n, 0) AS n_starts,
+           coalesce(first_value(least(raw_off + start.first_off, raw_off + close.off)) IGNORE NULLS OVER after, file_size)
+               - raw_off - start.last_off AS tail_span
+    FROM g {_WINDOWS}
+)
+SELECT file, block_start, block_length, file_size, first_seq, n_pieces, n_bytes, entry_inside, entry_depth,
+       closed_before, close, start, n_starts, file_head AS head, raw_off, tail_span,
+       last_value(tail_span) IGNORE NULLS OVER before AS head_span,
+       NOT closed_before AND (entry_inside = 1 OR entry_depth > {{level}}) AS entry_open,
+       NOT closed_before AND close IS NULL AND (exit_inside = 1 OR exit_depth > {{level}}) AS exit_open,
+       coalesce(sum(n_starts) OVER before, 0) AS base_id, {_MARK} AS bom, raw_off + {_MARK} AS base_off
+FROM h {_WINDOWS}
+"""
 
-def _mark_bytes(total: Column) -> Column:
-    """Bytes of a leading byte-order mark, which the line reader swallows.
 
-    Pieces plus one separator each add up to the file size, or one more when the
-    last separator is missing; a surplus of two or three is the mark.
-    """
-    return F.when(F.col("file_size") - total >= 2, 3).otherwise(0)
+def place_lines(per_split: DataFrame) -> DataFrame:
+    """First record id and byte offset of each split when every piece is a record."""
+    return per_split.sparkSession.sql(_PLACE_LINES, splits=per_split)
 
 
 def place_carried(summary: DataFrame, level: int) -> DataFrame:
-    """Entry state of each split, composed along its file.
-
-    A split maps the quote state {closed, open} to itself, swaps it, or forces
-    it, so the state on entry is the last forced value flipped once per later
-    swap.  Bracket depth and record counts then add up as plain prefix sums.
-    """
-    w = W.partitionBy("file").orderBy("block_start")
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    swap = ((F.col("out0") == 1) & (F.col("out1") == 0)).cast("int")
-    forced = F.col("out0") == F.col("out1")
-    df = summary.withColumn("swap", swap).withColumn("swaps", F.sum("swap").over(upto))
-    df = df.withColumn("anchor", F.when(forced, F.col("out0") + F.col("swaps")))
-    df = df.withColumn("entry_inside", (
-        (F.coalesce(F.last("anchor", ignorenulls=True).over(_before(w)), F.lit(0))
-         + F.coalesce(F.sum("swap").over(_before(w)), F.lit(0))) % 2).cast("int"))
-    df = df.withColumn("delta", F.when(F.col("entry_inside") == 0, F.col("delta0")).otherwise(F.col("delta1")))
-    df = df.withColumn("entry_depth", F.coalesce(F.sum("delta").over(_before(w)), F.lit(0)).cast("int"))
-    df = df.withColumn("exit_depth", F.col("entry_depth") + F.col("delta"))
-    df = df.withColumn("exit_inside", F.when(F.col("entry_inside") == 0, F.col("out0")).otherwise(F.col("out1")))
-
-    def pick(column, rel):
-        hit = F.filter(column, lambda s: (s["inside"] == F.col("entry_inside")) & (s["rel"] == rel))
-        return F.try_element_at(hit, F.lit(1))
-
-    df = df.withColumn("start", pick("starts", F.lit(level) - F.col("entry_depth")))
-    if level:
-        df = df.withColumn("close", pick("closes", -F.col("entry_depth")))
-    else:
-        df = df.withColumn("close", F.try_element_at("closes", F.lit(1)))
-        df = df.withColumn("close", F.when(F.lit(False), F.col("close")))
-    closed = F.col("close").isNotNull().cast("int")
-    df = df.withColumn("closed", closed)
-    df = df.withColumn("closed_before", F.coalesce(F.max("closed").over(_before(w)), F.lit(0)))
-    # Starts behind the end of the root value belong to nothing.
-    df = df.withColumn("start", F.when(
-        (F.col("closed_before") == 0)
-        & (F.col("close").isNull() | (F.col("start.first_off") < F.col("close.off"))), F.col("start")))
-    df = df.withColumn("n_starts", F.coalesce(F.col("start.n"), F.lit(0)))
-    # Where the record that is open at a split's end, or at its start, stops.
-    after = w.rowsBetween(1, W.unboundedFollowing)
-    begin_here = F.when(F.col("n_starts") > 0, F.col("raw_off") + F.col("start.first_off"))
-    close_here = F.when(F.col("closed") == 1, F.col("raw_off") + F.col("close.off"))
-    df = df.withColumn("raw_off", F.coalesce(F.sum("n_bytes").over(_before(w)), F.lit(0)))
-    df = df.withColumn("stop_here", F.least(begin_here, close_here))
-    df = df.withColumn("stop_after", F.coalesce(
-        F.first("stop_here", ignorenulls=True).over(after), F.col("file_size")))
-    df = df.withColumn("tail_span", F.when(
-        F.col("n_starts") > 0, F.col("stop_after") - F.col("raw_off") - F.col("start.last_off")))
-    df = df.withColumn("head_span", F.last("tail_span", ignorenulls=True).over(_before(w)))
-    busy = (F.col("entry_inside") == 1) | (F.col("entry_depth") > level)
-    left = (F.col("exit_inside") == 1) | (F.col("exit_depth") > level)
-    return df.select(
-        *SPLIT_KEY, "file_size", "first_seq", "n_pieces", "n_bytes", "entry_inside", "entry_depth",
-        "closed_before", "close", "start", "n_starts",
-        (busy & (F.col("closed_before") == 0)).alias("entry_open"),
-        (left & (F.col("closed") == 0) & (F.col("closed_before") == 0)).alias("exit_open"),
-        F.coalesce(F.sum("n_starts").over(_before(w)), F.lit(0)).alias("base_id"),
-        "raw_off", "head_span", "tail_span",
-        _mark_bytes(F.sum("n_bytes").over(W.partitionBy("file"))).alias("bom"),
-        F.first("head").over(w).alias("head"),
-    ).withColumn("base_off", F.col("raw_off") + F.col("bom"))
+    """Entry state, first record id and byte offset of each split, composed along its file."""
+    return summary.sparkSession.sql(_PLACE_CARRIED, summary=summary, level=level)
 
 
 def info_once(columns: list[str]) -> Column:
@@ -164,21 +151,29 @@ def carried_splits(pieces: DataFrame, kernel, value: Column, level: int) -> Data
     return materialise(place_carried(summarise(pieces, kernel, value), level))
 
 
-def assemble(pieces: DataFrame, splits: DataFrame, kernel) -> DataFrame:
+def overview(splits: DataFrame):
+    """Counts that steer the second pass, from one look at the per-split table."""
+    first = F.col("block_start") == 0
+    return splits.agg(
+        F.count("*").alias("n_splits"),
+        F.count_if(F.col("entry_open") | F.col("exit_open")).alias("cut"),
+        F.count_if(first & F.col("head").isNull()).alias("headless"),
+        F.count_if(first & F.coalesce(F.col("head") == F.lit(b"["), F.lit(False))).alias("arrays"),
+        F.count_if(first & F.coalesce(F.col("head") != F.lit(b"["), F.lit(True))).alias("others"),
+    ).first()
+
+
+def assemble(pieces: DataFrame, splits: DataFrame, n_splits: int, kernel) -> DataFrame:
     """Records that begin and end inside one split, cut without any shuffle."""
     facts = ["block_start", "file", "file_size", "entry_inside", "entry_depth", "closed_before",
              "base_id", "base_off", "bom", "head"]
-    joined = attach_splits(pieces, splits, ["entry_inside", "entry_depth", "closed_before",
+    joined = attach_splits(pieces, splits, n_splits, ["entry_inside", "entry_depth", "closed_before",
                                             "base_id", "base_off", "bom", "head"])
     fed = joined.select(F.col("value").cast("binary").alias("value"), info_once(facts))
     return fed.mapInArrow(kernel, kernels.RECORDS_DDL)
 
 
-def has_straddlers(splits: DataFrame) -> bool:
-    return not splits.where("entry_open or exit_open").isEmpty()
-
-
-def straddling_records(pieces: DataFrame, splits: DataFrame, sep: str) -> DataFrame:
+def straddling_records(pieces: DataFrame, splits: DataFrame, n_splits: int, sep: str) -> DataFrame:
     """Records cut by a split boundary, put together from their pieces only.
 
     Yields file, record_id, byte_offset, byte_len, body (binary).  A record over
@@ -186,7 +181,7 @@ def straddling_records(pieces: DataFrame, splits: DataFrame, sep: str) -> DataFr
     """
     spans = ["start", "close", "entry_open", "exit_open", "n_starts", "base_id", "base_off",
              "head_span", "tail_span"]
-    facts = attach_splits(pieces, splits, spans).where("entry_open or exit_open")
+    facts = attach_splits(pieces, splits, n_splits, spans).where("entry_open or exit_open")
     value, size = F.col("value").cast("binary"), F.octet_length("value")
     none = F.col("n_starts") == 0
 
