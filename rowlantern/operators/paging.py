@@ -14,17 +14,26 @@ PAGE_SIZE = 10
 HITS_PAGE_SIZE = 50
 
 
-def next_page(records: DataFrame, record_id: int = 0, size: int = PAGE_SIZE, file: str | None = None) -> DataFrame:
+def next_page(records: DataFrame, record_id: int = 0, size: int = PAGE_SIZE, file: str | None = None,
+              dense: bool = False) -> DataFrame:
     """``size`` records from ``record_id`` on, with ``next_id`` (NULL at the end) and ``eof``.
 
     The bound is a filter on the key, so a deep page costs what the first one
     does.  With several files give the file the page starts in; the page runs on
     into the next file and ``next_file`` says where.
+
+    ``dense`` promises that no record was filtered out, so ids have no gaps.
+    Then only ``size + 1`` ids per file can be on the page, and the rest is
+    dropped before its text is rendered.
     """
     keys = key_columns(records)
-    start = F.col("record_id") >= record_id
+    last_id = record_id + size if dense else (1 << 63) - 1
+    start = F.col("record_id").between(record_id, last_id)
     if file is not None:
-        start = (F.col("file") > file) | ((F.col("file") == file) & start)
+        later = F.col("file") > file
+        if dense:
+            later = later & (F.col("record_id") <= size)
+        start = later | ((F.col("file") == file) & start)
     top = records.where(start).orderBy(*keys).limit(size + 1)
     w, all_rows = W.orderBy(*keys), W.partitionBy()
     n = F.row_number().over(w)

@@ -45,7 +45,7 @@ def scan_jsonl_records(spark, sf):
 
 
 def scan_json_array_records(spark, sf):
-    return _scanned_documents(read_json(spark, documents_as(spark, sf, "json")))
+    return _scanned_documents(read_json(spark, documents_as(spark, sf, "json"), layout="lines"))
 
 
 def scan_csv_records(spark, sf):
@@ -124,7 +124,7 @@ def search_hits_page(spark, sf):
 
 
 def search_current_page(spark, sf):
-    page = op.record_view(op.next_page(documents(spark, sf).select("record_id", "text", "raw")))
+    page = op.record_view(op.next_page(documents(spark, sf).select("record_id", "text", "raw"), dense=True))
     return op.search_page(page, PHRASE).select("record_id")
 
 
@@ -181,7 +181,7 @@ def selection_difference(spark, sf):
 
 def next_page(spark, sf):
     orders = table(spark, sf, "orders").select("record_id", "o_orderstatus")
-    return op.next_page(orders, record_id=100).select("record_id", "o_orderstatus", "next_id", "eof")
+    return op.next_page(orders, record_id=100, dense=True).select("record_id", "o_orderstatus", "next_id", "eof")
 
 
 def page_at_offset(spark, sf):
@@ -268,7 +268,7 @@ def export_parquet_to_jsonl(spark, sf):
 def export_parquet_to_json(spark, sf):
     out = scratch_path(spark, "orders-json")
     export_records(as_records(table(spark, sf, "orders"), ORDER), "parquet", "json", out)
-    return _parsed(read_json(spark, out, shape="array"), _ORDER_DDL)
+    return _parsed(read_json(spark, out, shape="array", layout="lines"), _ORDER_DDL)
 
 
 def export_jsonl_passthrough(spark, sf):
@@ -282,12 +282,12 @@ def export_jsonl_passthrough(spark, sf):
 def export_jsonl_to_json(spark, sf):
     out = scratch_path(spark, "documents-array")
     export_records(read_jsonl(spark, documents_as(spark, sf, "jsonl"), locations=False), "jsonl", "json", out)
-    return _doc_columns(_parsed(read_json(spark, out, shape="array"), _DOC_DDL))
+    return _doc_columns(_parsed(read_json(spark, out, shape="array", layout="lines"), _DOC_DDL))
 
 
 def export_json_to_jsonl(spark, sf):
     out = scratch_path(spark, "documents-lines")
-    export_records(read_json(spark, documents_as(spark, sf, "json"), shape="array"), "json", "jsonl", out)
+    export_records(read_json(spark, documents_as(spark, sf, "json"), shape="array", layout="lines"), "json", "jsonl", out)
     return _doc_columns(_json_lines(spark, out, _DOC_DDL))
 
 
@@ -304,7 +304,7 @@ def export_csv_to_jsonl(spark, sf):
 def export_csv_to_json(spark, sf):
     out = scratch_path(spark, "part-json")
     export_records(_csv_parts(spark, sf), "csv", "json", out)
-    return _parsed(read_json(spark, out, shape="array"), _PART_DDL)
+    return _parsed(read_json(spark, out, shape="array", layout="lines"), _PART_DDL)
 
 
 def export_csv_passthrough(spark, sf):

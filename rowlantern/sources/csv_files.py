@@ -19,7 +19,7 @@ def read_csv(spark: SparkSession, paths) -> DataFrame:
     lines = scan_pieces(spark, paths, "\n")
     # The first pass needs text only where a quote occurs, or where the header may be.
     wanted = F.when(F.col("value").contains('"') | (F.col("block_start") == 0), F.col("value").cast("binary"))
-    splits = carried_splits(lines, kernels.summarise_csv, wanted, level=0)
+    splits = carried_splits(lines, kernels.summarise_csv, wanted, level=0, lengths=True)
     seen = overview(splits)
     if seen.headless:
         _check_headers(splits)

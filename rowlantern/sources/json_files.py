@@ -12,30 +12,34 @@ from rowlantern.sources import kernels
 from rowlantern.sources.splits import (
     MAX_RECORD_BYTES, assemble, carried_splits, overview, scan_pieces, straddling_records)
 
-# A root array is cut at commas, so even a file without line breaks is read in
-# splits; concatenated values are cut at line breaks.
-_ARRAY, _VALUES = ",", "\n"
+# Where text is cut before the structure is known.  A comma separates elements in
+# any root array, also in one without line breaks; where elements stand on lines
+# of their own, line breaks make far fewer pieces.
+_CUTS = {"commas": ",", "lines": "\n"}
 _TRIM = " \t\r\n\x00,"
 
 
-def read_json(spark: SparkSession, paths, shape: str = "auto") -> DataFrame:
+def read_json(spark: SparkSession, paths, shape: str = "auto", layout: str = "commas") -> DataFrame:
     """Records of JSON files: elements of a root array, else every top-level value.
 
     ``shape`` may be ``"array"`` or ``"values"`` when the caller knows it, which
-    saves looking at the first character of each file.
+    saves looking at the first character of each file.  ``layout="lines"`` reads
+    arrays with line breaks between or inside elements faster; it is right for
+    any JSON, but a file without line breaks would be one piece.
     """
     if shape == "values":
-        return _values(spark, paths)
-    pieces = scan_pieces(spark, paths, _ARRAY)
-    splits = carried_splits(pieces, kernels.summarise_json(b",", True), F.col("value").cast("binary"), level=1)
-    seen = overview(splits)
+        return _records(spark, paths, _CUTS["lines"], False)
+    if shape not in ("auto", "array"):
+        raise ValueError(f"shape: {shape}")
+    sep = _CUTS[layout]
+    pieces, splits, seen = _first_pass(spark, paths, sep, True)
     if shape == "array" or not seen.others:
-        return _records(pieces, splits, seen, _ARRAY, True)
+        return _second_pass(pieces, splits, seen, sep, True)
     heads = splits.where("block_start = 0")
-    values = _values(spark, _paths(heads.where(F.col("head").isNull() | (F.col("head") != F.lit(b"[")))))
+    values = read_json(spark, _paths(heads.where(F.col("head").isNull() | (F.col("head") != F.lit(b"[")))), "values")
     if not seen.arrays:
         return values
-    return values.unionByName(read_json(spark, _paths(heads.where(F.col("head") == F.lit(b"["))), shape="array"))
+    return values.unionByName(_records(spark, _paths(heads.where(F.col("head") == F.lit(b"["))), sep, True))
 
 
 def _paths(heads: DataFrame) -> list[str]:
@@ -43,13 +47,18 @@ def _paths(heads: DataFrame) -> list[str]:
     return [as_path(r.file) for r in heads.select("file").toLocalIterator()]
 
 
-def _values(spark, paths):
-    pieces = scan_pieces(spark, paths, _VALUES)
-    splits = carried_splits(pieces, kernels.summarise_json(b"\n", False), F.col("value").cast("binary"), level=0)
-    return _records(pieces, splits, overview(splits), _VALUES, False)
+def _first_pass(spark, paths, sep, array_file):
+    pieces = scan_pieces(spark, paths, sep)
+    splits = carried_splits(
+        pieces, kernels.summarise_json(sep.encode()), F.col("value").cast("binary"), level=int(array_file))
+    return pieces, splits, overview(splits)
 
 
-def _records(pieces, splits, seen, sep, array_file):
+def _records(spark, paths, sep, array_file):
+    return _second_pass(*_first_pass(spark, paths, sep, array_file), sep, array_file)
+
+
+def _second_pass(pieces, splits, seen, sep, array_file):
     whole = assemble(pieces, splits, seen.n_splits, kernels.assemble_json(sep.encode(), array_file))
     if not seen.cut:
         return whole

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import json
 import re
+from json.encoder import encode_basestring as _quote
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ _DELTA[list(b"}]")] = -1
 
 # Bytes after which a new top-level value may start without a blank.
 _ENDS_TOKEN = np.zeros(256, dtype=bool)
-_ENDS_TOKEN[list(BLANK + b'}],"')] = True
+_ENDS_TOKEN[list(BLANK + b'}],"[')] = True
 
 _START = pa.struct([
     ("inside", pa.int32()), ("rel", pa.int32()), ("n", pa.int64()),
@@ -67,21 +69,19 @@ def _known_splits(batch):
 
 
 def _new_splits(batch, last):
-    """Split starts of a first pass: the split key differs from the row before."""
-    file, start = batch.column("file"), batch.column("block_start")
+    """Split starts of a first pass: the split differs from the row before."""
+    split, seq = batch.column("split"), batch.column("seq")
     n = batch.num_rows
     moved = np.ones(n, dtype=bool)
-    moved[0] = last != (file[0].as_py(), start[0].as_py())
+    moved[0] = last != split[0].as_py()
     if n > 1:
-        moved[1:] = np.asarray(pc.or_(
-            pc.not_equal(file.slice(1), file.slice(0, n - 1)),
-            pc.not_equal(start.slice(1), start.slice(0, n - 1))))
-    keys = ["file", "block_start", "block_length", "file_size"]
-    return {
-        int(i): {**{k: batch.column(k)[int(i)].as_py() for k in keys},
-                 "first_seq": batch.column("seq")[int(i)].as_py()}
-        for i in np.flatnonzero(moved)
-    }, (file[n - 1].as_py(), start[n - 1].as_py())
+        moved[1:] = np.asarray(pc.not_equal(split.slice(1), split.slice(0, n - 1)))
+    opened = {}
+    for i in np.flatnonzero(moved).tolist():
+        start, length, size, file = split[i].as_py().split("|", 3)
+        opened[i] = {"file": file, "block_start": int(start), "block_length": int(length),
+                     "file_size": int(size), "first_seq": seq[i].as_py()}
+    return opened, split[n - 1].as_py()
 
 
 def run_by_split(batches, begin, feed, finish):
@@ -108,7 +108,9 @@ def run_by_split(batches, begin, feed, finish):
 # --- CSV -----------------------------------------------------------------
 
 _CLOSING = re.compile(rb'[^"]*+(?:""[^"]*+)*+"')
-_OPENING = re.compile(rb'(?:[ \t]*+(?!")[^,]*+,)*+[ \t]*+"')
+# A run of complete fields: quoted ones that close again, or ones without an opening quote.
+_FIELD = rb'(?:[ \t]*+"[^"]*+(?:""[^"]*+)*+"[^,]*+|(?![ \t]*+")[^,]*+)'
+_COMPLETE = re.compile(_FIELD + rb"(?:," + _FIELD + rb")*+")
 
 
 def quote_open_after(line: bytes, inside: bool) -> bool:
@@ -117,21 +119,15 @@ def quote_open_after(line: bytes, inside: bool) -> bool:
     A quote opens only at a field start (blanks may precede it); inside, a
     doubled quote is a literal one.
     """
-    pos = 0
-    while True:
-        if inside:
-            m = _CLOSING.match(line, pos)
-            if m is None:
-                return True
-            comma = line.find(b",", m.end())
-            if comma < 0:
-                return False
-            pos, inside = comma + 1, False
-        else:
-            m = _OPENING.match(line, pos)
-            if m is None:
-                return False
-            pos, inside = m.end(), True
+    start = 0
+    if inside:
+        m = _CLOSING.match(line)
+        if m is None:
+            return True
+        start = line.find(b",", m.end()) + 1
+        if not start:
+            return False
+    return _COMPLETE.fullmatch(line, start) is None
 
 
 def _states_before(quoted, n, inside):
@@ -150,6 +146,10 @@ def split_fields(record: str) -> list[str]:
     """Fields of one record: any quote toggles, a doubled quote inside is literal."""
     if '"' not in record:
         return record.split(",")
+    if record[0] == record[-1] == '"':
+        fields = record[1:-1].split('","')
+        if record.count('"') == 2 * len(fields):  # every field quoted, no quote within
+            return fields
     runs = record.split('"')
     first = runs[0].split(",")
     fields, cur = first[:-1], [first[-1]]
@@ -179,13 +179,24 @@ def header_names(record: str) -> list[str]:
     return [name if name.strip() else f"col_{i}" for i, name in enumerate(names)]
 
 
-def record_object(names: list[str], record: str) -> str:
-    """One data record as a JSON object keyed by the header."""
-    fields = split_fields(record)
-    obj = {name: fields[i] if i < len(fields) else "" for i, name in enumerate(names)}
-    if len(fields) > len(names):
-        obj["__extra__"] = fields[len(names):]
-    return json.dumps(obj, ensure_ascii=False, separators=(",", ":"))
+def object_maker(names: list[str]):
+    """Function from a data record to a JSON object keyed by the header."""
+    keys = [_quote(name) + ":" for name in names]
+    unique = len(set(names)) == len(names) and "__extra__" not in names
+
+    def make(record: str) -> str:
+        fields = split_fields(record)
+        missing = len(keys) - len(fields)
+        if unique and missing >= 0:
+            if missing:
+                fields += [""] * missing
+            return "{" + ",".join(map(add, keys, map(_quote, fields))) + "}"
+        obj = {name: fields[i] if i < len(fields) else "" for i, name in enumerate(names)}
+        if missing < 0:
+            obj["__extra__"] = fields[len(names):]
+        return json.dumps(obj, ensure_ascii=False, separators=(",", ":"))
+
+    return make
 
 
 def clean_record(raw: bytes) -> str:
@@ -281,7 +292,7 @@ def assemble_csv(batches):
     def begin(info):
         head = info["head"]
         names = header_names(clean_record(head)) if head is not None else []
-        return {"info": info, "names": names, "inside": bool(info["entry_inside"]),
+        return {"info": info, "make": object_maker(names), "inside": bool(info["entry_inside"]),
                 "id": info["base_id"], "off": info["base_off"], "open": None, "open_off": 0}
 
     def feed(st, part):
@@ -313,7 +324,8 @@ def assemble_csv(batches):
         texts = [clean_record(r) for r in records]
         ids = list(range(st["id"], st["id"] + len(records)))
         st["id"] += len(records)
-        raws = [t if i == 0 else record_object(st["names"], t) for i, t in zip(ids, texts)]
+        make = st["make"]
+        raws = [t if i == 0 else make(t) for i, t in zip(ids, texts)]
         info = st["info"]
         if ids[0] == 0 and info["bom"]:
             offs[0], lens[0] = 0, lens[0] + info["bom"]
@@ -331,7 +343,7 @@ def objects_from_lines(batches):
         texts = [None if r["body"] is None else clean_record(r["body"]) for r in rows]
         raws = [
             t if t is None or r["record_id"] == 0
-            else record_object(header_names(clean_record(r["head"])), t)
+            else object_maker(header_names(clean_record(r["head"])))(t)
             for r, t in zip(rows, texts)
         ]
         yield pa.RecordBatch.from_arrays([
@@ -356,24 +368,38 @@ def _quotes(buf):
     return quote
 
 
+def _packed(values):
+    """Bytes of a binary column end to end, and each value's length plus a separator."""
+    wide = np.int64 if pa.types.is_large_binary(values.type) else np.int32
+    _, offsets, data = values.buffers()
+    offs = np.frombuffer(offsets, wide)[values.offset:values.offset + len(values) + 1].astype(np.int64)
+    flat = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return flat[offs[0]:offs[-1]], np.diff(offs) + 1
+
+
 class _Piecewise:
     """Byte-level view of one run of pieces: structure under a given entry state."""
 
     def __init__(self, values, sep):
-        self.lens = np.fromiter((len(v) + 1 for v in values), np.int64, len(values))
-        self.bytes = sep.join(values) + sep
-        self.buf = np.frombuffer(self.bytes, np.uint8)
+        data, self.lens = _packed(values)
         self.ends = np.cumsum(self.lens)
         self.begins = self.ends - self.lens
+        self.buf = np.empty(self.ends[-1], np.uint8)
+        body = np.ones(self.ends[-1], dtype=bool)
+        body[self.ends - 1] = False
+        self.buf[body] = data
+        self.buf[self.ends - 1] = sep
         quote = _quotes(self.buf)
-        self.flips = np.cumsum(quote, dtype=np.int64)
+        self.flips = np.cumsum(quote, dtype=np.int32)
         self.flips_before = self.flips - quote
         self.delta = _DELTA[self.buf]
+        self.blank = _IS_BLANK[self.buf]
+        self.solid = {}
 
     def under(self, inside, depth):
         outside = ((self.flips_before + inside) & 1) == 0
-        step = np.where(outside, self.delta, 0).astype(np.int64)
-        after = depth + np.cumsum(step)
+        step = np.where(outside, self.delta, np.int8(0))
+        after = np.cumsum(step, dtype=np.int32) + np.int32(depth)
         return outside, after - step, after
 
     def inside_after(self, inside):
@@ -385,16 +411,18 @@ class _Piecewise:
 
     def first_solid(self, skip_to=0):
         """Per piece: position of its first non-blank byte, or its end when blank."""
-        pos = np.arange(len(self.buf))
-        solid = ~_IS_BLANK[self.buf]
-        solid[self.ends - 1] = False
-        solid[:skip_to] = False
-        at = np.where(solid, pos, len(self.buf))
-        first = np.minimum.reduceat(at, self.begins)
-        return np.where(first < self.ends - 1, first, -1)
+        if skip_to not in self.solid:
+            solid = ~self.blank
+            solid[self.ends - 1] = False
+            solid[:skip_to] = False
+            at = np.flatnonzero(solid)
+            nth = np.searchsorted(at, self.begins)
+            first = np.append(at, len(self.buf))[nth]
+            self.solid[skip_to] = np.where(first < self.ends - 1, first, -1)
+        return self.solid[skip_to]
 
     def element_starts(self, outside, before, root):
-        """Array files: a piece begins an element if it is not inside one."""
+        """Text cut at commas: a piece begins an element if it is not inside one."""
         skip = 0
         if root is not None:
             skip = root + 1
@@ -410,25 +438,29 @@ class _Piecewise:
         return pos[keep], depth[keep]
 
     def value_starts(self, outside, before):
-        """Files of concatenated values: first byte of every token at its depth."""
+        """First byte of every token, with the depth it stands at.
+
+        Text cut at line breaks: no token goes on in the next line, so a token
+        at the level of the records is where a record begins.
+        """
         prev = np.empty(len(self.buf), dtype=np.uint8)
         prev[0] = 0x0A
         prev[1:] = self.buf[:-1]
         opener = (self.delta == 1) | (self.buf == 0x22)
-        solid = ~_IS_BLANK[self.buf] & (self.buf != 0x2C) & (self.delta != -1)
+        solid = ~self.blank & (self.buf != 0x2C) & (self.delta != -1)
         pos = np.flatnonzero(outside & solid & (opener | _ENDS_TOKEN[prev]))
         return pos, before[pos]
 
 
 def _root_bracket(view):
     """Offset of a leading ``[`` when the text opens with one."""
-    solid = np.flatnonzero(~_IS_BLANK[view.buf[:-1]])
+    solid = np.flatnonzero(~view.blank[:-1])
     if len(solid) and view.buf[solid[0]] == 0x5B:
         return int(solid[0])
     return None
 
 
-def summarise_json(sep, array_file):
+def summarise_json(sep):
     def run(batches):
         def begin(info):
             return {"info": info, "pieces": 0, "bytes": 0, "inside": [0, 1], "depth": [0, 0],
@@ -436,16 +468,16 @@ def summarise_json(sep, array_file):
                     "lead": info["block_start"] == 0}
 
         def feed(st, part):
-            view = _Piecewise(part.column("value").to_pylist(), sep)
+            view = _Piecewise(part.column("value"), sep[0])
             root = _root_bracket(view) if st["lead"] else None
             if st["lead"]:
-                solid = np.flatnonzero(~_IS_BLANK[view.buf])
+                solid = np.flatnonzero(~view.blank)
                 if len(solid) and not (len(solid) == 1 and solid[0] == len(view.buf) - 1):
                     st["head"] = bytes(view.buf[solid[0]:solid[0] + 1])
                     st["lead"] = False
             for h in (0, 1):
                 outside, before, after = view.under(st["inside"][h], st["depth"][h])
-                if array_file:
+                if sep == b",":
                     pos, rel = view.element_starts(outside, before, root if h == 0 else None)
                 else:
                     pos, rel = view.value_starts(outside, before)
@@ -515,19 +547,20 @@ def assemble_json(sep, array_file):
         def feed(st, part):
             if st["over"]:
                 return
-            view = _Piecewise(part.column("value").to_pylist(), sep)
+            view = _Piecewise(part.column("value"), sep[0])
             root = None
             if st["lead"]:
-                root = _root_bracket(view) if array_file else None
-                st["lead"] = root is None and bool(_IS_BLANK[view.buf[:-1]].all())
+                root = _root_bracket(view) if sep == b"," else None
+                st["lead"] = root is None and bool(view.blank[:-1].all())
             outside, before, after = view.under(st["inside"], st["depth"])
-            if array_file:
+            if sep == b",":
                 pos, depth = view.element_starts(outside, before, root)
-                ends = np.flatnonzero(outside & (view.delta == -1) & (after == 0))
-                end = int(ends[0]) if len(ends) else None
             else:
                 pos, depth = view.value_starts(outside, before)
-                end = None
+            end = None
+            if array_file:
+                ends = np.flatnonzero(outside & (view.delta == -1) & (after == 0))
+                end = int(ends[0]) if len(ends) else None
             pos = pos[depth == level]
             if end is not None:
                 pos = pos[pos < end]
@@ -538,7 +571,8 @@ def assemble_json(sep, array_file):
             st["off"] += len(view.buf)
 
         def _cut(st, view, pos, end, settled):
-            stop = len(view.bytes) if end is None else end
+            text = view.buf.tobytes()
+            stop = len(text) if end is None else end
             bodies, offs = [], []
 
             def done(body, off):
@@ -548,17 +582,17 @@ def assemble_json(sep, array_file):
                     offs.append(off)
 
             if st["open"] is not None:
-                st["open"].append(view.bytes[:pos[0] if pos else stop])
+                st["open"].append(text[:pos[0] if pos else stop])
                 if pos or settled:
                     done(b"".join(st["open"]), st["open_off"])
                     st["open"] = None
             for k, a in enumerate(pos):
                 if k + 1 < len(pos):
-                    done(view.bytes[a:pos[k + 1]], st["off"] + a)
+                    done(text[a:pos[k + 1]], st["off"] + a)
                 elif settled:
-                    done(view.bytes[a:stop], st["off"] + a)
+                    done(text[a:stop], st["off"] + a)
                 else:
-                    st["open"], st["open_off"] = [view.bytes[a:stop]], st["off"] + a
+                    st["open"], st["open_off"] = [text[a:stop]], st["off"] + a
             if bodies:
                 ids = list(range(st["id"], st["id"] + len(bodies)))
                 st["id"] += len(bodies)

@@ -7,7 +7,8 @@ that straddle a split boundary.
 
 The per-split table has one row per file split (100 TB at 128 MB: 800,000 rows)
 and is written once to the checkpoint folder.  It is broadcast only while its
-row count is within ``BROADCAST_SPLITS``; beyond that the join is left to Spark.
+row count is within ``BROADCAST_SPLITS`` (some 200 MB); beyond that the pieces
+are shuffled by split and put back in order.
 """
 
 from __future__ import annotations
@@ -49,13 +50,14 @@ def piece_bytes() -> Column:
 def attach_splits(pieces: DataFrame, splits: DataFrame, n_splits: int, columns: list[str]) -> DataFrame:
     """Join each piece to its split row; fail rather than number rows wrongly."""
     small = splits.select(*SPLIT_KEY, "first_seq", "n_pieces", *columns)
-    if n_splits <= BROADCAST_SPLITS:
-        small = F.broadcast(small)
-    joined = pieces.join(small, SPLIT_KEY, "left")
+    broadcast = n_splits <= BROADCAST_SPLITS
+    joined = pieces.join(F.broadcast(small) if broadcast else small, SPLIT_KEY, "left")
     moved = F.raise_error(F.lit("file splits changed between two scans of the same data"))
     at = F.col("seq") - F.col("first_seq")
     inside = F.col("first_seq").isNotNull() & (at >= 0) & (at < F.col("n_pieces"))
-    return joined.withColumn("piece", F.when(inside, at).otherwise(moved.cast("long")))
+    placed = joined.withColumn("piece", F.when(inside, at).otherwise(moved.cast("long")))
+    # A broadcast join leaves rows in scan order; a shuffled one must restore it.
+    return placed if broadcast else placed.sortWithinPartitions(*SPLIT_KEY, "piece")
 
 
 def _before(w):
@@ -140,15 +142,17 @@ def info_once(columns: list[str]) -> Column:
     return F.when(F.col("piece") == 0, F.struct(*[F.col(c) for c in columns])).alias("info")
 
 
-def summarise(pieces: DataFrame, kernel, value: Column) -> DataFrame:
+def summarise(pieces: DataFrame, kernel, value: Column, lengths: bool = False) -> DataFrame:
     """Run a summary kernel: one output row per split."""
-    fed = pieces.select(value.alias("value"), piece_bytes().alias("len"), *SPLIT_KEY, "file_size", "seq")
-    return fed.mapInArrow(kernel, kernels.SUMMARY_DDL)
+    # One column for all split facts: each column costs about as much as a short text.
+    split = F.concat_ws("|", "block_start", "block_length", "file_size", "file").alias("split")
+    extra = [piece_bytes().alias("len")] if lengths else []
+    return pieces.select(value.alias("value"), split, "seq", *extra).mapInArrow(kernel, kernels.SUMMARY_DDL)
 
 
-def carried_splits(pieces: DataFrame, kernel, value: Column, level: int) -> DataFrame:
+def carried_splits(pieces: DataFrame, kernel, value: Column, level: int, lengths: bool = False) -> DataFrame:
     """The placed per-split table, written once so later scans only read it."""
-    return materialise(place_carried(summarise(pieces, kernel, value), level))
+    return materialise(place_carried(summarise(pieces, kernel, value, lengths), level))
 
 
 def overview(splits: DataFrame):

@@ -64,10 +64,11 @@ def test_cap_and_truncation(spark):
 
 
 def test_pages_run_on_into_the_next_file(spark):
-    df = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("b", 1)], "file string, record_id long")
-    rows = op.next_page(df, record_id=1, size=2, file="a").orderBy("file", "record_id").collect()
-    assert [(r.file, r.record_id) for r in rows] == [("a", 1), ("b", 0)]
-    assert (rows[0].next_file, rows[0].next_id) == ("b", 1)
+    df = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("b", 1), ("b", 2)], "file string, record_id long")
+    for dense in (False, True):
+        rows = op.next_page(df, record_id=1, size=2, file="a", dense=dense).orderBy("file", "record_id").collect()
+        assert [(r.file, r.record_id) for r in rows] == [("a", 1), ("b", 0)]
+        assert (rows[0].next_file, rows[0].next_id) == ("b", 1)
 
 
 def test_record_view_cuts_code_points(spark):

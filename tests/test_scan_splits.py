@@ -137,15 +137,16 @@ def random_value(rng, depth=0):
 
 
 @pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("layout", ["commas", "lines"])
 @pytest.mark.parametrize("size", SIZES)
-def test_json_arrays_and_values(spark, small_splits, put, size, indent):
+def test_json_arrays_and_values(spark, small_splits, put, size, layout, indent):
     small_splits(size)
-    rng = random.Random(size)
+    rng = random.Random(size + len(layout))
     for k in range(1, 3):
         values = [random_value(rng) for _ in range(rng.randrange(12))]
         text = json.dumps(values, indent=indent, ensure_ascii=bool(k % 2))
         data = (b"\xef\xbb\xbf" if k == 1 else b"") + text.encode() + (b"\n\x00\x00" if k == 2 else b"")
-        rows = in_order(read_json(spark, put(f"arr{k}/{k}.json", data)))
+        rows = in_order(read_json(spark, put(f"arr{k}/{k}.json", data), layout=layout))
         assert [json.loads(r.raw) for r in rows] == values
         assert [r.record_id for r in rows] == list(range(len(values)))
         assert [data[r.byte_offset:r.byte_offset + r.byte_len].decode() for r in rows] == [r.raw for r in rows]
@@ -164,19 +165,22 @@ def test_json_shapes_mixed_in_one_folder(spark, small_splits, put):
     put("mix/c.json", '["  lead", ",x", "last"]')
     put("mix/d.json", "[ ]")
     folder = put("mix/e.json", " \n").rsplit("/", 1)[0]
-    rows = in_order(read_json(spark, folder))
-    assert [(r.record_id, r.raw) for r in rows] == [
-        (0, '{"x":1}'), (1, '{"x":2}'),
-        (0, '{"x":1}'), (1, '{"x":2}'), (2, '{"y":3}'), (3, "5"), (4, '"s t"'), (5, "[1]"),
-        (0, '"  lead"'), (1, '",x"'), (2, '"last"'),
-    ]
+    for layout in ("commas", "lines"):
+        rows = in_order(read_json(spark, folder, layout=layout))
+        assert [(r.record_id, r.raw) for r in rows] == [
+            (0, '{"x":1}'), (1, '{"x":2}'),
+            (0, '{"x":1}'), (1, '{"x":2}'), (2, '{"y":3}'), (3, "5"), (4, '"s t"'), (5, "[1]"),
+            (0, '"  lead"'), (1, '",x"'), (2, '"last"'),
+        ]
 
 
 def test_text_behind_a_root_array_is_ignored(spark, small_splits, put):
     for size in SIZES:
         small_splits(size)
-        rows = in_order(read_json(spark, put(f"t{size}/t.json", '[{"a":[1,2]},{"b":"]"}] , [7, 8], "z"')))
-        assert [r.raw for r in rows] == ['{"a":[1,2]}', '{"b":"]"}']
+        for layout, gap in (("commas", " "), ("lines", "\n")):
+            text = '[{"a":[1,2]},{"b":"]"}] , [7, 8], "z"'.replace(" ", gap)
+            rows = in_order(read_json(spark, put(f"t{size}{layout}/t.json", text), layout=layout))
+            assert [r.raw for r in rows] == ['{"a":[1,2]}', '{"b":"]"}']
 
 
 def test_record_spanning_many_splits(spark, small_splits, put):
@@ -209,3 +213,22 @@ def test_scan_fails_when_splits_move_between_passes(spark, small_splits, put):
     small_splits(1000)
     with pytest.raises(Exception, match="splits changed"):
         df.collect()
+
+
+def test_scan_without_broadcast(spark, small_splits, put, monkeypatch):
+    """Beyond the broadcast bound the split table is joined by shuffle, with the same result."""
+    from rowlantern.sources import splits
+    monkeypatch.setattr(splits, "BROADCAST_SPLITS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small_splits(24)
+        csv = "a,b\n" + "".join(f'{i},"x\n{i}"\n' for i in range(30))
+        rows = in_order(read_csv(spark, put("nb/a.csv", csv)))
+        assert [json.loads(r.raw) for r in rows[1:]] == [{"a": str(i), "b": f"x\n{i}"} for i in range(30)]
+        values = [{"x": i, "s": "a,b]"} for i in range(30)]
+        assert [json.loads(r.raw) for r in in_order(read_json(spark, put("nb/a.json", json.dumps(values))))] == values
+        df = read_jsonl(spark, put("nb/a.jsonl", "".join(f"line {i}\n" for i in range(30))))
+        assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+        assert [(r.record_id, r.text) for r in in_order(df)] == [(i, f"line {i}") for i in range(30)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
