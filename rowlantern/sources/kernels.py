@@ -16,6 +16,7 @@ SQL over the per-split rows, see ``splits.py``.
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 from json.encoder import encode_basestring as _quote
@@ -65,7 +66,13 @@ def _known_splits(batch):
     """Split starts of a second pass: ``info`` is set on the first row only."""
     info = batch.column("info")
     marks = np.flatnonzero(np.asarray(info.is_valid()))
-    return {int(m): info[int(m)].as_py() for m in marks}
+    return {m: _facts(info[m].as_py()) for m in marks.tolist()}
+
+
+def _facts(text):
+    facts = json.loads(text)
+    head = facts["head"]
+    return {**facts, "head": None if head is None else base64.b64decode(head)}
 
 
 def _new_splits(batch, last):

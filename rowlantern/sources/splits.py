@@ -138,8 +138,12 @@ def place_carried(summary: DataFrame, level: int) -> DataFrame:
 
 
 def info_once(columns: list[str]) -> Column:
-    """Split facts on the first row of a split only; tasks read rows in order."""
-    return F.when(F.col("piece") == 0, F.struct(*[F.col(c) for c in columns])).alias("info")
+    """Split facts, as one text, on the first row of a split only; tasks read rows in order.
+
+    A struct would cost one Arrow column per field and row.
+    """
+    facts = F.struct(*[F.col(c) for c in columns], F.base64("head").alias("head"))
+    return F.when(F.col("piece") == 0, F.to_json(facts, {"ignoreNullFields": "false"})).alias("info")
 
 
 def summarise(pieces: DataFrame, kernel, value: Column, lengths: bool = False) -> DataFrame:
@@ -170,7 +174,7 @@ def overview(splits: DataFrame):
 def assemble(pieces: DataFrame, splits: DataFrame, n_splits: int, kernel) -> DataFrame:
     """Records that begin and end inside one split, cut without any shuffle."""
     facts = ["block_start", "file", "file_size", "entry_inside", "entry_depth", "closed_before",
-             "base_id", "base_off", "bom", "head"]
+             "base_id", "base_off", "bom"]
     joined = attach_splits(pieces, splits, n_splits, ["entry_inside", "entry_depth", "closed_before",
                                             "base_id", "base_off", "bom", "head"])
     fed = joined.select(F.col("value").cast("binary").alias("value"), info_once(facts))
