@@ -12,8 +12,9 @@ from rowlantern.operators.select import key_columns
 
 # Fixed value: hits kept by a capped search.
 MAX_HITS = 10_000
-# A cap is met by one sorted top-k; beyond this ask for all hits instead.
-LARGEST_CAP = 1_000_000
+# A cap is met by a top-k whose rows (key and preview, about 1 KB) end in one task;
+# beyond 100 MB of them ask for all hits instead.
+LARGEST_CAP = 100_000
 
 
 def search(records: DataFrame, query: str, case_sensitive: bool = False, column: str = "text") -> DataFrame:
