@@ -73,4 +73,8 @@ def _second_pass(pieces, splits, seen, sep, array_file):
 
 def as_path(uri: str) -> str:
     """A listed file as a path to load: undo URI escapes, protect glob characters."""
-    return re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(uri))
+    return escape_globs(unquote(uri))
+
+
+def escape_globs(path: str) -> str:
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)

@@ -20,13 +20,13 @@ def format_of(path: str) -> str:
     return ext if ext in FORMATS else "unknown"
 
 
-def open_dataset(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
-    """Records of a file or of a folder of files in one format.
+def open_dataset(spark: SparkSession, path: str | list[str], fmt: str | None = None, **options) -> DataFrame:
+    """Records of a file, a folder or a list of files in one format.
 
     Columns: file, record_id, text (what a search sees), raw (the whole record;
     an object for CSV and Parquet), and for text formats byte_offset, byte_len.
     """
-    fmt = fmt or format_of(path)
+    fmt = fmt or format_of(path if isinstance(path, str) else path[0])
     readers = {"jsonl": read_jsonl, "csv": read_csv, "json": read_json, "parquet": read_parquet}
     if fmt not in readers:
         raise ValueError(f"unsupported format: {path}")

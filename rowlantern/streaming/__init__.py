@@ -1,3 +1,3 @@
-from rowlantern.streaming.search import start_search, stream_hits
+from rowlantern.streaming.search import start_file_search, start_search, stream_hits
 
-__all__ = ["start_search", "stream_hits"]
+__all__ = ["start_file_search", "start_search", "stream_hits"]

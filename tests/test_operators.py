@@ -8,7 +8,7 @@ from rowlantern.functions import cut, row_line, row_object
 from rowlantern.functions.search_text import matches, needles
 from rowlantern.operators import select
 from rowlantern.sources import catalog, format_of, open_dataset
-from rowlantern.streaming import start_search, stream_hits
+from rowlantern.streaming import start_file_search, start_search, stream_hits
 
 
 def records(spark, *raws):
@@ -234,6 +234,24 @@ def test_streaming_search_equals_batch(spark, tmp_path):
     assert sorted(r.preview for r in got) == sorted(r.text for r in want) == ["hit 0", "hit 1", "hit 2"]
 
 
+@pytest.mark.parametrize("fmt, text", [
+    ("csv", 'a,b\n1,"x\nHit"\n2,miss\n3,hit\n'), ("json", '[{"t":"miss"},\n{"t":"hit"}]')])
+def test_streaming_search_of_whole_files(spark, tmp_path, fmt, text):
+    source = tmp_path / "in [1]"
+    source.mkdir()
+    for i in range(2):
+        (source / f"f {i}{{x}}.{fmt}").write_text(text)
+    (source / "other.txt").write_text("hit")
+    folder = str(source).replace("[", "\\[").replace("]", "\\]")
+    query = start_file_search(spark, folder, "hit", fmt, str(tmp_path / "hits"), str(tmp_path / "mark"),
+                              max_files_per_trigger=1, available_now=True)
+    query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "hits")).collect()
+    want = op.search(open_dataset(spark, f"{folder}/*.{fmt}", fmt), "hit").collect()
+    assert sorted((r.file, r.record_id) for r in got) == sorted((r.file, r.record_id) for r in want)
+    assert len(got) == (4 if fmt == "csv" else 2) and {r.batch for r in got} == {0, 1}
+
+
 def test_plans(spark, tmp_path):
     """What the plans must and must not contain."""
     df = spark.range(1000).selectExpr("id", "cast(id as string) as t", "id % 7 as g")
