@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -26,7 +25,7 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own.
+    A local session that names none uses a folder below its warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -36,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
         return known
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="rowlantern-")
+    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     spark.sparkContext.setCheckpointDir(own)
     return own
 

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from rowlantern.plans import ORACLE, QUERIES
 from tests.check_oracle import compare, connect
 
 SF = entry.SMOKE_DIR
@@ -14,7 +15,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
@@ -22,6 +23,6 @@ def test_entry(spark):
     assert df.columns == ["record_id", "hit_no", "preview", "truncated"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     assert compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) is None
