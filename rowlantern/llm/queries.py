@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlantern.llm import hash_tree, url_reputation, winnowing
+from rowlantern.llm import bpe, hash_tree, packing, url_reputation, winnowing
 
 SHARDS = 8
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
@@ -18,6 +19,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_prefix_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op2_url_reputation(spark, sf_dir):
     """Pages by rule or host reputation; an outcome is the quality label of the same number."""
     outcomes = read(spark, sf_dir, "labels").select(
@@ -29,11 +35,15 @@ def op6_winnowing(spark, sf_dir):
     return winnowing.neighbours(read(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_hash_tree(spark, sf_dir):
     return hash_tree.place(read(spark, sf_dir, "documents"), hash_tree.even_tree(SHARDS))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_reputation, op6_winnowing, op10_hash_tree)}
+    f.__name__: f for f in (op1_prefix_bpe, op2_url_reputation, op6_winnowing, op7_packing, op10_hash_tree)}
 
 ORACLE: dict[str, str] = {}
