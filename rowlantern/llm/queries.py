@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlantern.llm import bpe, hash_tree, packing, url_reputation, winnowing
+from rowlantern.llm import bpe, hash_tree, maxscore, packing, url_reputation, winnowing
 
 SHARDS = 8
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
@@ -31,6 +31,11 @@ def op2_url_reputation(spark, sf_dir):
     return url_reputation.judge(read(spark, sf_dir, "pages"), outcomes, URL_RULES)
 
 
+def op3_maxscore(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", maxscore.integer_vector(F.col("embedding")).alias("vector"))
+    return maxscore.top_k(rows, F.col("vec_id") % 50 == 0)
+
+
 def op6_winnowing(spark, sf_dir):
     return winnowing.neighbours(read(spark, sf_dir, "documents"))
 
@@ -44,6 +49,23 @@ def op10_hash_tree(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_prefix_bpe, op2_url_reputation, op6_winnowing, op7_packing, op10_hash_tree)}
+    f.__name__: f for f in (op1_prefix_bpe, op2_url_reputation, op3_maxscore, op6_winnowing, op7_packing, op10_hash_tree)}
 
+#: Standard SQL for the operators that it can express.
 ORACLE: dict[str, str] = {}
+
+ORACLE["op3_maxscore"] = """
+WITH fine AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM fine q JOIN fine c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+WHERE r <= 5
+"""
