@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlantern.llm import bpe, hash_tree, maxscore, packing, url_reputation, winnowing
+from rowlantern.llm import bpe, byte_gru, hash_tree, maxscore, packing, url_reputation, winnowing
 
 SHARDS = 8
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
@@ -36,6 +36,10 @@ def op3_maxscore(spark, sf_dir):
     return maxscore.top_k(rows, F.col("vec_id") % 50 == 0)
 
 
+def op5_byte_gru(spark, sf_dir):
+    return byte_gru.identify(read(spark, sf_dir, "documents"))
+
+
 def op6_winnowing(spark, sf_dir):
     return winnowing.neighbours(read(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_hash_tree(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_prefix_bpe, op2_url_reputation, op3_maxscore, op6_winnowing, op7_packing, op10_hash_tree)}
+    f.__name__: f for f in (op1_prefix_bpe, op2_url_reputation, op3_maxscore, op5_byte_gru, op6_winnowing, op7_packing, op10_hash_tree)}
 
 #: Standard SQL for the operators that it can express.
 ORACLE: dict[str, str] = {}
