@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlantern.llm import bpe, byte_gru, hash_tree, maxscore, packing, url_reputation, winnowing
+from rowlantern.llm import bpe, byte_gru, hash_tree, maxscore, packing, toxicity, url_reputation, winnowing
 
 SHARDS = 8
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
@@ -48,12 +48,16 @@ def op7_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_hash_tree(spark, sf_dir):
     return hash_tree.place(read(spark, sf_dir, "documents"), hash_tree.even_tree(SHARDS))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_prefix_bpe, op2_url_reputation, op3_maxscore, op5_byte_gru, op6_winnowing, op7_packing, op10_hash_tree)}
+    f.__name__: f for f in (op1_prefix_bpe, op2_url_reputation, op3_maxscore, op5_byte_gru, op6_winnowing, op7_packing, op8_toxicity, op10_hash_tree)}
 
 #: Standard SQL for the operators that it can express.
 ORACLE: dict[str, str] = {}
