@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlantern.llm import bpe, byte_gru, hash_tree, maxscore, packing, toxicity, url_reputation, winnowing
+from rowlantern.llm import bpe, byte_gru, chosen_path, hash_tree, maxscore, packing, toxicity, url_reputation, winnowing
 
 SHARDS = 8
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
@@ -36,6 +36,10 @@ def op3_maxscore(spark, sf_dir):
     return maxscore.top_k(rows, F.col("vec_id") % 50 == 0)
 
 
+def op4_chosen_path(spark, sf_dir):
+    return chosen_path.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op5_byte_gru(spark, sf_dir):
     return byte_gru.identify(read(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_hash_tree(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_prefix_bpe, op2_url_reputation, op3_maxscore, op5_byte_gru, op6_winnowing, op7_packing, op8_toxicity, op10_hash_tree)}
+    f.__name__: f for f in (op1_prefix_bpe, op2_url_reputation, op3_maxscore, op4_chosen_path, op5_byte_gru, op6_winnowing, op7_packing, op8_toxicity, op10_hash_tree)}
 
 #: Standard SQL for the operators that it can express.
 ORACLE: dict[str, str] = {}
@@ -77,3 +81,33 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
 WHERE r <= 5
 """
+
+ORACLE["op4_chosen_path"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+    ELSE list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)),
+                                      lambda i: array_to_string(w[i:i + 2], ' '))) END AS s
+  FROM words
+), classes AS (
+  SELECT min(doc_id) AS c, s, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s
+), items AS (
+  SELECT c, n, unnest(s) AS x FROM classes
+), links AS (
+  SELECT a.c AS a, b.c AS b FROM items a JOIN items b ON a.x = b.x AND a.c <> b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT c AS v, c AS r FROM classes
+  UNION
+  SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.v
+), least AS (
+  SELECT v, min(r) AS r FROM reach GROUP BY v
+)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(least.r, sets.doc_id) AS component_id,
+       coalesce(least.r, sets.doc_id) = sets.doc_id AS kept
+FROM sets LEFT JOIN classes ON len(sets.s) > 0 AND list_sort(sets.s) = classes.s LEFT JOIN least ON least.v = classes.c
+"""
