@@ -182,56 +182,35 @@ def _sets(size: int):
     return run
 
 
-class _Join:
-    """The tables of one join; every step reads and writes them in the shared folder."""
+class NodeJoin:
+    """Links within the nodes of trees; every step reads and writes tables in the shared folder.
 
-    def __init__(self, rows, size, percent, trees, leaf, depth):
-        self.size, self.percent, self.leaf, self.depth = size, percent, leaf, depth
+    A node is a set of classes (cid); ``sets`` holds (cid, sign, tokens) for each.
+    """
+
+    def __init__(self, percent: int, leaf: int, depth: int):
+        self.percent, self.leaf, self.depth = percent, leaf, depth
         chance = percent / 100
         # Five deviations below the threshold: a link is overlooked by its tokens once in millions.
         self.enough = max(1, int(TOKENS * (chance - 5 * (chance * (1 - chance) / TOKENS) ** 0.5)))
-        signed = rows.mapInArrow(_sign(size, trees), SIGNED)
-        self.signed = store(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
-        some = self.signed.where("n > 0")
-        # Equal sets are one class, named by its first row.
-        self.classes = some.groupBy("digest").agg(F.min("row").alias("cid"), F.min("doc_id").alias("doc_id"))
-        own = self.classes.select("cid")
-        self.reps = store(some.join(own, some["row"] == own["cid"]).select(
-            "cid", "doc_id", "n", "digest", "sign", "roots"), "representatives")
 
     def sized(self, members: DataFrame) -> DataFrame:
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         return members.join(sizes, "node")
 
-    def grow(self) -> tuple[DataFrame, DataFrame]:
-        """Members of small nodes that have a likely partner, and members of nodes that stayed large."""
-        members = self.reps.select("cid", F.posexplode("roots").alias("tree", "node")).select("tree", "node", "cid")
-        signs, found, large = self.reps.select("cid", "n", "sign"), [], None
+    def levels(self, members: DataFrame, signs: DataFrame, found) -> DataFrame:
+        """Branch large nodes level by level; ``found`` gets the members of small ones.
+
+        Returns the members of the nodes that are large at the last level.
+        """
         for level in range(self.depth):
             live = store(self.sized(members), "nodes")
-            small = live.where(F.col("size") <= self.leaf).join(signs, "cid")
-            small = small.select("node", "tree", "cid", "n", "sign").repartition("node").sortWithinPartitions("node")
-            found.append(small.mapInArrow(_candidates(self.percent, self.enough), "tree int, node long, cid long"))
+            found(live.where(F.col("size") <= self.leaf))
             large = live.where(F.col("size") > self.leaf)
             if level + 1 == self.depth or not large.limit(1).count():
-                break
+                return large.select("tree", "node", "cid", "size")
             members = large.join(signs, "cid").select("tree", "node", "cid", "sign").mapInArrow(
                 _branch, "tree int, node long, cid long")
-        pairs = found[0]
-        for more in found[1:]:
-            pairs = pairs.unionByName(more)
-        return store(pairs, "likely"), large.select("tree", "node", "cid", "size")
-
-    def fetch(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-        """Full sets of the wanted classes, from the text of their first document."""
-        wanted = wanted.join(self.reps, "cid").select("cid", "sign", "digest", "doc_id")
-        wanted = store(wanted, "wanted").select("cid", "sign", "digest", F.col("doc_id").alias("own"))
-        n = wanted.count()
-        texts = docs.join(few(wanted), docs["doc_id"].eqNullSafe(F.col("own"))).select("cid", "sign", "digest", "text")
-        sets = store(texts.mapInArrow(_sets(self.size), "cid long, sign binary, tokens binary"), "sets")
-        if sets.count() > n:  # repeated rows
-            sets = store(sets.dropDuplicates(["cid"]), "sets")
-        return sets
 
     def confirm(self, blocks: DataFrame, sets: DataFrame) -> DataFrame:
         """Links between components within blocks of (block, role, cid, comp)."""
@@ -274,38 +253,85 @@ class _Join:
         return members.select(key, F.lit(MEMBER).alias("role"), "cid", "comp").unionByName(
             others.select(key, F.lit(PIVOT).alias("role"), "cid", "comp"))
 
-    def run(self, docs: DataFrame) -> DataFrame | None:
-        """(v, c) of all classes that are linked with another; None if none is."""
-        likely, large = self.grow()
-        large = store(large, "large")
-        wanted = likely.select("cid").unionByName(large.select("cid")).distinct()
-        sets = self.fetch(docs, wanted)
+    def connect(self, small: DataFrame, large: DataFrame, sets: DataFrame) -> DataFrame | None:
+        """(v, c) of all classes that are linked with another; None if none is.
+
+        The first tree goes first, with pivots of the large nodes: what it
+        connects need not be compared in the other trees.
+        """
         links, comp = None, None
 
         def add(more):
             nonlocal links, comp
             links = more if links is None else links.unionByName(more)
             if more.limit(1).count():
-                comp = components(links, "near")
+                comp = store(components(links, "near"), "near")
 
         def peers(rows):
             return rows.select(F.xxhash64("node", "tree").alias("block"), F.lit(PEER).alias("role"), "cid", "comp")
 
         any_large = bool(large.limit(1).count())
-        first = peers(self.open_nodes(likely.where("tree = 0"), comp))
+        first = peers(self.open_nodes(small.where("tree = 0"), comp))
         if any_large:
             first = first.unionByName(self.by_pivots(self.open_nodes(large, comp), 0))
         add(self.confirm(first, sets))
-        add(self.confirm(peers(self.open_nodes(likely.where("tree > 0"), comp)), sets))
+        add(self.confirm(peers(self.open_nodes(small.where("tree > 0"), comp)), sets))
         if any_large:
-            left = self.open_nodes(large, comp)
-            add(self.confirm(self.by_pivots(left, 1), sets))
+            add(self.confirm(self.by_pivots(self.open_nodes(large, comp), 1), sets))
             left = store(self.open_nodes(large, comp), "left")
             if left.limit(1).count():
                 add(self.confirm(self.by_grid(left), sets))
         return comp
 
 
+class _Documents(NodeJoin):
+    """Documents as classes of equal shingle sets, and the trees over them."""
+
+    def __init__(self, rows: DataFrame, size: int, percent: int, trees: int, leaf: int, depth: int):
+        super().__init__(percent, leaf, depth)
+        self.size = size
+        signed = rows.mapInArrow(_sign(size, trees), SIGNED)
+        self.signed = store(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+        some = self.signed.where("n > 0")
+        # Equal sets are one class, named by its first row.
+        self.classes = some.groupBy("digest").agg(F.min("row").alias("cid"), F.min("doc_id").alias("doc_id"))
+        own = self.classes.select("cid")
+        self.reps = store(some.join(own, some["row"] == own["cid"]).select(
+            "cid", "doc_id", "n", "digest", "sign", "roots"), "representatives")
+
+    def grow(self) -> tuple[DataFrame, DataFrame]:
+        """Members of small nodes that have a likely partner, and members of nodes that stayed large."""
+        members = self.reps.select("cid", F.posexplode("roots").alias("tree", "node")).select("tree", "node", "cid")
+        signs, found = self.reps.select("cid", "n", "sign"), []
+
+        def candidates(small):
+            rows = small.join(signs, "cid").select("node", "tree", "cid", "n", "sign")
+            rows = rows.repartition("node").sortWithinPartitions("node")
+            found.append(rows.mapInArrow(_candidates(self.percent, self.enough), "tree int, node long, cid long"))
+
+        large = self.levels(members, signs.select("cid", "sign"), candidates)
+        pairs = found[0]
+        for more in found[1:]:
+            pairs = pairs.unionByName(more)
+        return store(pairs, "likely"), store(large, "large")
+
+    def fetch(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Full sets of the wanted classes, from the text of their first document."""
+        wanted = wanted.join(self.reps, "cid").select("cid", "sign", "digest", "doc_id")
+        wanted = store(wanted, "wanted").select("cid", "sign", "digest", F.col("doc_id").alias("own"))
+        n = wanted.count()
+        texts = docs.join(few(wanted), docs["doc_id"].eqNullSafe(F.col("own"))).select("cid", "sign", "digest", "text")
+        sets = store(texts.mapInArrow(_sets(self.size), "cid long, sign binary, tokens binary"), "sets")
+        if sets.count() > n:  # repeated rows
+            sets = store(sets.dropDuplicates(["cid"]), "sets")
+        return sets
+
+    def run(self, docs: DataFrame) -> DataFrame | None:
+        likely, large = self.grow()
+        wanted = likely.select("cid").unionByName(large.select("cid")).distinct()
+        return self.connect(likely, large, self.fetch(docs, wanted))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = 8, leaf: int = 64,
                     depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
@@ -320,11 +346,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    join = _Join(rows, shingle, percent, trees, leaf, depth)
+    join = _Documents(rows, shingle, percent, trees, leaf, depth)
     comp = join.run(rows)
     classes = join.classes
     if comp is not None:
-        comp = store(comp, "near")
         classes = classes.join(comp, F.col("cid") == F.col("v"), "left").select(
             "digest", "doc_id", F.coalesce("c", "cid").alias("c"))
         least = classes.groupBy("c").agg(F.min("doc_id").alias("least"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlantern.llm import bpe, byte_gru, chosen_path, hash_tree, maxscore, packing, toxicity, url_reputation, winnowing
+from rowlantern.llm import bpe, byte_gru, chosen_path, hash_tree, maxscore, packing, paragraphs, toxicity, url_reputation, winnowing
 
 SHARDS = 8
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
@@ -56,12 +56,17 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_paragraphs(spark, sf_dir):
+    return paragraphs.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op10_hash_tree(spark, sf_dir):
     return hash_tree.place(read(spark, sf_dir, "documents"), hash_tree.even_tree(SHARDS))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_prefix_bpe, op2_url_reputation, op3_maxscore, op4_chosen_path, op5_byte_gru, op6_winnowing, op7_packing, op8_toxicity, op10_hash_tree)}
+    f.__name__: f for f in (op1_prefix_bpe, op2_url_reputation, op3_maxscore, op4_chosen_path, op5_byte_gru, op6_winnowing, op7_packing, op8_toxicity, op9_paragraphs,
+                             op10_hash_tree)}
 
 #: Standard SQL for the operators that it can express.
 ORACLE: dict[str, str] = {}
