@@ -1,21 +1,19 @@
-"""Expressions over JSON text that keep document order and repeated keys.
-
-A VARIANT sorts object keys and refuses repeated ones, so it is used here only
-to learn the kind of a value; the text itself stays text.
-"""
+"""Expressions over JSON text that keep document order, repeated keys and every character of a value."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowlantern.functions import strict_json
+from rowlantern.functions import json_split, strict_json
 from rowlantern.functions.render import CUT_MARK, cut
 
+cloudpickle.register_pickle_by_value(json_split)
 cloudpickle.register_pickle_by_value(strict_json)
 
 PathSegment = str | int
@@ -40,78 +38,24 @@ def _kind_of_first(c: Column) -> Column:
     return F.when(c.isNotNull(), F.coalesce(F.try_element_at(table, c), F.lit("unknown")))
 
 
-def child_count(text: Column, kind: Column) -> Column:
-    return (
-        F.when(kind == "array", F.json_array_length(text))
-        .when(kind == "object", F.size(F.json_object_keys(text)))
-    ).cast("long")
-
-
-def children_of(text: Column, kind: Column) -> Column:
-    """ARRAY<STRUCT<pos, seg, kind, text>> of the direct children, in document order.
-
-    Each child is read as a VARIANT, which keeps "1" and 1 apart, and as text,
-    which keeps the key order inside a nested value.
-    """
-    elements = F.arrays_zip(
-        F.from_json(text, "array<variant>").alias("v"), F.from_json(text, "array<string>").alias("s"))
-    entries = F.arrays_zip(
-        F.map_entries(F.from_json(text, "map<string,variant>")).alias("v"),
-        F.map_entries(F.from_json(text, "map<string,string>")).alias("s"))
-
-    def read(key, v, s):
-        return F.struct(key.alias("seg"), F.coalesce(F.to_json(v), F.lit("null")).alias("t"), s.alias("s"))
-
-    def item(c, i):
-        first = F.substring(c["t"], 1, 1)
-        return F.struct(
-            i.cast("long").alias("pos"), c["seg"].alias("seg"), _kind_of_first(first).alias("kind"),
-            F.when(first.isin("{", "["), c["s"]).otherwise(c["t"]).alias("text"))
-
-    return (
-        F.when(kind == "array", F.transform(
-            F.transform(elements, lambda e, i: read(i.cast("string"), e["v"], e["s"])), item))
-        .when(kind == "object", F.transform(
-            F.transform(entries, lambda e: read(e["v"]["key"], e["v"]["value"], e["s"]["value"])), item))
-    )
+def text_at(raw: Column, path: Sequence[PathSegment]) -> Column:
+    """JSON text of the value at ``path``, as it stands in the record; NULL when the path does not lead anywhere."""
+    return raw if not path else located(raw, path)["value"]
 
 
-def _plain(seg: PathSegment) -> str | None:
-    """The segment in JSON-path syntax, or None when the syntax cannot carry it."""
-    if isinstance(seg, int):
-        return f"[{seg}]"
-    if seg and "'" not in seg and "?" not in seg:
-        return f"['{seg}']"
-    if seg and not set(seg) & set(".[") and seg != "*":
-        return f".{seg}"
-    return None
+def located(raw: Column, path: Sequence[PathSegment]) -> Column:
+    """STRUCT<value, error>: the value at ``path`` verbatim, or why the way to it cannot be read."""
+    steps = list(path)
 
+    def find(texts: pd.Series) -> pd.DataFrame:
+        found = [(None, None) if t is None else json_split.value_at(t, steps) for t in texts]
+        return pd.DataFrame(found, columns=["value", "error"], dtype=object)
 
-def text_at(raw: Column, path: Sequence[PathSegment]) -> Column:
-    """JSON text of the value at ``path``; NULL when the path does not lead anywhere."""
-    if not path:
-        return raw
-    steps = [_plain(s) for s in path]
-    parent, last = text_at(raw, path[:-1]), path[-1]
-    if None in steps:
-        hit = F.filter(children_of(parent, kind_of_text(parent)), lambda c: c["seg"] == str(last))
-        of_kind = kind_of_text(parent) == ("array" if isinstance(last, int) else "object")
-        return F.when(of_kind, F.try_element_at(hit, F.lit(1))["text"])
-    # Through a one-element wildcard the value keeps its quotes, so "1" and 1 differ.
-    wrapped = F.concat(F.lit("["), raw, F.lit("]"))
-    found = F.get_json_object(wrapped, "$[*]" + "".join(steps))
-    if isinstance(last, int):
-        there = F.json_array_length(parent) > last
-    else:
-        there = F.array_contains(F.json_object_keys(parent), last)
-    return F.coalesce(found, F.when(there, F.lit("null")))
+    return F.pandas_udf(find, "value string, error string")(raw)
 
 
 def path_label(path: Sequence[PathSegment]) -> str:
-    out = ""
-    for seg in path:
-        out += f"[{seg}]" if isinstance(seg, int) else ("." if out else "") + seg
-    return out
+    return json_split.path_text(path)
 
 
 def value_preview(text: Column, kind: Column) -> Column:

@@ -1,86 +1,180 @@
-"""JSON inside records, for every record of a dataset at once."""
+"""JSON inside records, for every record of a dataset at once.
+
+Values are handed out as they stand in the record.  What cannot be read comes
+as a row with an ``error``, never as a missing row.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import sys
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import islice
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlantern.functions.json_text import (
-    PathSegment, child_count, children_of, kind_of_text, path_label, text_at, value_preview)
-from rowlantern.functions.render import PREVIEW_CHARS, cut
+from rowlantern.functions import json_split
+from rowlantern.functions.json_text import PathSegment, kind_of_text, located, path_label, value_preview
+from rowlantern.functions.render import CUT_MARK, PREVIEW_CHARS, cut
 from rowlantern.functions.search_text import matches
 from rowlantern.operators.select import key_columns
 
-# Page of children, and where counting stops by default.
+# Fixed value: page of children.
 CHILD_PAGE = 50
-MAX_COUNTED = 200_000
-MAX_DEPTH = 16
+# Rows and characters that leave a task at once.
+_ROWS, _CHARS = 10_000, 8 << 20
+_CHILD = "pos long, seg string, kind string, text string, error string"
+
+
+cloudpickle.register_pickle_by_value(json_split)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _unfolded(records: DataFrame, column: str, schema: str, unfold: Callable[[str], Iterator[tuple]]) -> DataFrame:
+    """The rows ``unfold`` gives for the text of each record, behind the record's other columns.
+
+    One narrow pass; rows leave in bounded batches, so a record with very many
+    nodes is never held as one list.
+    """
+    keys = [c for c in records.columns if c != column]
+    rows = records.select(*keys, column)
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [pa.field(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(", "))]
+
+    def run(batches):
+        for batch in batches:
+            texts, at, made, chars = batch.column(len(keys)), [], [], 0
+
+            def flush():
+                left = [batch.column(i).take(pa.array(at, pa.int32())) for i in range(len(keys))]
+                right = [pa.array(values, field.type) for values, field in zip(zip(*made), fields)]
+                return pa.RecordBatch.from_arrays(left + right, names=[*keys, *(f.name for f in fields)])
+
+            for i in range(len(texts)):
+                text = texts[i].as_py()
+                for row in () if text is None else unfold(text):
+                    at.append(i)
+                    made.append(row)
+                    chars += sum(len(v) for v in row if isinstance(v, str))
+                    if len(at) >= _ROWS or chars >= _CHARS:
+                        yield flush()
+                        at, made, chars = [], [], 0
+            if at:
+                yield flush()
+
+    return rows.mapInArrow(run, ", ".join([*own, schema]))
+
+
+def _kind(text: str) -> str:
+    return json_split.kind_of(text.lstrip(" \t\r\n\x00"))
+
+
+def _listed(text: str, first: int = 0, last: int | None = None) -> Iterator[tuple]:
+    """Children number ``first`` to ``last - 1``; behind what could be read, the error if there is one."""
+    try:
+        for pos, (seg, a, b) in enumerate(islice(json_split.children(text), last)):
+            if pos >= first:
+                yield pos, seg, json_split.kind_of(text[a:a + 1]), text[a:b], None
+    except ValueError as err:
+        yield None, None, "unknown", None, f"not JSON: {err}"
 
 
 def subtree(records: DataFrame, path: Sequence[PathSegment], on_missing: str = "null", column: str = "raw") -> DataFrame:
-    """The value at ``path`` of every record as JSON text, with its kind.
+    """The value at ``path`` of every record, verbatim, with its kind and ``error``.
 
     ``on_missing``: ``null`` keeps the record with NULL, ``skip`` leaves it out,
-    ``error`` fails the query.
+    ``error`` fails the query.  A record that is broken on the way to the value
+    has an ``error`` and is never left out.
     """
-    value = text_at(F.col(column), path)
+    out = records.select(*key_columns(records), F.col(column).alias("value"))
+    if path:
+        out = out.withColumn("found", located(F.col("value"), path)).select(
+            *key_columns(records), "found.value", "found.error")
+    else:
+        out = out.withColumn("error", F.lit(None).cast("string"))
     if on_missing == "error":
-        value = F.coalesce(value, F.raise_error(F.lit(f"no value at {path_label(path) or 'root'}")).cast("string"))
-    elif on_missing not in ("null", "skip"):
+        why = F.concat(F.lit(f"no value at {path_label(path) or 'root'}"), F.coalesce(
+            F.concat(F.lit(": "), F.col("error")), F.lit("")))
+        out = out.withColumn("value", F.coalesce("value", F.raise_error(why).cast("string")))
+    elif on_missing == "skip":
+        out = out.where(F.col("value").isNotNull() | F.col("error").isNotNull())
+    elif on_missing != "null":
         raise ValueError(f"on_missing: {on_missing}")
-    out = records.select(*key_columns(records), value.alias("value"))
-    if on_missing == "skip":
-        out = out.where(F.col("value").isNotNull())
-    return out.withColumn("kind", F.when(F.col("value").isNotNull(), kind_of_text(F.col("value"))))
+    return out.select(*key_columns(records), "value", F.when(
+        F.col("value").isNotNull(), kind_of_text(F.col("value"))).alias("kind"), "error")
+
+
+def _below(records: DataFrame, path: Sequence[PathSegment], column: str, schema: str, unfold) -> DataFrame:
+    """What ``unfold`` makes of the value at ``path``; a record broken before it gives a row with the error alone."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    steps = list(path)
+
+    def listed(text):
+        value, error = json_split.value_at(text, steps)
+        if error is not None:
+            yield tuple(f"not JSON: {error}" if n == "error" else "unknown" if n == "kind" else None for n in names)
+        elif value is not None:
+            yield from unfold(value)
+
+    keys = key_columns(records)
+    return _unfolded(records.select(*keys, column), column, schema, listed)
 
 
 def children(records: DataFrame, path: Sequence[PathSegment] = (), column: str = "raw",
              preview_chars: int = PREVIEW_CHARS) -> DataFrame:
-    """Direct children at ``path``: pos, seg, kind, preview and the value as JSON text."""
-    at = subtree(records, path, "skip", column)
-    listed = at.select(
-        *key_columns(records), F.inline(children_of(F.col("value"), F.col("kind"))))
-    return listed.select(
-        *key_columns(records), "pos", "seg", "kind", cut(F.col("text"), preview_chars).alias("preview"), "text")
+    """Direct children at ``path``: pos, seg, kind, preview, the value verbatim, and error."""
+    listed = _below(records, path, column, _CHILD, _listed)
+    return listed.select(*key_columns(records), "pos", "seg", "kind", cut(F.col("text"), preview_chars).alias("preview"),
+                         "text", "error")
 
 
 def children_page(records: DataFrame, path: Sequence[PathSegment] = (), cursor: int = 0, limit: int = CHILD_PAGE,
                   column: str = "raw") -> DataFrame:
-    """Children ``cursor .. cursor + limit - 1`` of every record; ``next_cursor`` is NULL at the end."""
-    at = subtree(records, path, "skip", column).withColumn("n", child_count(F.col("value"), F.col("kind")))
-    # Cut the array before it becomes rows.
-    window = F.slice(children_of(F.col("value"), F.col("kind")), F.lit(cursor + 1), F.lit(limit))
-    rows = at.select(*key_columns(records), "n", F.inline(window))
-    return rows.select(
-        *key_columns(records), "pos", "seg", "kind", "text",
-        F.when(F.col("n") > cursor + limit, F.lit(cursor + limit).cast("long")).alias("next_cursor"))
+    """Children ``cursor .. cursor + limit - 1`` of every record; ``next_cursor`` is NULL at the end.
 
+    Reading stops one child behind the page.
+    """
+    def page(text):
+        rows = list(_listed(text, cursor, cursor + limit + 1))
+        more = cursor + limit if len(rows) > limit and rows[limit][4] is None else None
+        yield from ((*row, more) for row in (rows[:limit] if more else rows))
 
-def node_summary(records: DataFrame, path: Sequence[PathSegment] = (), max_items: int = MAX_COUNTED,
+    listed = _below(records, path, column, f"{_CHILD}, next_cursor long", page)
+    return listed.select(*key_columns(records), "pos", "seg", "kind", "text", "next_cursor", "error")
+
+
+def node_summary(records: DataFrame, path: Sequence[PathSegment] = (), max_items: int | None = None,
                  column: str = "raw") -> DataFrame:
-    """Kind and number of children, counted up to ``max_items``; ``complete`` tells if that was all."""
-    at = subtree(records, path, "skip", column)
-    n = child_count(F.col("value"), F.col("kind"))
-    return at.select(
-        *key_columns(records), "kind",
-        F.when(n.isNotNull(), F.least(n, F.lit(max_items).cast("long"))).alias("child_count"),
-        (n.isNull() | (n <= max_items)).alias("complete"))
+    """Kind and number of children; with ``max_items`` counting stops there and ``complete`` is false."""
+    def count(text):
+        kind = _kind(text)
+        try:
+            n = sum(1 for _ in islice(json_split.children(text), None if max_items is None else max_items + 1))
+        except ValueError as err:
+            yield kind, None, False, f"not JSON: {err}"
+            return
+        over = max_items is not None and n > max_items
+        held = kind in ("object", "array")
+        yield kind, (max_items if over else n) if held else None, not over, None
+
+    return _below(records, path, column, "kind string, child_count long, complete boolean, error string", count)
 
 
 def select_children(records: DataFrame, path: Sequence[PathSegment], wanted: Iterable[PathSegment],
                     column: str = "raw") -> DataFrame:
     """The named children (keys of an object, indexes of an array), in document order."""
     wanted = list(wanted)
-    keys = [w for w in wanted if isinstance(w, str)]
-    indexes = [str(w) for w in wanted if not isinstance(w, str)]
-    at = subtree(records, path, "skip", column)
-    names = F.when(F.col("kind") == "object", F.array(*[F.lit(k) for k in keys]).cast("array<string>")).otherwise(
-        F.array(*[F.lit(i) for i in indexes]).cast("array<string>"))
-    chosen = F.filter(children_of(F.col("value"), F.col("kind")), lambda c: F.array_contains(F.col("names"), c["seg"]))
-    rows = at.withColumn("names", names).select(*key_columns(records), F.inline(chosen))
-    return rows.select(*key_columns(records), "pos", "seg", "kind", "text")
+    keys = {w for w in wanted if isinstance(w, str)}
+    indexes = {str(w) for w in wanted if not isinstance(w, str)}
+
+    def chosen(text):
+        names = keys if _kind(text) == "object" else indexes
+        return (row for row in _listed(text) if row[1] in names or row[4] is not None)
+
+    return _below(records, path, column, _CHILD, chosen)
 
 
 def subtree_as_records(records: DataFrame, path: Sequence[PathSegment] = (), column: str = "raw") -> DataFrame:
@@ -90,82 +184,58 @@ def subtree_as_records(records: DataFrame, path: Sequence[PathSegment] = (), col
     as ``parent_*``.
     """
     keys = key_columns(records)
-    at = subtree(records, path, "skip", column)
-    scalar = F.array(F.struct(
-        F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("seg"),
-        F.col("kind").alias("kind"), F.col("value").alias("text")))
-    parts = F.when(F.col("kind").isin("object", "array"), children_of(F.col("value"), F.col("kind"))).when(
-        F.col("kind") != "null", scalar)
-    rows = at.select(*[F.col(k).alias(f"parent_{k}") for k in keys], F.col("kind").alias("of"), F.inline(parts))
+
+    def parts(text):
+        kind = _kind(text)
+        if kind in ("object", "array", "unknown"):
+            yield from ((*row, kind) for row in _listed(text))
+        elif kind != "null":
+            yield 0, None, kind, text, None, kind
+
+    rows = _below(records, path, column, f"{_CHILD}, of string", parts)
     label = F.when(F.col("of") == "array", F.concat(F.lit("#"), F.col("seg"))).when(
         F.col("of") == "object", F.concat(F.col("seg"), F.lit(":")))
     preview = F.concat_ws(" ", label, value_preview(F.col("text"), F.col("kind")))
     return rows.select(
-        *[f"parent_{k}" for k in keys], F.col("pos").alias("record_id"), F.coalesce(label, F.lit("")).alias("label"),
-        "kind", preview.alias("preview"), F.col("text").alias("raw"))
+        *[F.col(k).alias(f"parent_{k}") for k in keys], F.col("pos").alias("record_id"),
+        F.coalesce(label, F.lit("")).alias("label"), "kind", preview.alias("preview"), F.col("text").alias("raw"), "error")
 
 
 def subtree_search(records: DataFrame, path: Sequence[PathSegment], query: str, column: str = "raw") -> DataFrame:
-    """Children whose label, preview or value contains the text (no ``key:value`` here)."""
+    """Children whose label, preview or value contains the text (no ``key:value`` here), and unreadable records."""
     found = subtree_as_records(records, path, column)
     hay = F.concat_ws("\n", F.col("preview"), F.col("raw"))
-    return found.where(matches(hay, query, key_value=False))
+    return found.where(matches(hay, query, key_value=False) | F.col("error").isNotNull())
 
 
-def _children_as_nodes(node, preview_chars: int):
-    """A folded container as itself and, behind it, its children; any other node alone."""
-    prefix = F.when(node["path"] == "", "").otherwise(F.concat(node["path"], F.lit(".")))
-
-    def child(c):
-        path = F.when(
-            node["kind"] == "array", F.concat(node["path"], F.lit("["), c["seg"], F.lit("]"))
-        ).otherwise(F.concat(prefix, c["seg"]))
-        return F.struct(
-            path.alias("path"), (node["depth"] + 1).alias("depth"), c["pos"].alias("pos"), c["seg"].alias("seg"),
-            c["kind"].alias("kind"), F.lit(None).cast("long").alias("child_count"),
-            cut(c["text"], preview_chars).alias("preview"),
-            F.when(c["kind"].isin("object", "array"), c["text"]).alias("text"))
-
-    def unfolded(kids):
-        own = F.struct(
-            node["path"].alias("path"), node["depth"].alias("depth"), node["pos"].alias("pos"),
-            node["seg"].alias("seg"), node["kind"].alias("kind"),
-            F.coalesce(F.size(kids), F.lit(0)).cast("long").alias("child_count"),
-            node["preview"].alias("preview"), F.lit(None).cast("string").alias("text"))
-        return F.when(kids.isNull(), F.array(own)).otherwise(F.concat(F.array(own), F.transform(kids, child)))
-
-    # An array of one stands for "let kids be ...": the JSON is parsed once.
-    kids = F.array(children_of(node["text"], node["kind"]))
-    return F.when(node["text"].isNull(), F.array(node)).otherwise(F.flatten(F.transform(kids, unfolded)))
-
-
-def nodes(records: DataFrame, max_depth: int = MAX_DEPTH, column: str = "raw",
+def nodes(records: DataFrame, max_depth: int | None = None, column: str = "raw",
           preview_chars: int = PREVIEW_CHARS) -> DataFrame:
-    """Every node of every record: path, depth, pos, seg, kind, child_count, preview.
+    """Every node of every record: path, depth, pos, seg, kind, child_count, preview, expanded, error.
 
-    One narrow stage: a record unfolds level by level inside its own row and
-    stops at its own depth, so the input is read once and nothing is shuffled.
-    A container at ``max_depth`` is listed with its child count and ``expanded``
-    false.
+    One narrow pass and one walk over each text, to any depth.  With ``max_depth``
+    a container there is listed with its child count and ``expanded`` false.  A
+    record that cannot be read to the end has, behind the nodes that were, a row
+    with its ``error``.
     """
+    def listed(text):
+        place: list[int] = []  # children read so far of the containers on the way; a container ends behind its children
+        try:
+            for path, kind, count, start, end in json_split.walk(text):
+                depth = len(path)
+                del place[depth + 1:]
+                place += [0] * (depth + 1 - len(place))
+                pos = place[depth]
+                place[depth] += 1
+                if max_depth is not None and depth > max_depth:
+                    continue
+                shown = text[start:min(end, start + preview_chars)] + (CUT_MARK if end - start > preview_chars else "")
+                expanded = count is None or max_depth is None or depth < max_depth
+                yield (json_split.path_text(path), depth, pos, str(path[-1]) if path else None, kind, count,
+                       shown if preview_chars > 0 else "", expanded, None)
+        except ValueError as err:
+            yield "", 0, None, None, "unknown", None, None, False, f"not JSON: {err}"
+
     keys = key_columns(records)
-    raw = F.col(column)
-    kind = kind_of_text(raw)
-    root = F.struct(
-        F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("pos"),
-        F.lit(None).cast("string").alias("seg"), F.col("kind"), F.lit(None).cast("long").alias("child_count"),
-        cut(raw, preview_chars).alias("preview"),
-        F.when(F.col("kind").isin("object", "array"), raw).alias("text"))
-
-    def one_level(found, _):
-        folded = F.exists(found, lambda n: n["text"].isNotNull())
-        return F.when(folded, F.flatten(F.transform(found, lambda n: _children_as_nodes(n, preview_chars)))).otherwise(found)
-
-    levels = F.sequence(F.lit(1), F.lit(max_depth)) if max_depth else F.array().cast("array<int>")
-    listed = records.where(raw.isNotNull()).select(*keys, raw, kind.alias("kind")).select(
-        *keys, F.inline(F.aggregate(levels, F.array(root), one_level)))
-    left = F.col("text").isNotNull()
-    return listed.select(
-        *keys, "path", "depth", "pos", "seg", "kind",
-        F.when(left, child_count(F.col("text"), F.col("kind"))).otherwise(F.col("child_count")).alias("child_count"),
-        "preview", (~left).alias("expanded"))
+    return _unfolded(records.select(*keys, column), column, (
+        "path string, depth int, pos long, seg string, kind string, child_count long, preview string, "
+        "expanded boolean, error string"), listed)
