@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rowlantern.llm import byte_gru, chosen_path, packing, paragraphs, toxicity
-from rowlantern.llm.tables import store
+from rowlantern.llm.tables import ready, store
 
 #: Least mean probability of the most likely language; below it a document is rejected.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -54,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

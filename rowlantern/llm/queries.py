@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowlantern.llm import bpe, byte_gru, chosen_path, hash_tree, maxscore, packing, paragraphs, toxicity, url_reputation, winnowing
+from rowlantern.llm.tables import ready
 
 SHARDS = 8
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
@@ -16,7 +17,7 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_prefix_bpe(spark, sf_dir):
