@@ -82,13 +82,16 @@ def with_json_ok(df: DataFrame, column: str, name: str) -> DataFrame:
     The built-in parsers stop after the first value, so the text is put in an
     array, followed by a token no value can hold (its own digest): only a text
     that is one complete value leaves that token in second place.  The VARIANT
-    parser is strict but also refuses repeated keys and very long strings; the
-    few rows where a lenient parser disagrees get a second opinion.
+    parser is strict but also refuses repeated keys, deep and very long values;
+    what it refuses and a lenient parser reads, or what looks like a container,
+    gets a second opinion.
     """
     raw = F.col(column)
     framed = F.concat(F.lit("["), raw, F.lit(',"'), F.md5(raw), F.lit('"]'))
     strict = F.try_variant_get(F.try_parse_json(framed), "$[1]", "string") == F.md5(raw)
-    lenient = (F.json_array_length(framed) == 2) | (F.octet_length(raw) > 10_000_000)
+    # Containers may be nested deeper, and texts be longer, than either parser reads.
+    beyond = kind_of_text(raw).isin("object", "array") | (F.octet_length(raw) > 10_000_000)
+    lenient = F.coalesce(F.json_array_length(framed) == 2, F.lit(False)) | beyond
     flagged = df.withColumn("_strict", F.coalesce(strict, F.lit(False)))
     flagged = flagged.withColumn("_doubt", ~F.col("_strict") & F.coalesce(lenient, F.lit(False)))
     opinion = _strictly_json(F.when(F.col("_doubt"), raw))

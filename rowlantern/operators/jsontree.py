@@ -187,8 +187,9 @@ def subtree_as_records(records: DataFrame, path: Sequence[PathSegment] = (), col
 
     def parts(text):
         kind = _kind(text)
-        if kind in ("object", "array", "unknown"):
-            yield from ((*row, kind) for row in _listed(text))
+        listed = list(_listed(text)) if kind not in ("object", "array") else _listed(text)
+        if kind in ("object", "array") or listed:  # a scalar has no children, so what it lists is an error
+            yield from ((*row, kind) for row in listed)
         elif kind != "null":
             yield 0, None, kind, text, None, kind
 

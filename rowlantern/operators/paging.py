@@ -19,8 +19,9 @@ def next_page(records: DataFrame, record_id: int = 0, size: int = PAGE_SIZE, fil
     """``size`` records from ``record_id`` on, with ``next_id`` (NULL at the end) and ``eof``.
 
     The bound is a filter on the key, so a deep page costs what the first one
-    does.  With several files give the file the page starts in; the page runs on
-    into the next file and ``next_file`` says where.
+    does.  With several files the cursor is the pair of ``file`` and ``record_id``;
+    without a file the page starts in the smallest one.  It runs on into the
+    next file and ``next_file`` says where.
 
     ``dense`` promises that no record was filtered out, so ids have no gaps.
     Then only ``size + 1`` ids per file can be on the page, and the rest is
@@ -29,6 +30,8 @@ def next_page(records: DataFrame, record_id: int = 0, size: int = PAGE_SIZE, fil
     keys = key_columns(records)
     last_id = record_id + size if dense else (1 << 63) - 1
     start = F.col("record_id").between(record_id, last_id)
+    if file is None and record_id and "file" in keys:
+        file = records.agg(F.min("file")).first()[0]
     if file is not None:
         later = F.col("file") > file
         if dense:
@@ -59,6 +62,9 @@ def hits_page(hits: DataFrame, index: int = 0, size: int = HITS_PAGE_SIZE) -> Da
     return page.withColumn("next_index", following).withColumn("eof", ~F.col("truncated")).drop("truncated")
 
 
-def hits_after(hits: DataFrame, record_id: int, size: int = HITS_PAGE_SIZE) -> DataFrame:
-    """The page of hits behind a known one; unlike an index it reads no earlier hits."""
-    return next_page(hits.where(F.col("record_id") > record_id), record_id + 1, size)
+def hits_after(hits: DataFrame, record_id: int, size: int = HITS_PAGE_SIZE, file: str | None = None) -> DataFrame:
+    """The page of hits behind a known one; unlike an index it reads no earlier hits.
+
+    With several files the known hit is named by its file, too; else it is one of the smallest file.
+    """
+    return next_page(hits, record_id + 1, size, file)

@@ -17,16 +17,27 @@ def key_columns(df: DataFrame) -> list[str]:
     return [c for c in ("file", "record_id") if c in df.columns]
 
 
-def select_by_ids(records: DataFrame, ids: DataFrame | Iterable[int]) -> DataFrame:
+def select_by_ids(records: DataFrame, ids: DataFrame | Iterable[int] | Iterable[tuple[str, int]],
+                  file: str | None = None) -> DataFrame:
     """Records whose id is listed; repeated ids count once, unknown ones select nothing.
 
+    An id is a number within its file: records of several files are named by
+    pairs of file and id, or by ids and one ``file``.
     A Python list is broadcast while its length allows it.  Ids in a DataFrame
     carry no hint: Spark sees their size at run time and picks the join.
     """
     if isinstance(ids, DataFrame):
         keys = [c for c in key_columns(ids) if c in records.columns]
         return records.join(ids.select(*keys).distinct(), keys, "left_semi")
+    ids = list(ids)
+    if ids and isinstance(ids[0], tuple):
+        table = records.sparkSession.createDataFrame(sorted(set(ids)), "file string, record_id long")
+        return records.join(table, ["file", "record_id"], "left_semi")
     wanted = sorted({int(i) for i in ids})
+    if file is not None:
+        records = records.where(F.col("file") == file)
+    elif wanted and "file" in records.columns and records.select("file").distinct().limit(2).count() > 1:
+        raise ValueError("several files: give pairs of file and id, or the file")
     if len(wanted) <= _LITERAL_IDS:
         return records.where(F.col("record_id").isin(wanted)) if wanted else records.where(F.lit(False))
     table = records.sparkSession.createDataFrame([(i,) for i in wanted], "record_id long")

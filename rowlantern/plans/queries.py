@@ -13,12 +13,11 @@ from rowlantern.plans.tables import (
     document_trees, documents, documents_as, event_props, field, table, table_as_csv)
 from rowlantern.session import scratch_path
 from rowlantern.sinks import export_records, export_subtree
-from rowlantern.sources import as_records, catalog, read_csv, read_json, read_jsonl
+from rowlantern.sources import as_records, catalog, open_dataset, read_csv, read_json, read_jsonl
 from rowlantern.streaming import start_search, stream_hits
 
 PHRASE = "of the"
-PART = ["p_partkey", "p_name", "p_brand"]
-ORDER = ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"]
+PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 
 
 def _string_value(column: str) -> Column:
@@ -35,7 +34,7 @@ def scan_parquet_records(spark, sf):
 def _scanned_documents(records: DataFrame, first_id: int = 0) -> DataFrame:
     """``id_shift`` is 0 when every record got the id of its place in the file."""
     return records.select(
-        field("doc_id").cast("long").alias("doc_id"), field("lang"), field("n_chars").cast("long").alias("n_chars"),
+        field("doc_id").cast("long").alias("doc_id"), field("lang"), field("source"), field("n_chars").cast("long").alias("n_chars"),
         F.md5(F.get_json_object("raw", "$.text")).alias("text_md5"),
         (F.col("record_id") - first_id - field("row").cast("long")).alias("id_shift"))
 
@@ -49,12 +48,21 @@ def scan_json_array_records(spark, sf):
 
 
 def scan_csv_records(spark, sf):
-    path = table_as_csv(spark, sf, "documents", ["doc_id", "lang", "n_chars", "text"])
+    path = table_as_csv(spark, sf, "documents", ["doc_id", "lang", "source", "n_chars", "text"])
     return _scanned_documents(read_csv(spark, path).where("record_id > 0"), first_id=1)
 
 
+def open_by_path(spark, sf):
+    """A folder opened by its format, with the layout found by itself."""
+    return _scanned_documents(open_dataset(spark, documents_as(spark, sf, "json"), "json"))
+
+
 def catalog_scan(spark, sf):
-    return catalog(spark, sf).where("supported").select("name", "kind", "format", "supported")
+    """Every readable file of the folder with the number of its records."""
+    files = catalog(spark, sf).where("supported")
+    anything = spark.read.schema("_none int").option("recursiveFileLookup", "true").parquet(sf)
+    counts = anything.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("records"))
+    return files.join(counts, "path", "left").select("name", "kind", "format", "supported", "records")
 
 
 # --- identity, view, lookup ----------------------------------------------
@@ -109,8 +117,7 @@ def search_key_value(spark, sf):
 
 
 def search_rows(spark, sf):
-    return op.search(as_records(table(spark, sf, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"]),
-                     "1-urgent").select("record_id")
+    return op.search(as_records(table(spark, sf, "orders")), "1-urgent").select("record_id")
 
 
 def search_scan_all_capped(spark, sf):
@@ -118,6 +125,13 @@ def search_scan_all_capped(spark, sf):
     return hits.select("record_id", "hit_no", "truncated")
 
 
+def search_csv_capped(spark, sf):
+    """The first hits in CSV records; ids count records, whatever line breaks stand in their fields."""
+    records = read_csv(spark, table_as_csv(spark, sf, "documents", ["doc_id", "lang", "source", "n_chars", "text"]))
+    hits = op.search_hits(records.where("record_id > 0"), PHRASE, max_hits=100)
+    return hits.select((F.col("record_id") - 1).alias("record_id"), "hit_no", "truncated")
+
+
 def search_hits_page(spark, sf):
     hits = op.search_hits(documents(spark, sf), PHRASE)
     return op.hits_page(hits, index=20, size=10).select("record_id", "hit_no", "next_index", "eof")
@@ -132,7 +146,7 @@ def search_stream(spark, sf):
     folder, mark = scratch_path(spark, "stream-hits"), scratch_path(spark, "stream-mark")
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     # A glob, because the table may be one file or a folder of files.
-    hits = stream_hits(spark, f"{sf}/documents.parque?", PHRASE, "parquet", schema, columns=["text"])
+    hits = stream_hits(spark, f"{sf}/documents.parque?", PHRASE, "parquet", schema)
     start_search(hits, folder, mark, available_now=True).awaitTermination()
     return spark.read.schema("file string, record_id long, preview string").parquet(folder).select("record_id")
 
@@ -165,8 +179,8 @@ def select_by_ids(spark, sf):
 
 
 def select_search_hits(spark, sf):
-    docs = documents(spark, sf)
-    return op.select_by_ids(docs, op.search_hits(docs, PHRASE)).select("record_id", "lang", "n_chars")
+    """All hits as a selection: the filter itself, in the scan."""
+    return op.search(documents(spark, sf), PHRASE).select("record_id", "lang", "n_chars")
 
 
 def selection_union(spark, sf):
@@ -246,13 +260,18 @@ def _json_lines(spark, path, schema):
     return spark.read.schema(schema).json(path)
 
 
-_ORDER_DDL = "o_orderkey long, o_orderstatus string, o_orderpriority string, o_totalprice double"
-_DOC_DDL = "doc_id long, lang string, text string"
-_PART_DDL = "p_partkey string, p_name string, p_brand string"
+_ORDER_DDL = ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, "
+              "o_orderpriority string")
+_DOC_DDL = "doc_id long, lang string, source string, n_chars long, text string"
+_PART_DDL = ", ".join(f"{c} string" for c in PART)
 
 
 def _doc_columns(df):
-    return df.select("doc_id", "lang", F.md5("text").alias("text_md5"))
+    return df.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
+def _order_columns(df):
+    return df.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 def _parsed(records, schema):
@@ -261,14 +280,14 @@ def _parsed(records, schema):
 
 def export_parquet_to_jsonl(spark, sf):
     out = scratch_path(spark, "orders-jsonl")
-    export_records(as_records(table(spark, sf, "orders"), ORDER), "parquet", "jsonl", out)
-    return _json_lines(spark, out, _ORDER_DDL)
+    export_records(as_records(table(spark, sf, "orders")), "parquet", "jsonl", out)
+    return _order_columns(_json_lines(spark, out, _ORDER_DDL))
 
 
 def export_parquet_to_json(spark, sf):
     out = scratch_path(spark, "orders-json")
-    export_records(as_records(table(spark, sf, "orders"), ORDER), "parquet", "json", out)
-    return _parsed(read_json(spark, out, shape="array", layout="lines"), _ORDER_DDL)
+    export_records(as_records(table(spark, sf, "orders")), "parquet", "json", out)
+    return _order_columns(_parsed(read_json(spark, out, shape="array", layout="lines"), _ORDER_DDL))
 
 
 def export_jsonl_passthrough(spark, sf):
@@ -291,6 +310,19 @@ def export_json_to_jsonl(spark, sf):
     return _doc_columns(_json_lines(spark, out, _DOC_DDL))
 
 
+def export_json_to_json(spark, sf):
+    out = scratch_path(spark, "documents-again")
+    export_records(read_json(spark, documents_as(spark, sf, "json"), shape="array", layout="lines"), "json", "json", out)
+    return _doc_columns(_parsed(read_json(spark, out, shape="array", layout="lines"), _DOC_DDL))
+
+
+def export_jsonl_to_csv(spark, sf):
+    """A pass-through: the lines of all records, whatever the name of the format."""
+    out = scratch_path(spark, "documents-csv")
+    export_records(read_jsonl(spark, documents_as(spark, sf, "jsonl"), locations=False), "jsonl", "csv", out)
+    return _doc_columns(_json_lines(spark, out, _DOC_DDL))
+
+
 def _csv_parts(spark, sf):
     return read_csv(spark, table_as_csv(spark, sf, "part", PART))
 
@@ -317,8 +349,11 @@ def export_csv_passthrough(spark, sf):
 
 def export_json_subtree(spark, sf):
     out = scratch_path(spark, "meta-jsonl")
-    export_subtree(document_trees(spark, sf), [], "jsonl", out, children=["meta"])
-    return _json_lines(spark, out, "source string, n_chars long")
+    export_subtree(document_trees(spark, sf), [], "jsonl", out, children=["meta", "lang"])
+    lines = spark.read.text(out)
+    whole = F.from_json("value", "source string, n_chars long")
+    return lines.select(F.when(F.col("value").startswith("{"), whole["source"]).otherwise(F.col("value")).alias("shown"),
+                        whole["n_chars"].alias("n_chars"))
 
 
 def export_summary(spark, sf):
@@ -330,6 +365,26 @@ def export_summary(spark, sf):
     return made[0].unionByName(made[1]).select(F.col("format").alias("fmt"), "records_written")
 
 
+# --- profiles ------------------------------------------------------------
+
+def column_filter(spark, sf):
+    return op.column_filter(table(spark, sf, "lineitem"), "l_quantity >= 45 and l_returnflag = 'R'",
+                            ["l_orderkey", "l_linenumber", "l_quantity"])
+
+
+def stats_missing_rate(spark, sf):
+    docs, labels = (table(spark, sf, name).drop("file", "record_id") for name in ("documents", "labels"))
+    return op.missing_rate(docs.join(labels, "doc_id", "left"))
+
+
+def stats_topk(spark, sf):
+    return op.top_values(table(spark, sf, "events"), "event_type", 3)
+
+
+def stats_schema(spark, sf):
+    return op.json_schema(document_trees(spark, sf))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Search all documents for a phrase; show the first hits as bounded records."""
     records = as_records(table(spark, sf, "documents"))
@@ -338,18 +393,19 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = (
-    scan_parquet_records, scan_jsonl_records, scan_csv_records, scan_json_array_records, catalog_scan,
+    scan_parquet_records, scan_jsonl_records, scan_csv_records, scan_json_array_records, open_by_path, catalog_scan,
     record_view, row_to_json, row_to_preview_line, get_record, json_validity,
-    search_substring, search_case_sensitive, search_key_value, search_rows, search_scan_all_capped,
+    search_substring, search_case_sensitive, search_key_value, search_rows, search_scan_all_capped, search_csv_capped,
     search_hits_page, search_current_page, search_stream, subtree_search,
     occurrence_count, occurrence_total, match_spans,
     select_by_ids, select_search_hits, selection_union, selection_difference,
     next_page, page_at_offset,
     json_children, json_children_page, json_node_summary, json_subtree, json_select_children,
     subtree_as_records, json_nodes,
-    row_count, hits_by_group, export_summary,
+    row_count, hits_by_group, export_summary, column_filter, stats_missing_rate, stats_topk, stats_schema,
     export_parquet_to_jsonl, export_parquet_to_json, export_jsonl_passthrough, export_jsonl_to_json,
-    export_csv_passthrough, export_csv_to_jsonl, export_csv_to_json, export_json_to_jsonl, export_json_subtree,
+    export_csv_passthrough, export_csv_to_jsonl, export_csv_to_json, export_json_to_jsonl, export_json_to_json,
+    export_jsonl_to_csv, export_json_subtree,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

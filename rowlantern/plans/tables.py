@@ -40,7 +40,7 @@ def row_in_part() -> Column:
 def documents_as(spark: SparkSession, sf_dir: str, fmt: str) -> str:
     """All documents written as jsonl or as JSON arrays; ``row`` is the place in the file."""
     docs = table(spark, sf_dir, "documents").withColumn("row", row_in_part())
-    obj = F.to_json(F.struct("doc_id", "lang", "n_chars", "text", "row"))
+    obj = F.to_json(F.struct("doc_id", "lang", "source", "n_chars", "text", "row"))
     out = scratch_path(spark, f"documents-{fmt}")
     export_records(docs.select(*KEYS, obj.alias("raw")), "parquet", fmt, out, ordered=False)
     return out

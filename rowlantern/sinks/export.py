@@ -64,6 +64,8 @@ def export_subtree(records: DataFrame, path: list[PathSegment], out_format: str,
         container = F.col("kind").isin("object", "array")
         leaf = whole.where(~container).select(*keys, F.lit(0).cast("long").alias("pos"), "value")
         picked = select_children(whole.where(container), [], children, "value")
+        fail = F.raise_error(F.concat(F.lit("cannot read children: "), F.col("error"))).cast("string")
+        picked = picked.withColumn("text", F.when(F.col("error").isNotNull(), fail).otherwise(F.col("text")))
         out = picked.select(*keys, "pos", F.col("text").alias("value")).unionByName(leaf)
     return write_values(out, [*keys, "pos"], out_format, out_path, ordered, mode)
 
@@ -72,6 +74,9 @@ def write_values(df: DataFrame, order: list[str], out_format: str, out_path: str
     spark = df.sparkSession
     if ordered:
         df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    if out_format in ("json", "jsonl"):
+        # A record without a value stays a value: it is counted, so it is written.
+        df = df.withColumn("value", F.coalesce("value", F.lit("null")))
     # Counted after the shuffle, in the writing tasks themselves.
     written = Observation()
     lines = df.observe(written, F.count("*").alias("n")).select("value")

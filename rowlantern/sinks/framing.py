@@ -5,17 +5,18 @@ import pyarrow as pa
 
 def json_array(batches):
     yield _lines(["["])
-    held = None
+    held, none = None, True
     for batch in batches:
         values = batch.column(0).to_pylist()
         if not values:
             continue
-        if held is not None:
+        values = ["null" if v is None else v for v in values]
+        if not none:
             values.insert(0, held)
-        held = values.pop()
+        held, none = values.pop(), False
         if values:
             yield _lines([v + "," for v in values])
-    yield _lines(["]"] if held is None else [held, "]"])
+    yield _lines(["]"] if none else [held, "]"])
 
 
 def _lines(values):

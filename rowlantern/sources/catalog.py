@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from rowlantern.operators.search import first_in_order, numbered
 from rowlantern.sources.open import FORMATS
 
-# Default bounds of a folder listing.
-MAX_DEPTH = 64
-MAX_NODES = 20_000
 
-
-def catalog(spark: SparkSession, root: str, max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> DataFrame:
+def catalog(spark: SparkSession, root: str, max_depth: int | None = None,
+            max_nodes: int | None = None) -> DataFrame:
     """One row per node, parents before children, directories first, then by name.
 
     ``ordinal`` is the place in that order; ``truncated`` tells whether nodes
-    beyond ``max_nodes`` exist.  File contents are not read.
+    beyond ``max_nodes`` exist.  All nodes are listed unless a bound is asked
+    for.  File contents are not read.
     """
     listing = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -31,7 +29,9 @@ def catalog(spark: SparkSession, root: str, max_depth: int = MAX_DEPTH, max_node
         F.concat_ws("/", F.lit(base), F.array_join("parts", "/")).alias("path"),
         F.lit(None).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified"),
         "parts", F.lit("dir").alias("kind"))
-    nodes = files.withColumn("kind", F.lit("file")).unionByName(dirs).where(F.size("parts") <= max_depth)
+    nodes = files.withColumn("kind", F.lit("file")).unionByName(dirs)
+    if max_depth is not None:
+        nodes = nodes.where(F.size("parts") <= max_depth)
 
     last = F.element_at("parts", -1)
     ext = F.lower(F.when(last.contains("."), F.substring_index(last, ".", -1)).otherwise(""))
@@ -46,14 +46,13 @@ def catalog(spark: SparkSession, root: str, max_depth: int = MAX_DEPTH, max_node
         F.size("parts").alias("depth"), "kind", fmt.alias("format"),
         (F.coalesce(fmt, F.lit("unknown")) != "unknown").alias("supported"),
         "length", "modified", key.alias("sort_key"))
+    columns = ["ordinal", "path", "parent", "name", "depth", "kind", "format", "supported", "length", "modified"]
+    if max_nodes is None:
+        rows = numbered(shaped, ["sort_key", "path"], "place")
+        return rows.withColumn("ordinal", (F.col("place") + 1).cast("int")).select(*columns, F.lit(False).alias("truncated"))
     # The root counts as a node.
-    kept = shaped.orderBy("sort_key", "path").limit(max_nodes)
-    w = W.orderBy("sort_key", "path")
-    numbered = kept.withColumn("ordinal", F.row_number().over(w)).withColumn(
-        "n", F.count("*").over(W.partitionBy()))
-    return numbered.where(F.col("ordinal") <= max_nodes - 1).select(
-        "ordinal", "path", "parent", "name", "depth", "kind", "format", "supported", "length", "modified",
-        (F.col("n") > max_nodes - 1).alias("truncated"))
+    rows = first_in_order(shaped, ["sort_key", "path"], max_nodes - 1)
+    return rows.withColumn("ordinal", (F.col("hit_no") + 1).cast("int")).select(*columns, "truncated")
 
 
 def _uri(spark: SparkSession, root: str) -> str:
