@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rowlantern.sources import kernels
 from rowlantern.sources.splits import (
-    MAX_RECORD_BYTES, assemble, carried_splits, overview, scan_pieces, straddling_records)
+    assemble, carried_splits, overview, scan_pieces, straddling_records)
 
 # Where text is cut before the structure is known.  A comma separates elements in
 # any root array, also in one without line breaks; where elements stand on lines
@@ -65,8 +65,7 @@ def _second_pass(pieces, splits, seen, sep, array_file):
     text = F.trim(F.make_valid_utf8(F.col("body").cast("string")), F.lit(_TRIM))
     cut = straddling_records(pieces, splits, seen.n_splits, sep).select(
         "file", "record_id", "byte_offset",
-        F.when(F.col("byte_len") > MAX_RECORD_BYTES, F.col("byte_len"))
-        .otherwise(F.octet_length(F.trim(F.col("body").cast("string"), F.lit(_TRIM)))).cast("long").alias("byte_len"),
+        F.octet_length(F.trim(F.col("body").cast("string"), F.lit(_TRIM))).cast("long").alias("byte_len"),
         text.alias("text"), text.alias("raw"))
     return whole.unionByName(cut)
 

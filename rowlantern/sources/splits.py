@@ -24,9 +24,10 @@ from rowlantern.sources import kernels
 cloudpickle.register_pickle_by_value(kernels)
 
 SPLIT_KEY = ["file", "block_start", "block_length"]
-BROADCAST_SPLITS = 1_000_000
-# A Spark row cannot exceed 2 GB; a longer record is reported without its text.
-MAX_RECORD_BYTES = 1 << 30
+# The split table is broadcast within both bounds: rows, and bytes with paths and headers.
+BROADCAST_SPLITS, BROADCAST_BYTES = 1_000_000, 128 << 20
+# A Spark row cannot exceed 2 GB; a longer record ends the query that asks for its text.
+MAX_RECORD_BYTES = 2_000_000_000
 
 
 def scan_pieces(spark: SparkSession, paths, sep: str) -> DataFrame:
@@ -50,7 +51,9 @@ def piece_bytes() -> Column:
 def attach_splits(pieces: DataFrame, splits: DataFrame, n_splits: int, columns: list[str]) -> DataFrame:
     """Join each piece to its split row; fail rather than number rows wrongly."""
     small = splits.select(*SPLIT_KEY, "first_seq", "n_pieces", *columns)
-    broadcast = n_splits <= BROADCAST_SPLITS
+    texts = [F.octet_length(f.name) for f in small.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    size = small.agg(F.sum(sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(128)).cast("long"))).first()[0] or 0
+    broadcast = n_splits <= BROADCAST_SPLITS and size <= BROADCAST_BYTES
     joined = pieces.join(F.broadcast(small) if broadcast else small, SPLIT_KEY, "left")
     moved = F.raise_error(F.lit("file splits changed between two scans of the same data"))
     at = F.col("seq") - F.col("first_seq")
@@ -185,7 +188,7 @@ def straddling_records(pieces: DataFrame, splits: DataFrame, n_splits: int, sep:
     """Records cut by a split boundary, put together from their pieces only.
 
     Yields file, record_id, byte_offset, byte_len, body (binary).  A record over
-    ``MAX_RECORD_BYTES`` keeps its place and length but has a NULL body.
+    ``MAX_RECORD_BYTES`` has its place and length; reading its body ends the query with both.
     """
     spans = ["start", "close", "entry_open", "exit_open", "n_starts", "base_id", "base_off",
              "head_span", "tail_span"]
@@ -225,4 +228,6 @@ def straddling_records(pieces: DataFrame, splits: DataFrame, n_splits: int, sep:
     ).select(
         "file", "record_id", "byte_offset", F.col("span").alias("byte_len"),
         F.when(F.col("span") <= MAX_RECORD_BYTES, F.array_join(
-            F.transform("parts", lambda p: p["text"]), sep)).cast("binary").alias("body"))
+            F.transform("parts", lambda p: p["text"]), sep)).otherwise(F.raise_error(F.concat(
+                F.lit("record too large for a row: "), F.col("file"), F.lit(", record "), F.col("record_id").cast("string"),
+                F.lit(", bytes "), F.col("span").cast("string"))).cast("string")).cast("binary").alias("body"))

@@ -203,8 +203,19 @@ def test_oversized_record_is_reported_not_lost(spark, small_splits, put, monkeyp
     from rowlantern.sources import splits
     monkeypatch.setattr(splits, "MAX_RECORD_BYTES", 200)
     small_splits(16)
-    rows = in_order(read_csv(spark, put("big/b.csv", 'a,b\n1,"' + "x\n" * 120 + '"\n5,6\n')))
-    assert [(r.record_id, r.text is None, r.byte_len) for r in rows] == [(0, False, 4), (1, True, 245), (2, False, 4)]
+    df = read_csv(spark, put("big/b.csv", 'a,b\n1,"' + "x\n" * 120 + '"\n5,6\n'))
+    rows = df.select("file", "record_id", "byte_len").orderBy("record_id").collect()
+    assert [(r.record_id, r.byte_len) for r in rows] == [(0, 4), (1, 245), (2, 4)]
+    with pytest.raises(Exception, match="record too large for a row.*b.csv, record 1, bytes 245"):
+        df.select("text").collect()
+
+
+def test_wide_headers_are_not_broadcast(spark, small_splits, put, monkeypatch):
+    from rowlantern.sources import splits
+    monkeypatch.setattr(splits, "BROADCAST_BYTES", 1000)
+    small_splits(24)
+    df = read_csv(spark, put("wide/a.csv", "a,b\n" + "1,2\n" * 60))
+    assert df.count() == 61
 
 
 def test_scan_fails_when_splits_move_between_passes(spark, small_splits, put):
