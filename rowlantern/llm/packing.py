@@ -24,7 +24,18 @@ from tokenizers import Tokenizer
 from rowlantern.llm.tables import store
 
 ENDS = (".", ",")
-CACHED_WORDS, CACHED_BASES, BATCH = 200_000, 300_000, 4096
+CACHED_WORDS, CACHED_BASES, BATCH = 200_000, 500_000, 4096
+LAST_LATIN = "\xff"
+
+
+def _byte_characters() -> list[str]:
+    """The printable character by which byte-level tokenizers show each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+SEEN = _byte_characters()
 PIECE = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
     ("doc_tokens", pa.int64()), ("task", pa.int64()), ("sequence", pa.int64()), ("offset", pa.int64()),
@@ -54,6 +65,11 @@ class WordCoder:
         return [np.array(e.ids, "<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _merged(self, word: str) -> bytes:
+        """Ids of lower-case Latin letters, which normalisation and splitting leave as they are."""
+        seen = word if word.isascii() else "".join(map(SEEN.__getitem__, word.encode()))
+        return np.array([t.id for t in self.tokenizer.model.tokenize(seen)], "<u4").tobytes()
+
     def _learn(self, words: set[str]) -> None:
         if len(self.bases) >= CACHED_BASES:
             self.bases, self.older = {}, self.bases
@@ -61,11 +77,14 @@ class WordCoder:
         for w in words:
             # The pattern never matches a letter and a stop together.
             base, end = (w[:-1], w[-1]) if w[-1:] in ENDS and w[-2:-1].lower().isalpha() else (w, "")
-            cut.append((w, base.lower() if base.isascii() else base, end))
+            latin = base.isalpha() and max(base) <= LAST_LATIN
+            cut.append((w, base.lower() if latin or base.isascii() else base, end))
         fresh = []
         for base in {base for _, base, _ in cut}.difference(self.bases):
             if base in self.older:
                 self.bases[base] = self.older[base]
+            elif base.isalpha() and max(base) <= LAST_LATIN:
+                self.bases[base] = self._merged(base)
             else:
                 fresh.append(base)
         for i in range(0, len(fresh), BATCH):
@@ -199,7 +218,7 @@ def _merge_task(size: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096, windows: int = 16, merge: int = 32,
+def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096, windows: int = 16, merge: int = 8,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents in sequences of ``size`` tokens (a power of two).
 
