@@ -29,7 +29,7 @@ def op2_url_reputation(spark, sf_dir):
     """Pages by rule or host reputation; an outcome is the quality label of the same number."""
     outcomes = read(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return url_reputation.judge(read(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    return url_reputation.judge(read(spark, sf_dir, "pages"), outcomes, URL_RULES).drop("bad_bound")
 
 
 def op3_maxscore(spark, sf_dir):
@@ -117,3 +117,105 @@ SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(least.r,
        coalesce(least.r, sets.doc_id) = sets.doc_id AS kept
 FROM sets LEFT JOIN classes ON len(sets.s) > 0 AND list_sort(sets.s) = classes.s LEFT JOIN least ON least.v = classes.c
 """
+
+
+def _level(level: str, above: str, mean: str) -> str:
+    """Prior strength of a level and its shrunk rates, as two tables."""
+    return f"""{level}_fit AS (
+  SELECT CASE WHEN g < 2 OR v = 0 OR width <= 0 OR s <= v / n * free THEN 1000.0
+    ELSE least(1000.0, greatest(1.0, (v / n * width) / (s - v / n * free) - 1)) END AS k
+  FROM (SELECT *, n - nn / n - free AS width FROM (
+    SELECT count(*) AS g, count(*) - 1 AS free, sum(x.n) AS n, sum(x.n * x.n) AS nn,
+           sum(x.n * pow(x.bad / x.n - {mean}, 2)) AS s, sum(x.n * {mean} * (1 - {mean})) AS v
+    FROM {level}s x {above}))
+), {level}_rate AS (
+  SELECT x.{level} AS name, x.bad + k * {mean} AS alpha, x.n - x.bad + k * (1 - {mean}) AS beta
+  FROM {level}s x {above}, {level}_fit
+)"""
+
+
+ORACLE["op2_url_reputation"] = f"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), rows AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), judged AS (
+  SELECT host, bad FROM rows JOIN (SELECT doc_id, max(1 - quality) AS bad FROM labels GROUP BY doc_id) ON doc_id = page_id
+), hosts AS (
+  SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS l
+  FROM (SELECT host, count(*) AS n, sum(bad) AS bad FROM judged GROUP BY host)
+), named AS (
+  SELECT *, l[-1] AS suffix, array_to_string(l[-2:], '.') AS domain FROM hosts
+), domains AS (
+  SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY domain, suffix
+), suffixs AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix
+), base AS (
+  SELECT sum(bad) / sum(n) AS m FROM suffixs
+), hostss AS (
+  SELECT * FROM named
+), {_level("suffix", "CROSS JOIN base", "m")}, {_level(
+    "domain", "JOIN suffix_rate u ON u.name = x.suffix", "(u.alpha / (u.alpha + u.beta))")}, {_level(
+    "host", "JOIN domain_rate u ON u.name = x.domain", "(u.alpha / (u.alpha + u.beta))").replace(
+        "FROM hosts x", "FROM hostss x")}, bounds AS (
+  SELECT name AS host, alpha / (alpha + beta)
+    - 1.645 * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) AS low FROM host_rate
+), ruled AS (
+  SELECT rows.*, low, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM rows LEFT JOIN bounds USING (host)
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN low > 0.3 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
+def _draw(name: str, weight: int) -> str:
+    return f"-ln((CAST('0x' || substr(md5('{name}:' || key), 1, 13) AS BIGINT) + 1.0) / 4503599627370497.0) / {weight}.0"
+
+
+def _lower(a: int, b: int, level: str, prefix: str, weight: int) -> str:
+    """Which of two children draws lower."""
+    return f"CASE WHEN {_draw(f'{level}/{prefix}{a}', weight)} <= {_draw(f'{level}/{prefix}{b}', weight)} THEN {a} ELSE {b} END"
+
+
+ORACLE["op10_hash_tree"] = f"""
+WITH RECURSIVE steps AS (
+  SELECT i, 0 AS k, i AS c FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8
+), bytes AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                        lambda h: CAST('0x' || h AS BIGINT)) AS b
+  FROM documents
+), sized AS (
+  SELECT doc_id, key, CAST(size AS BIGINT) AS size, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b),
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32
+  FROM bytes, crc
+), regions AS (
+  SELECT *, {_lower(0, 1, "region", "r", 4)} AS region, {_draw("region/r+8", 1)} < least(
+    {_draw("region/r0", 4)}, {_draw("region/r1", 4)}) AS moves FROM sized
+), racks AS (
+  SELECT *, CASE region WHEN 0 THEN {_lower(0, 1, "rack", "k", 2)} ELSE {_lower(2, 3, "rack", "k", 2)} END AS rack
+  FROM regions
+), placed AS (
+  SELECT *, CASE rack WHEN 0 THEN {_lower(0, 1, "shard", "", 1)} WHEN 1 THEN {_lower(2, 3, "shard", "", 1)}
+    WHEN 2 THEN {_lower(4, 5, "shard", "", 1)} ELSE {_lower(6, 7, "shard", "", 1)} END AS shard
+  FROM racks
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+       CAST(CASE WHEN moves THEN 8 ELSE shard END AS INTEGER) AS grown_shard
+FROM placed
+"""
