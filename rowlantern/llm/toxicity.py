@@ -262,6 +262,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 4000, longest: int
     share = [min(1.0, per_label / counts[k]) if counts.get(k) else 0.0 for k in (0, 1)]
     mix = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     chosen = known.where(mix < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * float(1 << 30))
+    # The sample's ids are few by the bound above, so no text is shuffled to find it.
+    chosen = F.broadcast(chosen.limit(3 * per_label))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(
         F.length("text") <= longest)
     sample = texts.join(chosen, "doc_id").select("doc_id", "text", "toxic").limit(3 * per_label).collect()
