@@ -3,14 +3,14 @@
 A document is the set of its word shingles, embedded as a fixed number of
 minwise tokens.  Each tree starts with the documents that share one chosen
 token; a node with too many documents branches again by further tokens, chosen
-by a hash of the node, until its documents are few enough to be compared with one
-another.  Independent trees are repeated: a pair at the threshold ``s`` is
+by a hash of the node, until its documents are few enough to be compared with
+one another.  Independent trees are repeated: a pair at the threshold ``s`` is
 missed by all ``t`` trees with a chance of ``(1 - s) ** t`` (2.6e-7 at 0.85 and 8).
 
-What is still large at the last depth are families of near copies.  These are
-compared with a few pivots of the node first; whoever is then outside the node's
-largest component is compared with all others, in blocks, so no pair is left
-out and none is written.  Links are confirmed on full sets.  Only what decides
+Large nodes are families of near copies, or share a common passage.  Their
+documents meet a few pivots of the node first.  Where few are then outside the
+node's largest component, these are compared with all others, in blocks, so no
+pair is left out and none is written; where many are, the node branches.  Links are confirmed on full sets.  Only what decides
 components is kept: a pair that is connected already is not compared again.
 """
 
@@ -108,19 +108,27 @@ def _alike_signs(least: np.ndarray, enough: int) -> np.ndarray:
     return same >= enough
 
 
-def _candidates(percent: int, enough: int):
-    """(node, tree, cid, n, sign) by node to the rows that have a likely partner in it."""
-    schema = pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("cid", pa.int64())])
+def _allowed(group: list[tuple], role: int, percent: int, sizes: np.ndarray, least: np.ndarray, enough: int) -> np.ndarray:
+    """Pairs of a block that may be links: likely by tokens and size, and not both mere members."""
+    roles = np.array([r[role] for r in group])
+    likely = _alike_signs(least, enough)
+    likely &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
+    return likely & ((roles[:, None] != MEMBER) | (roles[None, :] != MEMBER))
+
+
+def _sieve(percent: int, enough: int):
+    """(block, role, cid, comp, n, sign) by block to the rows with a likely partner in another component."""
+    schema = pa.schema([("block", pa.int64()), ("role", pa.int32()), ("cid", pa.int64()), ("comp", pa.int64())])
 
     def run(batches):
         rows = []
         for group in _grouped(batches):
             if len(group) > 1:
-                least = np.frombuffer(b"".join(r[4] for r in group), np.uint32).reshape(-1, TOKENS)
-                n = np.array([r[3] for r in group])
-                likely = _alike_signs(least, enough) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n))
-                np.fill_diagonal(likely, False)
-                rows += [(group[i][1], group[i][0], group[i][2]) for i in np.flatnonzero(likely.any(axis=1))]
+                least = np.frombuffer(b"".join(r[5] for r in group), np.uint32).reshape(-1, TOKENS)
+                comp = np.array([r[3] for r in group])
+                likely = _allowed(group, 1, percent, np.array([r[4] for r in group]), least, enough)
+                likely &= comp[:, None] != comp[None, :]
+                rows += [group[i][:4] for i in np.flatnonzero(likely.any(axis=1))]
             if len(rows) > 5000:
                 yield _out(schema, rows)
                 rows = []
@@ -134,10 +142,9 @@ def _confirm(percent: int, enough: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(group):
-        role, cid, comp = (np.array([r[k] for r in group]) for k in (1, 2, 3))
+        cid, comp = (np.array([r[k] for r in group]) for k in (2, 3))
         least = np.frombuffer(b"".join(r[4] for r in group), np.uint32).reshape(-1, TOKENS)
         sets = [np.frombuffer(r[5], np.uint64) for r in group]
-        n = np.array([len(s) for s in sets])
         top = {c: c for c in comp.tolist()}
 
         def find(c):
@@ -145,8 +152,7 @@ def _confirm(percent: int, enough: int):
                 top[c] = c = top[top[c]]
             return c
 
-        likely = _alike_signs(least, enough) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n))
-        likely &= (role[:, None] != MEMBER) | (role[None, :] != MEMBER)
+        likely = _allowed(group, 1, percent, np.array([len(s) for s in sets]), least, enough)
         for i, j in zip(*np.nonzero(np.triu(likely, 1))):
             a, b = find(int(comp[i])), find(int(comp[j]))
             if a != b and sh.alike(sets[i], sets[j], percent):
@@ -198,23 +204,18 @@ class NodeJoin:
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         return members.join(sizes, "node")
 
-    def levels(self, members: DataFrame, signs: DataFrame, found) -> DataFrame:
-        """Branch large nodes level by level; ``found`` gets the members of small ones.
+    def confirm(self, blocks: DataFrame, signs: DataFrame, fetch) -> DataFrame:
+        """Links between components within blocks of (block, role, cid, comp).
 
-        Returns the members of the nodes that are large at the last level.
+        Tokens decide which rows go on to be compared by their full sets, which
+        ``fetch`` gives for classes (cid).
         """
-        for level in range(self.depth):
-            live = store(self.sized(members), "nodes")
-            found(live.where(F.col("size") <= self.leaf))
-            large = live.where(F.col("size") > self.leaf)
-            if level + 1 == self.depth or not large.limit(1).count():
-                return large.select("tree", "node", "cid", "size")
-            members = large.join(signs, "cid").select("tree", "node", "cid", "sign").mapInArrow(
-                _branch, "tree int, node long, cid long")
-
-    def confirm(self, blocks: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links between components within blocks of (block, role, cid, comp)."""
-        rows = blocks.join(sets, "cid").select("block", "role", "cid", "comp", "sign", "tokens")
+        rows = blocks.join(signs, "cid").select("block", "role", "cid", "comp", "n", "sign")
+        rows = rows.repartition("block").sortWithinPartitions("block", "role", "cid")
+        rows = store(rows.mapInArrow(
+            _sieve(self.percent, self.enough), "block long, role int, cid long, comp long"), "likely")
+        sets = fetch(rows.select("cid").distinct())
+        rows = rows.join(sets, "cid").select("block", "role", "cid", "comp", "sign", "tokens")
         rows = rows.repartition("block").sortWithinPartitions("block", "role", "cid")
         return store(rows.mapInArrow(_confirm(self.percent, self.enough), "a long, b long"), "links")
 
@@ -228,41 +229,58 @@ class NodeJoin:
         mixed = members.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
         return members.join(mixed.select("node"), "node")
 
-    def by_pivots(self, large: DataFrame, seed: int) -> DataFrame:
-        """Each node dealt to blocks, and about PIVOTS of its members sent to all of them."""
-        blocks = F.ceil(F.col("size") / self.leaf)
-        deal = F.pmod(F.xxhash64("cid"), blocks)
-        lot = F.pmod(F.xxhash64("cid", "node", F.lit(seed)), F.col("size"))
+    @staticmethod
+    def ranked(members: DataFrame) -> DataFrame:
+        """Members with the largest component of their node (main) and the number of others in it."""
+        parts = members.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("rows"))
+        most = parts.groupBy("node").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"),
+                                         (F.sum("rows") - F.max("rows")).alias("others"))
+        return members.join(most, "node")
+
+    def by_pivots(self, large: DataFrame) -> DataFrame:
+        """Everyone outside a node's largest component dealt to blocks, and a few members of the node sent to all.
+
+        About PIVOTS are chosen by a hash from the whole node, and as many from the others.
+        """
+        blocks = F.ceil((F.col("others") + 1) / self.leaf)
+        other = F.col("comp") != F.col("main")
+        lot = F.xxhash64("cid", "node")
         key = lambda k: F.xxhash64("node", F.lit(-1), k)
-        members = large.select(key(deal).alias("block"), F.lit(MEMBER).alias("role"), "cid", "comp")
-        pivots = large.where(lot < PIVOTS).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        members = large.where(other).select(
+            key(F.pmod(F.xxhash64("cid"), blocks)).alias("block"), F.lit(MEMBER).alias("role"), "cid", "comp")
+        chosen = (F.pmod(lot, F.col("size")) < PIVOTS) | other & (
+            F.pmod(F.xxhash64(lot), F.greatest("others", F.lit(1))) < PIVOTS)
+        pivots = large.where(chosen).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         return members.unionByName(pivots.select(key(F.col("k")).alias("block"), F.lit(PIVOT).alias("role"), "cid", "comp"))
 
     def by_grid(self, large: DataFrame) -> DataFrame:
         """Everyone outside a node's largest component against all members, block by block."""
-        parts = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("rows"))
-        most = parts.groupBy("node").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"),
-                                         (F.sum("rows") - F.max("rows")).alias("others"))
-        all_ = large.join(most, "node")
         down, across = F.ceil(F.col("size") / self.leaf), F.ceil(F.col("others") / self.leaf)
         hashed = F.xxhash64("cid", "node")
         span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
         key = F.xxhash64("node", "i", "j").alias("block")
-        members = all_.withColumn("i", F.pmod(hashed, down)).withColumn("j", span(across))
-        others = all_.where("comp <> main").withColumn("j", F.pmod(hashed, across)).withColumn("i", span(down))
+        members = large.withColumn("i", F.pmod(hashed, down)).withColumn("j", span(across))
+        others = large.where("comp <> main").withColumn("j", F.pmod(hashed, across)).withColumn("i", span(down))
         return members.select(key, F.lit(MEMBER).alias("role"), "cid", "comp").unionByName(
             others.select(key, F.lit(PIVOT).alias("role"), "cid", "comp"))
 
-    def connect(self, small: DataFrame, large: DataFrame, sets: DataFrame) -> DataFrame | None:
+    def connect(self, roots: DataFrame, signs: DataFrame, fetch) -> DataFrame | None:
         """(v, c) of all classes that are linked with another; None if none is.
 
-        The first tree goes first, with pivots of the large nodes: what it
-        connects need not be compared in the other trees.
+        ``roots`` are the members (tree, node, cid) of all trees, ``signs`` holds
+        (cid, n, sign).  The first tree goes first: what it connects need not be
+        compared in the others.  Large nodes meet their pivots; those that then
+        still hold several components are compared in a grid if few are left
+        outside the largest, and branch otherwise.
         """
+        live = store(self.sized(roots), "nodes")
+        small, large = live.where(F.col("size") <= self.leaf), live.where(F.col("size") > self.leaf)
+        any_large = bool(large.limit(1).count())
         links, comp = None, None
 
-        def add(more):
+        def add(blocks):
             nonlocal links, comp
+            more = self.confirm(blocks, signs, fetch)
             links = more if links is None else links.unionByName(more)
             if more.limit(1).count():
                 comp = store(components(links, "near"), "near")
@@ -270,17 +288,30 @@ class NodeJoin:
         def peers(rows):
             return rows.select(F.xxhash64("node", "tree").alias("block"), F.lit(PEER).alias("role"), "cid", "comp")
 
-        any_large = bool(large.limit(1).count())
-        first = peers(self.open_nodes(small.where("tree = 0"), comp))
-        if any_large:
-            first = first.unionByName(self.by_pivots(self.open_nodes(large, comp), 0))
-        add(self.confirm(first, sets))
-        add(self.confirm(peers(self.open_nodes(small.where("tree > 0"), comp)), sets))
-        if any_large:
-            add(self.confirm(self.by_pivots(self.open_nodes(large, comp), 1), sets))
-            left = store(self.open_nodes(large, comp), "left")
-            if left.limit(1).count():
-                add(self.confirm(self.by_grid(left), sets))
+        for trees in ("tree = 0", "tree > 0"):
+            blocks = peers(self.open_nodes(small.where(trees), comp))
+            if any_large:
+                met = self.ranked(self.open_nodes(large.where(trees), comp))
+                blocks = blocks.unionByName(self.by_pivots(met))
+            add(blocks)
+        if not any_large:
+            return comp
+        left = store(self.ranked(self.open_nodes(large, comp)), "left")
+        if not left.limit(1).count():
+            return comp
+        few_left = F.col("others") <= 4 * self.leaf
+        blocks, wide = self.by_grid(left.where(few_left)), left.where(~few_left)
+        for _ in range(self.depth - 1):
+            if not wide.limit(1).count():
+                break
+            children = wide.join(signs, "cid").select("tree", "node", "cid", "sign").mapInArrow(
+                _branch, "tree int, node long, cid long")
+            level = store(self.open_nodes(self.sized(children), comp), "level")
+            blocks = blocks.unionByName(peers(level.where(F.col("size") <= self.leaf)))
+            wide = self.ranked(level.where(F.col("size") > self.leaf))
+            blocks = blocks.unionByName(self.by_grid(wide.where(few_left)))
+            wide = store(wide.where(~few_left), "wide")
+        add(blocks.unionByName(self.by_grid(wide)))
         return comp
 
 
@@ -299,22 +330,6 @@ class _Documents(NodeJoin):
         self.reps = store(some.join(own, some["row"] == own["cid"]).select(
             "cid", "doc_id", "n", "digest", "sign", "roots"), "representatives")
 
-    def grow(self) -> tuple[DataFrame, DataFrame]:
-        """Members of small nodes that have a likely partner, and members of nodes that stayed large."""
-        members = self.reps.select("cid", F.posexplode("roots").alias("tree", "node")).select("tree", "node", "cid")
-        signs, found = self.reps.select("cid", "n", "sign"), []
-
-        def candidates(small):
-            rows = small.join(signs, "cid").select("node", "tree", "cid", "n", "sign")
-            rows = rows.repartition("node").sortWithinPartitions("node")
-            found.append(rows.mapInArrow(_candidates(self.percent, self.enough), "tree int, node long, cid long"))
-
-        large = self.levels(members, signs.select("cid", "sign"), candidates)
-        pairs = found[0]
-        for more in found[1:]:
-            pairs = pairs.unionByName(more)
-        return store(pairs, "likely"), store(large, "large")
-
     def fetch(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
         """Full sets of the wanted classes, from the text of their first document."""
         wanted = wanted.join(self.reps, "cid").select("cid", "sign", "digest", "doc_id")
@@ -327,9 +342,8 @@ class _Documents(NodeJoin):
         return sets
 
     def run(self, docs: DataFrame) -> DataFrame | None:
-        likely, large = self.grow()
-        wanted = likely.select("cid").unionByName(large.select("cid")).distinct()
-        return self.connect(likely, large, self.fetch(docs, wanted))
+        roots = self.reps.select("cid", F.posexplode("roots").alias("tree", "node")).select("tree", "node", "cid")
+        return self.connect(roots, self.reps.select("cid", "n", "sign"), lambda wanted: self.fetch(docs, wanted))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = 8, leaf: int = 64,
@@ -362,9 +376,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
                       ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """``ids`` with a broadcast hint if they are counted to be few; else they are joined by shuffle."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def few(ids: DataFrame, items: str | None = None) -> DataFrame:
+    """``ids`` with a broadcast hint if they are counted to be few; else they are joined by shuffle.
+
+    ``items`` names a column of lists whose elements count as well.
+    """
+    n = ids.count() + (ids.agg(F.sum(F.size(items))).first()[0] or 0 if items else 0)
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

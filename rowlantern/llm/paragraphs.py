@@ -25,6 +25,8 @@ from rowlantern.llm.tables import store
 
 WORDS, SPREAD, ANCHOR, SHINGLE = 24, 24, 4, 5
 INSIDE = WORDS - SHINGLE + 1
+# 8 bytes a band, some 100 MB as a hash table.
+BROADCAST_BANDS = 3_000_000
 #: One token a band: two paragraphs at 0.8 meet in one of two bands with a chance of 0.96, at 0.9 of 0.99.
 BANDS = 2
 PARAGRAPH = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("para", pa.int64()),
@@ -125,33 +127,35 @@ def repeated_passages(docs: DataFrame, percent: int = 80, leaf: int = 64, depth:
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cut = store(rows.mapInArrow(_cut, PARAGRAPH_SQL), "paragraphs")
-    banded = cut.select("para", F.posexplode(F.array(*[F.col(f"band{k}") for k in range(BANDS)])).alias("tree", "node"))
-    keys = store(banded.groupBy("node").agg(
-        F.count(F.lit(1)).alias("n"), F.min("para").alias("lo"), F.max("para").alias("hi")).where("n > 1"), "bands")
-    hints = keys.count()
-    pick = (lambda d: F.broadcast(d)) if hints <= 1_000_000 else (lambda d: d)
+    bands = F.array(*[F.col(f"band{k}") for k in range(BANDS)])
+    banded = cut.select("doc_id", "start", "para", F.posexplode(bands).alias("tree", "node"))
+    doc = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    keys = store(banded.groupBy("node").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")).where("lo < hi").select(
+        "node"), "bands")
+    shared = F.broadcast(keys) if keys.count() <= BROADCAST_BANDS else keys
+    members = store(banded.join(shared, "node"), "members")
     # A paragraph that repeats word for word has its first band repeated.
-    seen = cut.join(pick(keys.select(F.col("node").alias("band0"))), "band0").select("doc_id", "start", "para")
-    nodes = banded.join(pick(keys.where("lo < hi").select("node")), "node").select("tree", "node", "para").distinct()
-    nodes = store(nodes.withColumnRenamed("para", "cid"), "banded")
+    seen = members.where("tree = 0").select("doc_id", "start", "para")
+    # Where all documents of a band hold the same paragraphs, none has to be compared with another.
+    own = members.select("node", "doc_id", "para").distinct().groupBy("node", "doc_id").agg(
+        F.bit_xor("para").alias("x"), F.count(F.lit(1)).alias("c"))
+    mixed = own.groupBy("node").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("c").alias("c0"),
+                                    F.max("c").alias("c1")).where("x0 <> x1 or c0 <> c1").select("node")
+    nodes = store(members.join(mixed, "node").select("tree", "node", F.col("para").alias("cid")).distinct(), "banded")
 
     join = NodeJoin(percent, leaf, depth)
     joined = nodes.select("cid").distinct()
-    one = cut.join(joined, cut["para"] == joined["cid"]).groupBy("para").agg(
+    one = members.join(joined, members["para"] == joined["cid"]).groupBy("para").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")).alias("at"))
     places = store(one.groupBy(F.col("at.doc_id").alias("own")).agg(
         F.collect_list(F.struct(F.col("at.start").alias("start"), "para")).alias("places")), "places")
-    texts = rows.join(few(places), rows["doc_id"].eqNullSafe(F.col("own"))).select("text", "places")
+    texts = rows.join(few(places, "places"), rows["doc_id"].eqNullSafe(F.col("own"))).select("text", "places")
     sets = store(texts.mapInArrow(_tokens, "cid long, sign binary, tokens binary").dropDuplicates(["cid"]), "sets")
-    small = []
-    large = join.levels(nodes, sets.select("cid", "sign"), small.append)
-    found = small[0]
-    for more in small[1:]:
-        found = found.unionByName(more)
-    comp = join.connect(store(found.select("tree", "node", "cid"), "small"), store(large, "large"), sets)
+    signs = sets.select("cid", (F.octet_length("tokens") / 8).cast("long").alias("n"), "sign")
+    comp = join.connect(nodes, signs, lambda _: sets)
 
     held = seen if comp is None else seen.unionByName(
-        cut.join(comp.select(F.col("v").alias("para")), "para").select("doc_id", "start", "para")).distinct()
+        members.join(comp.select(F.col("v").alias("para")), "para").select("doc_id", "start", "para")).distinct()
     held = held.withColumn("c", F.col("para")) if comp is None else held.join(
         comp.select(F.col("v").alias("para"), "c"), "para", "left").withColumn("c", F.coalesce("c", "para"))
     held = store(held.select("doc_id", "start", "c"), "held")
@@ -209,7 +213,7 @@ def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     on = docs[id_col].cast("long").eqNullSafe(F.col("own"))
     clean = docs.join(few(runs.select("own")), on, "left_anti")
     rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    touched = docs.join(few(runs), on).select(rows, F.col(text_col).alias("text"), "runs")
+    touched = docs.join(few(runs, "runs"), on).select(rows, F.col(text_col).alias("text"), "runs")
     cut = touched.mapInArrow(_apply, f"row {docs.schema.simpleString()}, rest string").where("rest <> ''")
     put = {text_col: F.col("rest")} | ({length_col: F.length("rest").cast(docs.schema[length_col].dataType)}
                                        if length_col else {})
