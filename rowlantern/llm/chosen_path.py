@@ -108,6 +108,19 @@ def _alike_signs(least: np.ndarray, enough: int) -> np.ndarray:
     return same >= enough
 
 
+def _alike_sets(sets: list[np.ndarray], percent: int, width: int = 1 << 15) -> np.ndarray:
+    """Pairs of sets that are alike, from products of their incidence matrix, a slice of tokens at a time."""
+    n = np.array([len(s) for s in sets])
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, both = np.repeat(np.arange(len(sets)), n), np.zeros((len(sets), len(sets)))
+    for low in range(0, int(token.max()) + 1, width):
+        part = (token >= low) & (token < low + width)
+        held = np.zeros((len(sets), width if token.max() >= low + width else int(token.max()) + 1 - low), np.float32)
+        held[owner[part], token[part] - low] = 1
+        both += held @ held.T
+    return 100 * both >= percent * (n[:, None] + n[None, :] - both)
+
+
 def _allowed(group: list[tuple], role: int, percent: int, sizes: np.ndarray, least: np.ndarray, enough: int) -> np.ndarray:
     """Pairs of a block that may be links: likely by tokens and size, and not both mere members."""
     roles = np.array([r[role] for r in group])
@@ -153,9 +166,13 @@ def _confirm(percent: int, enough: int):
             return c
 
         likely = _allowed(group, 1, percent, np.array([len(s) for s in sets]), least, enough)
+        likely &= comp[:, None] != comp[None, :]
+        known = np.count_nonzero(likely) > 4 * len(group)
+        if known:  # cheaper for all pairs of the block at once
+            likely &= _alike_sets(sets, percent)
         for i, j in zip(*np.nonzero(np.triu(likely, 1))):
             a, b = find(int(comp[i])), find(int(comp[j]))
-            if a != b and sh.alike(sets[i], sets[j], percent):
+            if a != b and (known or sh.alike(sets[i], sets[j], percent)):
                 top[a] = b
                 yield (int(cid[i]), int(cid[j]))
 
@@ -173,16 +190,16 @@ def _confirm(percent: int, enough: int):
 
 
 def _sets(size: int):
-    schema = pa.schema([("cid", pa.int64()), ("sign", pa.binary()), ("tokens", pa.binary())])
+    schema = pa.schema([("cid", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             rows = []
-            for cid, sign, digest, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+            for cid, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 with np.errstate(over="ignore"):
                     tokens = sh.shingle_set(sh.word_hashes((text.as_py() or "").encode()), size)
                 if len(tokens) and sh.digest(tokens) == digest:
-                    rows.append((cid, sign, tokens.tobytes()))
+                    rows.append((cid, tokens.tobytes()))
             yield _out(schema, rows)
 
     return run
@@ -191,7 +208,7 @@ def _sets(size: int):
 class NodeJoin:
     """Links within the nodes of trees; every step reads and writes tables in the shared folder.
 
-    A node is a set of classes (cid); ``sets`` holds (cid, sign, tokens) for each.
+    A node is a set of classes (cid).
     """
 
     def __init__(self, percent: int, leaf: int, depth: int):
@@ -215,7 +232,8 @@ class NodeJoin:
         rows = store(rows.mapInArrow(
             _sieve(self.percent, self.enough), "block long, role int, cid long, comp long"), "likely")
         sets = fetch(rows.select("cid").distinct())
-        rows = rows.join(sets, "cid").select("block", "role", "cid", "comp", "sign", "tokens")
+        rows = rows.join(signs, "cid").join(sets.select("cid", "tokens"), "cid").select(
+            "block", "role", "cid", "comp", "sign", "tokens")
         rows = rows.repartition("block").sortWithinPartitions("block", "role", "cid")
         return store(rows.mapInArrow(_confirm(self.percent, self.enough), "a long, b long"), "links")
 
@@ -332,11 +350,11 @@ class _Documents(NodeJoin):
 
     def fetch(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
         """Full sets of the wanted classes, from the text of their first document."""
-        wanted = wanted.join(self.reps, "cid").select("cid", "sign", "digest", "doc_id")
-        wanted = store(wanted, "wanted").select("cid", "sign", "digest", F.col("doc_id").alias("own"))
+        wanted = wanted.join(self.reps, "cid").select("cid", "digest", F.col("doc_id").alias("own"))
+        wanted = store(wanted, "wanted")
         n = wanted.count()
-        texts = docs.join(few(wanted), docs["doc_id"].eqNullSafe(F.col("own"))).select("cid", "sign", "digest", "text")
-        sets = store(texts.mapInArrow(_sets(self.size), "cid long, sign binary, tokens binary"), "sets")
+        texts = docs.join(few(wanted), docs["doc_id"].eqNullSafe(F.col("own"))).select("cid", "digest", "text")
+        sets = store(texts.mapInArrow(_sets(self.size), "cid long, tokens binary"), "sets")
         if sets.count() > n:  # repeated rows
             sets = store(sets.dropDuplicates(["cid"]), "sets")
         return sets
