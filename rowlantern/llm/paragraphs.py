@@ -150,7 +150,9 @@ def repeated_passages(docs: DataFrame, percent: int = 80, leaf: int = 64, depth:
     places = store(one.groupBy(F.col("at.doc_id").alias("own")).agg(
         F.collect_list(F.struct(F.col("at.start").alias("start"), "para")).alias("places")), "places")
     texts = rows.join(few(places, "places"), rows["doc_id"].eqNullSafe(F.col("own"))).select("text", "places")
-    sets = store(texts.mapInArrow(_tokens, "cid long, sign binary, tokens binary").dropDuplicates(["cid"]), "sets")
+    sets = store(texts.mapInArrow(_tokens, "cid long, sign binary, tokens binary"), "sets")
+    if sets.count() > joined.count():  # repeated rows
+        sets = store(sets.dropDuplicates(["cid"]), "sets")
     signs = sets.select("cid", (F.octet_length("tokens") / 8).cast("long").alias("n"), "sign")
     comp = join.connect(nodes, signs, lambda _: sets)
 
