@@ -26,7 +26,7 @@ cloudpickle.register_pickle_by_value(kernels)
 SPLIT_KEY = ["file", "block_start", "block_length"]
 # The split table is broadcast within both bounds: rows, and bytes with paths and headers.
 BROADCAST_SPLITS, BROADCAST_BYTES = 1_000_000, 128 << 20
-# A Spark row cannot exceed 2 GB; a longer record ends the query that asks for its text.
+# A Spark row cannot exceed 2 GB; a longer record ends the query.
 MAX_RECORD_BYTES = 2_000_000_000
 
 
@@ -188,7 +188,7 @@ def straddling_records(pieces: DataFrame, splits: DataFrame, n_splits: int, sep:
     """Records cut by a split boundary, put together from their pieces only.
 
     Yields file, record_id, byte_offset, byte_len, body (binary).  A record over
-    ``MAX_RECORD_BYTES`` has its place and length; reading its body ends the query with both.
+    ``MAX_RECORD_BYTES`` ends the query with its file, id and length.
     """
     spans = ["start", "close", "entry_open", "exit_open", "n_starts", "base_id", "base_off",
              "head_span", "tail_span"]
