@@ -6,7 +6,9 @@ ones), so a passage is cut alike wherever it stands, inside a line or across
 lines: every passage of 50 words holds at least one whole paragraph.  Paragraphs
 that share a band of minwise tokens of their five-word shingles are joined,
 similarity is verified on the full shingle sets, and components of alike
-paragraphs are removed everywhere but in the document of the smallest id.
+paragraphs are removed everywhere but in the document of the smallest id.  What
+is removed grows to both sides, word by word, as far as that document goes on
+with the same words.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowlantern.llm import shingles as sh
@@ -25,6 +27,12 @@ from rowlantern.llm.tables import store
 
 WORDS, SPREAD, ANCHOR, SHINGLE = 24, 24, 4, 5
 INSIDE = WORDS - SHINGLE + 1
+#: Words next to a run that are compared: a longer repeat holds one more whole paragraph.
+REACH = WORDS + SPREAD - 2
+#: Places by which an alike paragraph may be shifted.
+SLACK = 2
+# Some 0.9 kB each.
+BROADCAST_SIDES = 100_000
 # 8 bytes a band, some 100 MB as a hash table.
 BROADCAST_BANDS = 3_000_000
 #: One token a band: two paragraphs at 0.8 meet in one of two bands with a chance of 0.96, at 0.9 of 0.99.
@@ -119,7 +127,8 @@ def repeated_passages(docs: DataFrame, percent: int = 80, leaf: int = 64, depth:
 
     ``start`` counts words (A-Z lower-cased, parted by white space) from 0.  A run
     is a union of overlapping paragraphs whose component also stands in the
-    document ``first_doc_id``, the smallest id among those that hold it.  Repeats
+    document ``first_doc_id``, the smallest id among those that hold it, with the
+    words next to it that follow alike there.  Repeats
     within one id, passages under 24 words, null, empty and short texts give no
     rows; repeated rows have one id and so are no repeats of each other; a null
     id counts as larger than any; an empty table gives no rows; other columns
@@ -160,22 +169,102 @@ def repeated_passages(docs: DataFrame, percent: int = 80, leaf: int = 64, depth:
         members.join(comp.select(F.col("v").alias("para")), "para").select("doc_id", "start", "para")).distinct()
     held = held.withColumn("c", F.col("para")) if comp is None else held.join(
         comp.select(F.col("v").alias("para"), "c"), "para", "left").withColumn("c", F.coalesce("c", "para"))
-    held = store(held.select("doc_id", "start", "c"), "held")
+    held = store(held.select("doc_id", "start", "para", "c"), "held")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
     first = held.groupBy("c").agg(F.min(order).alias("a"), F.max(order).alias("b")).where("a <> b").select(
         "c", F.col("a.doc_id").alias("first_doc_id"))
-    gone = held.join(first, "c").where(~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
-    return _merged(gone.groupBy("doc_id", "start").agg(F.min("first_doc_id").alias("first_doc_id")))
+    held = store(held.join(first, "c"), "repeats")
+    stays = F.col("doc_id").eqNullSafe(F.col("first_doc_id"))
+    units = held.where(~stays).withColumn("end", F.col("start") + WORDS)
+    runs = store(_merged(units, F.min(F.struct("start", "para", "c")).alias("head"),
+                         F.max(F.struct("start", "para", "c")).alias("tail")), "runs")
+    longer = _longer(rows, runs, held.where(stays).select("doc_id", "start", "para", "c").distinct())
+    return _merged(runs.select("doc_id", "first_doc_id", "start", "end").unionByName(longer)).select(
+        "doc_id", "first_doc_id", F.col("start").cast("long").alias("start"),
+        (F.col("end") - F.col("start")).cast("long").alias("words"))
+
+
+def _merged(spans: DataFrame, *more: Column) -> DataFrame:
+    """Overlapping or adjoining spans (start, end) of a document as one run."""
+    here = Window.partitionBy("doc_id").orderBy("start", "end")
+    apart = F.coalesce(F.col("start") > F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    runs = spans.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(here))
+    return runs.groupBy("doc_id", "run").agg(
+        F.min("first_doc_id").alias("first_doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
+        *more).drop("run")
 
 
-def _merged(gone: DataFrame) -> DataFrame:
-    """Overlapping or adjoining paragraphs of a document as one run; a document has no more than its own words."""
-    here = Window.partitionBy("doc_id").orderBy("start")
-    apart = F.coalesce(F.col("start") > F.lag("start").over(here) + WORDS, F.lit(True))
-    runs = gone.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(here))
-    return runs.groupBy("doc_id", "run").agg(
-        F.min("first_doc_id").alias("first_doc_id"), F.min("start").cast("long").alias("start"),
-        (F.max("start") - F.min("start") + WORDS).cast("long").alias("words")).drop("run")
+def _sides(batches: Iterator[pa.RecordBatch]):
+    """(doc_id, text, places) to the words at one side of each place: SHINGLE of the paragraph, then those next to it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("stays", pa.bool_()), ("side", pa.int32()), ("start", pa.int32()),
+                        ("c", pa.int64()), ("words", pa.binary())])
+    for batch in batches:
+        rows = {}
+        for doc_id, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            with np.errstate(over="ignore"):
+                words = sh.word_hashes((text.as_py() or "").encode())
+                places = [p for p in places if p["start"] + WORDS <= len(words)]
+                if not places:
+                    continue
+                names = paragraph_names(_runs(words, SHINGLE), np.array([p["start"] for p in places])).astype(np.int64)
+            for p, name in zip(places, names.tolist()):
+                # Another text under the same id has other words at this place.
+                if name != p["para"]:
+                    continue
+                slack = SLACK if p["stays"] else 0
+                out = np.arange(-SHINGLE - slack, REACH + slack)
+                at = p["start"] + WORDS + out if p["side"] else p["start"] - 1 - out
+                near = np.full(len(at), int(p["stays"]), np.uint64)  # no word equals what is beyond the text
+                there = (at >= 0) & (at < len(words))
+                near[there] = words[at[there]]
+                # In the document that stays, only the words matter, not the place.
+                rows[doc_id, p["stays"], p["side"], -1 if p["stays"] else p["start"], p["c"], near.tobytes()] = None
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * len(schema), schema)], schema=schema)
+
+
+def _reach(batches: Iterator[pa.RecordBatch]):
+    """(doc_id, first_doc_id, side, start, words, theirs) to the span of the paragraph and the same words next to it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("first_doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+    for batch in batches:
+        rows = []
+        for doc_id, first, side, start, words, theirs in zip(*(c.to_pylist() for c in batch.columns)):
+            own = np.frombuffer(words, np.uint64)
+            views = np.lib.stride_tricks.sliding_window_view(
+                np.frombuffer(b"".join(theirs), np.uint64).reshape(len(theirs), -1), len(own), axis=1)
+            same = np.logical_and.accumulate(views == own, axis=2).sum(axis=2)
+            more = int(same.max()) - SHINGLE
+            if more > 0:
+                rows.append((doc_id, first, start - (0 if side else more), start + WORDS + (more if side else 0)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * len(schema), schema)], schema=schema)
+
+
+def _longer(rows: DataFrame, runs: DataFrame, kept: DataFrame) -> DataFrame:
+    """(doc_id, first_doc_id, start, end): the outer paragraphs of runs with the words that go on alike where they stay.
+
+    ``kept`` has the places (doc_id, start, para, c) of components in the documents that keep them.
+    """
+    def place(stays, side, of):
+        return F.struct(F.lit(stays).alias("stays"), F.lit(side).alias("side"), *[
+            F.col(f"{of}{c}").alias(c) for c in ("start", "para", "c")])
+
+    asked = runs.select("doc_id", F.explode(F.array(place(False, 0, "head."), place(False, 1, "tail."))).alias("at"))
+    wanted = asked.select("at.c").distinct()
+    known = kept.join(wanted, "c").select(
+        "doc_id", F.explode(F.array(place(True, 0, ""), place(True, 1, ""))).alias("at"))
+    places = store(asked.unionByName(known).groupBy(F.col("doc_id").alias("own")).agg(
+        F.collect_list("at").alias("places")), "edges")
+    texts = rows.join(few(places, "places"), rows["doc_id"].eqNullSafe(F.col("own"))).select("own", "text", "places")
+    sides = store(texts.mapInArrow(
+        _sides, "doc_id long, stays boolean, side int, start int, c long, words binary"), "sides")
+    # One row for each component and side, whatever the number of its repeats.
+    theirs = store(sides.where("stays").groupBy("c", "side").agg(
+        F.first("doc_id").alias("first_doc_id"), F.collect_set("words").alias("theirs")), "theirs")
+    theirs = F.broadcast(theirs) if theirs.count() <= BROADCAST_SIDES else theirs
+    pairs = sides.where("not stays").join(theirs, ["c", "side"]).select(
+        "doc_id", "first_doc_id", "side", "start", "words", "theirs")
+    return pairs.mapInArrow(_reach, "doc_id long, first_doc_id long, start int, end int")
 
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")

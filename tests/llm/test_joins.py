@@ -188,6 +188,20 @@ def test_planted_passages_go_and_clean_text_stays(spark):
     assert paragraphs.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_planted_passages_go_up_to_their_ends(spark):
+    rng, words = random.Random(11), [f"w{i}" for i in range(5000)]
+    rows, passages = [], [rng.choices(words, k=51) for _ in range(8)]
+    for i in range(48):
+        ahead, behind = (rng.choices(words, k=rng.randrange(80)) for _ in range(2))
+        rows.append((i, " ".join(ahead + passages[i % 8] + behind)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = {r.doc_id: r.text.split() for r in paragraphs.drop_passages(df).collect()}
+    assert all(" ".join(left[i]) == rows[i][1] for i in range(8))
+    for i in range(8, 48):
+        own = set(zip(*[left.get(i, [])[k:] for k in range(5)]))
+        assert not own & set(zip(*[passages[i % 8][k:] for k in range(5)]))
+
+
 def test_every_passage_of_fifty_words_holds_a_paragraph():
     rng = random.Random(10)
     for _ in range(200):
