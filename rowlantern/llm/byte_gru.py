@@ -16,10 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN, SIDE = 64, 1024
+#: Documents of each label in a sample of however many labels.
+LEAST_SAMPLE = 16
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of letters: ASCII letters and everything from UTF-8 sequences.
 IS_LETTER = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)])
@@ -153,11 +155,12 @@ class ByteGRU:
             flat[at:at + len(t)] = np.frombuffer(t, np.uint8)
             at += n * SPAN
         total = np.zeros((len(rows), len(self.labels)), np.float64)
-        for start in range(0, len(rows), SIDE):
-            part = np.ascontiguousarray(rows[start:start + SIDE].T)
+        side = max(16, SIDE * 32 // max(32, len(self.labels)))
+        for start in range(0, len(rows), side):
+            part = np.ascontiguousarray(rows[start:start + side].T)
             prob = self.positions(part)
             prob *= IS_LETTER[part][:, :, None]
-            total[start:start + SIDE] = prob.sum(axis=0)
+            total[start:start + side] = prob.sum(axis=0)
         owner = np.repeat(np.arange(len(texts)), windows)
         pooled = np.stack([np.bincount(owner, total[:, k], len(texts)) for k in range(total.shape[1])], axis=1)
         return pooled / np.maximum(pooled.sum(axis=1, keepdims=True), 1e-9)
@@ -171,30 +174,36 @@ def fit(docs: DataFrame, per_language: int = 1500, languages: int = 32, hidden:
         id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteGRU | None:
     """A network fitted on a bounded sample of labelled rows that are not held out.
 
-    At most the ``languages`` most frequent labels are learned, each from about
-    ``per_language`` documents chosen by a hash of the id, 256 characters of
-    each, from a place that the hash chooses.  None if there is no such row.
+    Every label is learned, from about ``per_language`` documents chosen by a hash
+    of the id, 256 characters of each, from a place that the hash chooses.  Of more
+    than ``languages`` labels each has fewer, ``LEAST_SAMPLE`` at least, so that the
+    sample keeps its size, and there are more steps.  None if there is no such row.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(
-        languages).collect()
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return None
+    crowd = max(1.0, len(counts) / languages)
+    share = max(min(LEAST_SAMPLE, per_language), per_language / crowd)
     mix = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30))
-    chance = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["n"]))])
+    chance = docs.sparkSession.createDataFrame(
+        [(r["lang"], min(1.0, share / r["n"])) for r in counts], "lang string, chance double")
     at = 1 + F.pmod(F.xxhash64("lang", "id"), F.greatest(F.length("text") - 255, F.lit(1)))
-    sample = known.where(mix < F.get(F.map_values(F.map_filter(chance, lambda k, _: k == F.col("lang"))), F.lit(0))
-                         * float(1 << 30)).select("lang", F.substring("text", at.cast("int"), F.lit(256)).alias("text"))
-    rows = [(r["lang"], r["text"].encode()) for r in sample.limit(2 * per_language * len(counts)).collect()
-            if LETTER.search(r["text"])]
+    sample = known.join(F.broadcast(chance), "lang").where(mix < F.col("chance") * float(1 << 30)).select(
+        "lang", mix.alias("mix"), F.substring("text", at.cast("int"), F.lit(256)).alias("text"))
+    # Repeated rows are chosen together: a bound for each label, so that none crowds out another.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("mix", "text"))
+    sample = sample.withColumn("place", place).where(F.col("place") <= int(2 * share)).select("lang", "text")
+    rows = [(r["lang"], r["text"].encode()) for r in sample.collect() if LETTER.search(r["text"])]
     if not rows:
         return None
     labels = sorted({lang for lang, _ in rows})
     rows.sort()
     model = ByteGRU(labels, hidden)
     if len(labels) > 1:
-        model.train([t for _, t in rows], np.array([labels.index(lang) for lang, _ in rows]), steps)
+        number = {lang: k for k, lang in enumerate(labels)}
+        model.train([t for _, t in rows], np.array([number[lang] for lang, _ in rows]), int(steps * crowd))
     return model
 
 

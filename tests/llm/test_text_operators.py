@@ -114,6 +114,15 @@ def test_language_of_held_out_rows(spark):
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
 
 
+def test_every_language_is_learned(spark):
+    # 40 labels, each with a letter of its own; the last has the fewest rows.
+    said = {f"l{k:02}": chr(0x4E00 + 97 * k) + chr(0x4E01 + 97 * k) for k in range(40)}
+    rows = [(lang, f"{word} " * 20) for k, (lang, word) in enumerate(said.items()) for _ in range(50 - k)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    assert byte_gru.fit(df, steps=1).labels == sorted(said)
+    assert byte_gru.fit(df, per_language=4, languages=2, steps=1).labels == sorted(said)
+
+
 def test_language_without_labels(spark):
     df = docs(spark, ["some text"]).withColumn("lang", F.lit(None).cast("string"))
     assert {(r.lang_pred, r.score) for r in byte_gru.identify(df).collect()} == {("und", 0.0)}
