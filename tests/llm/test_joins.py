@@ -54,6 +54,19 @@ def test_bad_hosts_are_blocked_and_new_ones_shrunk(spark):
     assert got[0].bad_bound > 0.9 > 0.3 > got[1].bad_bound
 
 
+def test_unlabelled_hosts_fall_back_to_domain_suffix_and_all(spark):
+    rows = [(i, f"http://h{i % 8}.{'bad' if i % 2 else 'good'}.co.uk/x") for i in range(800)]
+    rows += [(i, f"http://h{i % 8}.site.org/x") for i in range(800, 1200)]
+    new = ["new.bad.co.uk", "new.good.co.uk", "x.unseen.org", "y.unseen.xyz"]
+    pages = spark.createDataFrame(rows + [(2000 + i, f"http://{h}/") for i, h in enumerate(new)] + [(3000, None)],
+                                  "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, i % 2 if i < 800 else 0) for i in range(1200)], "page_id long, bad int")
+    got = {r.page_id: r for r in url_reputation.judge(pages, outcomes, []).collect()}
+    assert [got[2000 + i].verdict for i in range(4)] == ["block", "allow", "allow", "allow"]
+    assert got[2000].bad_bound > 0.9 and all(got[2000 + i].bad_bound is not None for i in range(4))
+    assert got[3000].bad_bound is None and got[3000].verdict == "allow"
+
+
 # --- search -----------------------------------------------------------------
 
 def test_search_equals_brute_force(spark):
