@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlantern.llm import bpe, byte_gru, chosen_path, hash_tree, maxscore, packing, paragraphs, toxicity, url_reputation, winnowing
+from rowlantern.llm import (
+    bpe, byte_gru, chosen_path, hash_tree, maxscore, merkle, packing, paragraphs, runs, toxicity, url_reputation, winnowing)
 from rowlantern.llm.tables import ready
 
 SHARDS = 8
@@ -65,9 +66,17 @@ def op10_hash_tree(spark, sf_dir):
     return hash_tree.place(read(spark, sf_dir, "documents"), hash_tree.even_tree(SHARDS))
 
 
+def op11_runs(spark, sf_dir):
+    return runs.digests(runs.periodic_runs(runs.looped(read(spark, sf_dir, "documents"))))
+
+
+def op12_merkle(spark, sf_dir):
+    return merkle.prove(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_prefix_bpe, op2_url_reputation, op3_maxscore, op4_chosen_path, op5_byte_gru, op6_winnowing, op7_packing, op8_toxicity, op9_paragraphs,
-                             op10_hash_tree)}
+                             op10_hash_tree, op11_runs, op12_merkle)}
 
 #: Standard SQL for the operators that it can express.
 ORACLE: dict[str, str] = {}
@@ -219,3 +228,123 @@ SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
        CAST(CASE WHEN moves THEN 8 ELSE shard END AS INTEGER) AS grown_shard
 FROM placed
 """
+
+_CRC_TABLE = """steps AS (
+  SELECT i, 0 AS k, i AS c FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8
+)"""
+
+
+def _id_crc(name: str) -> str:
+    """The checksum of a decimal number, given the table ``crc``."""
+    digits = f"list_transform(regexp_extract_all(CAST({name} AS VARCHAR), '.'), lambda d: CAST(ascii(d) AS BIGINT))"
+    return f"""CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {digits}),
+      lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS BIGINT)"""
+
+
+ORACLE["op11_runs"] = rf"""
+WITH RECURSIVE {_CRC_TABLE}, split AS (
+  SELECT doc_id, {_id_crc("doc_id")} AS h,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS w
+  FROM documents, crc
+), sized AS (
+  SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a, 3 + (h // 10) % 8 AS part FROM split
+), looped AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // part) + 1] END)
+    ELSE w END AS w FROM sized
+), grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i + 1:i + 5], ' ') AS gram
+  FROM (SELECT doc_id, n, w, unnest(range(n - 4)) AS i FROM looped WHERE n >= 6)
+), pairs AS (
+  SELECT a.doc_id, a.i, b.i - a.i AS q FROM grams a JOIN grams b USING (doc_id, gram)
+  WHERE b.i > a.i AND 4 * (b.i - a.i) <= a.n
+), stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q)
+  GROUP BY doc_id, start, length
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), per_doc AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)
+    AS lines FROM runs GROUP BY doc_id
+), best AS (
+  SELECT doc_id, start, length, period FROM (SELECT *, row_number() OVER (
+    PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS r FROM runs) WHERE r = 1
+), rest AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM looped) LEFT JOIN (SELECT *, TRUE AS gone FROM dropped)
+    USING (doc_id, i) WHERE gone IS NULL GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period,
+       CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM looped LEFT JOIN per_doc USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
+
+
+def _levels(table: str, group: str, count: int) -> str:
+    """Nodes of each level (group, n, rank, hash) and what stands beside them (before, after), from ``table``0."""
+    out = []
+    for k in range(count):
+        out.append(f"""{table}{k + 1} AS (
+  SELECT {group}, CAST(ceil(any_value(n) / 8) AS BIGINT) AS n, rank // 8 AS rank,
+         CASE WHEN any_value(n) = 1 THEN any_value(hash) ELSE sha256(string_agg(hash, '' ORDER BY rank)) END AS hash
+  FROM {table}{k} GROUP BY {group}, rank // 8
+), {table}_beside{k} AS (
+  SELECT a.{group}, a.rank, coalesce(string_agg(b.hash, '' ORDER BY b.rank) FILTER (b.rank < a.rank), '') AS before,
+         coalesce(string_agg(b.hash, '' ORDER BY b.rank) FILTER (b.rank > a.rank), '') AS after, any_value(a.n) AS n
+  FROM {table}{k} a JOIN {table}{k} b ON a.{group} IS NOT DISTINCT FROM b.{group} AND a.rank // 8 = b.rank // 8
+  GROUP BY a.{group}, a.rank
+)""")
+    return ", ".join(out)
+
+
+def _folds(table: str, group: str, count: int, rank: str, source: str, name: str) -> str:
+    """Fold ``hash`` and gather ``proof`` level by level; ends with the table ``name``{count}."""
+    out = []
+    for k in range(count):
+        out.append(f"""{name}{k + 1} AS (
+  SELECT x.* EXCLUDE (hash, proof), proof || b.before || b.after AS proof,
+         CASE WHEN b.n = 1 THEN hash ELSE sha256(b.before || hash || b.after) END AS hash
+  FROM {source if k == 0 else f"{name}{k}"} x JOIN {table}_beside{k} b
+    ON x.{group} IS NOT DISTINCT FROM b.{group} AND x.{rank} // {8 ** k} = b.rank
+)""")
+    return ", ".join(out)
+
+
+def _sql_leaf(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f})) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+#: Levels of a tree in the SQL: enough for 8 ** 10 rows and 8 ** 4 languages.
+_TREE, _TOP = 10, 4
+ORACLE["op12_merkle"] = f"""
+WITH RECURSIVE {_CRC_TABLE}, leaves AS (
+  SELECT doc_id, lang, {_sql_leaf("text")} AS leaf,
+         CASE WHEN {_id_crc("doc_id")} % 3 = 0 THEN {_sql_leaf(
+             "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS read
+  FROM documents, crc
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank,
+         count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), tree0 AS (
+  SELECT lang, n, rank, leaf AS hash FROM ranked
+), {_levels("tree", "lang", _TREE)}, subroots AS (
+  SELECT lang, hash AS subroot, 0 AS everything, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM tree{_TREE}
+), top0 AS (
+  SELECT everything, place AS rank, count(*) OVER () AS n, subroot AS hash FROM subroots
+), {_levels("top", "everything", _TOP)}, started AS (
+  SELECT doc_id, ranked.lang, rank, leaf, subroot, place, everything, coalesce(read, leaf) AS hash, '' AS proof
+  FROM ranked JOIN subroots ON ranked.lang IS NOT DISTINCT FROM subroots.lang
+), {_folds("tree", "lang", _TREE, "rank", "started", "low")}, {_folds("top", "everything", _TOP, "place", f"low{_TREE}", "high")}
+SELECT doc_id, leaf, subroot, top{_TOP}.hash AS root, sha256(proof) AS proof_sha256, high{_TOP}.hash AS folded_root,
+       high{_TOP}.hash = top{_TOP}.hash AS verified
+FROM high{_TOP}, top{_TOP}
+"""
