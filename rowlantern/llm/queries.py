@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowlantern.llm import (
-    bpe, byte_gru, chosen_path, hash_tree, maxscore, merkle, packing, paragraphs, runs, toxicity, url_reputation, winnowing)
+    bpe, byte_gru, chosen_path, hash_tree, maxscore, merkle, packing, paragraphs, repeats, runs, toxicity, url_reputation,
+    winnowing)
 from rowlantern.llm.tables import ready
 
 SHARDS = 8
@@ -74,9 +75,13 @@ def op12_merkle(spark, sf_dir):
     return merkle.prove(read(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark, sf_dir):
+    return repeats.digests(repeats.repeated_bytes(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_prefix_bpe, op2_url_reputation, op3_maxscore, op4_chosen_path, op5_byte_gru, op6_winnowing, op7_packing, op8_toxicity, op9_paragraphs,
-                             op10_hash_tree, op11_runs, op12_merkle)}
+                             op10_hash_tree, op11_runs, op12_merkle, op13_suffix_dedup)}
 
 #: Standard SQL for the operators that it can express.
 ORACLE: dict[str, str] = {}
@@ -248,7 +253,8 @@ def _id_crc(name: str) -> str:
 ORACLE["op11_runs"] = rf"""
 WITH RECURSIVE {_CRC_TABLE}, split AS (
   SELECT doc_id, {_id_crc("doc_id")} AS h,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS w
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '') AS w
   FROM documents, crc
 ), sized AS (
   SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a, 3 + (h // 10) % 8 AS part FROM split
