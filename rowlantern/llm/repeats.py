@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlantern.llm.shingles import mixed
@@ -37,10 +37,10 @@ from rowlantern.llm.tables import store
 LENGTH, ANCHOR = 200, 100
 #: Bytes of a string that are not its anchor; as many places has a window, and one more.
 SPARE = LENGTH - ANCHOR
-#: Documents of one node beyond which it is split, and of one bucket of nodes.
-NODE, BUCKET = 1000, 20_000
-#: Rows of 8 to 24 bytes, some 100 MB as a hash table.
-BROADCAST_ROWS = 1_000_000
+#: Documents of one bucket of nodes, and of one node beyond which it is split.
+BUCKET = NODE = 20_000
+#: Most that is broadcast, as a hash table.
+BROADCAST_BYTES = 128 << 20
 STEP = 1 << 19  # places hashed at a time
 LOW = np.uint64((1 << 20) - 1)
 
@@ -247,20 +247,29 @@ def _spans(batches: Iterator[pa.RecordBatch]):
 
 
 def _merged(batches: Iterator[pa.RecordBatch]):
-    """Spans of one document that touch in a batch, as one."""
+    """Spans sorted by document and start to one row per document, spans that touch as one."""
+    own: list = []
     for batch in batches:
-        rows = sorted(zip(*(c.to_pylist() for c in batch.columns)), key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
-        out: list[list] = []
-        for row in rows:
-            if out and out[-1][:2] == list(row[:2]) and row[2] <= out[-1][3]:
-                out[-1][3] = max(out[-1][3], row[3])
+        out = []
+        for doc_id, mark, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+            if not own or own[0] != doc_id or own[1] != mark:
+                if own:
+                    out.append(tuple(own))
+                own = [doc_id, mark, []]
+            spans = own[2]
+            if spans and start <= spans[-1]["end"]:
+                spans[-1]["end"] = max(spans[-1]["end"], end)
             else:
-                out.append(list(row))
-        yield _batch([tuple(r) for r in out], SPAN)
+                spans.append({"start": start, "end": end})
+        yield _batch(out, REMOVED)
+    yield _batch([tuple(own)] if own else [], REMOVED)
 
 
-KEPT_SQL = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+SPANS_SQL = "spans array<struct<start:long,end:long>>"
+REMOVED = pa.schema([("own", pa.int64()), ("own_mark", pa.int64()), ("spans", SPANS)])
+REMOVED_SQL = f"own long, own_mark long, {SPANS_SQL}"
+KEPT_SQL = f"doc_id long, n_bytes long, {SPANS_SQL}, kept binary"
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", SPANS), ("kept", pa.binary())])
 
 
@@ -269,12 +278,7 @@ def _without(batches: Iterator[pa.RecordBatch]):
         n_bytes, spans, kept = [], [], []
         for text, found in zip(batch.column(1), batch.column(2).to_pylist()):
             data = (text.as_py() or "").encode()
-            own: list[list[int]] = []
-            for start, end in sorted((s["start"], min(s["end"], len(data))) for s in found or ()):
-                if own and start <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], end)
-                else:
-                    own.append([start, end])
+            own = [(s["start"], min(s["end"], len(data))) for s in found or ()]
             edges = [0, *(e for span in own for e in span), len(data)]
             n_bytes.append(len(data))
             spans.append([{"start": a, "end": b} for a, b in own])
@@ -283,10 +287,10 @@ def _without(batches: Iterator[pa.RecordBatch]):
                                           pa.array(kept, pa.binary())], schema=KEPT)
 
 
-def few(df: DataFrame, weight=None) -> DataFrame:
-    """``df``, stored, with a broadcast hint if its rows (or the sum of ``weight``) are counted to be few."""
-    n = df.agg(F.coalesce(F.sum(weight if weight is not None else F.lit(1)), F.lit(0))).first()[0]
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def few(df: DataFrame, a_row: int, more: Column | None = None) -> DataFrame:
+    """``df``, a stored table, with a broadcast hint if it is counted to be small: ``a_row`` and ``more`` bytes a row."""
+    size = df.agg(F.coalesce(F.sum(F.lit(a_row) if more is None else more + a_row), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def _same_document(keys: DataFrame, rows: DataFrame):
@@ -302,7 +306,7 @@ def _around_anchors(pieces: DataFrame) -> list[DataFrame]:
         if not hot.limit(1).count():
             found.append(pieces)
             break
-        wide = few(hot.select("node"))
+        wide = few(hot.select("node"), 100)
         found.append(pieces.join(wide, "node", "left_anti"))
         both = pieces.join(wide, "node")
         # Strings of one length before the anchor are equal if they are in one node.
@@ -337,27 +341,28 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     anchors = rows.mapInArrow(_places(True), "anchor long")
     often = store(anchors.groupBy("anchor").count().where("count > 1").select("anchor"), "repeat-anchors")
-    places = store(rows.mapInArrow(_places(False), PLACE_SQL).join(few(often), "anchor"), "repeat-places")
+    places = store(rows.mapInArrow(_places(False), PLACE_SQL).join(few(often, 24), "anchor"), "repeat-places")
 
     kinds = store(places.groupBy("anchor", "around").agg(
         F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "mark", "pos")).alias("at")), "repeat-kinds")
-    alike = few(kinds.where("c > 1").select("anchor", "around"))
-    whole = places.join(alike, ["anchor", "around"]).select(
+    # Joined by one number; the other one is compared then.
+    alike = few(kinds.where("c > 1").select(F.col("anchor").alias("its_anchor"), "around"), 48)
+    whole = places.join(alike, "around").where("anchor = its_anchor").select(
         "doc_id", "mark", F.greatest(F.col("pos") - SPARE, F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("end"))
 
     several = store(kinds.groupBy("anchor").count().where("count > 1").select("anchor"), "repeat-several")
-    asked = kinds.join(few(several), "anchor").groupBy("at.doc_id", "at.mark").agg(F.collect_list("at.pos").alias("places"))
+    asked = kinds.join(few(several, 24), "anchor").groupBy("at.doc_id", "at.mark").agg(F.collect_list("at.pos").alias("places"))
     asked = store(asked.select(F.col("doc_id").alias("own"), F.col("mark").alias("own_mark"), "places"), "repeat-asked")
-    keys = few(asked, F.size("places"))
+    keys = few(asked, 100, 8 * F.size("places"))
     pieces = store(rows.join(keys, _same_document(keys, rows)).select("doc_id", "mark", "text", "places").mapInArrow(
         _pieces, PIECE_SQL), "repeat-pieces")
 
-    spans = whole.mapInArrow(_merged, SPAN_SQL)
+    spans = whole
     for more in _around_anchors(pieces):
         spans = spans.unionByName(more)
-    removed = store(spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")).select(
-        F.col("doc_id").alias("own"), F.col("mark").alias("own_mark"), "spans"), "repeat-spans")
-    keys = few(removed, F.size("spans"))
+    dealt = spans.repartition("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "start")
+    removed = store(dealt.mapInArrow(_merged, REMOVED_SQL), "repeat-spans")
+    keys = few(removed, 100, 32 * F.size("spans"))
     return rows.join(keys, _same_document(keys, rows), "left").select("doc_id", "text", "spans").mapInArrow(
         _without, KEPT_SQL)
 

@@ -71,7 +71,7 @@ def test_equal_brute_force(spark, seed):
 def test_one_anchor_with_many_surroundings(spark, monkeypatch):
     """A passage in more documents than a node may hold is split, with equal results."""
     monkeypatch.setattr(repeats, "NODE", 5)
-    monkeypatch.setattr(repeats, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(repeats, "BROADCAST_BYTES", 0)
     rng = random.Random(3)
     passage = some_words(rng, 40)
     texts = [some_words(rng, 8) + passage[rng.randrange(40):len(passage) - rng.randrange(80)] + some_words(rng, 8)
