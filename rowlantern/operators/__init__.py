@@ -6,11 +6,14 @@ from rowlantern.operators.paging import hits_after, hits_page, next_page, page_a
 from rowlantern.operators.profile import column_filter, json_schema, missing_rate, top_values
 from rowlantern.operators.records import get_records, json_validity, record_view
 from rowlantern.operators.search import search, search_hits, search_page
-from rowlantern.operators.select import select_by_ids, subtract_ids, union_ids
+from rowlantern.operators.select import select_by_ids, subtract_ids, union_ids, whole_dataset_ids
+from rowlantern.operators.token_index import build_index, index_hits, indexed_search, word_counts
 
 __all__ = [
-    "children", "children_page", "column_filter", "get_records", "hits_after", "hits_by", "hits_page", "json_schema", "json_validity",
+    "build_index", "children", "children_page", "column_filter", "get_records", "hits_after", "hits_by", "hits_page", "index_hits",
+    "indexed_search", "json_schema", "json_validity",
     "match_spans", "missing_rate", "next_page", "node_summary", "nodes", "occurrence_counts", "occurrence_total", "page_at",
     "record_view", "row_count", "search", "search_hits", "search_page", "select_by_ids", "select_children",
     "subtract_ids", "subtree", "subtree_as_records", "subtree_search", "top_values", "union_ids",
+    "whole_dataset_ids", "word_counts",
 ]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # 8 bytes per id: a list of this length is 16 MB on each executor.
@@ -22,7 +22,9 @@ def select_by_ids(records: DataFrame, ids: DataFrame | Iterable[int] | Iterable[
     """Records whose id is listed; repeated ids count once, unknown ones select nothing.
 
     An id is a number within its file: records of several files are named by
-    pairs of file and id, or by ids and one ``file``.
+    pairs of file and id, or by ids and one ``file``; plain ids of a dataset
+    that Spark reads from several files are refused before anything runs.
+    ``whole_dataset_ids`` numbers such a dataset as a whole.
     A Python list is broadcast while its length allows it.  Ids in a DataFrame
     carry no hint: Spark sees their size at run time and picks the join.
     """
@@ -36,7 +38,7 @@ def select_by_ids(records: DataFrame, ids: DataFrame | Iterable[int] | Iterable[
     wanted = sorted({int(i) for i in ids})
     if file is not None:
         records = records.where(F.col("file") == file)
-    elif wanted and "file" in records.columns and records.select("file").distinct().limit(2).count() > 1:
+    elif wanted and "file" in records.columns and len(records.inputFiles()) > 1:
         raise ValueError("several files: give pairs of file and id, or the file")
     if len(wanted) <= _LITERAL_IDS:
         return records.where(F.col("record_id").isin(wanted)) if wanted else records.where(F.lit(False))
@@ -55,3 +57,15 @@ def subtract_ids(a: DataFrame, b: DataFrame) -> DataFrame:
     keys = [c for c in key_columns(a) if c in b.columns]
     # Distinct on both sides first: repeated ids are gone before anything is shuffled by key.
     return a.select(*keys).distinct().join(b.select(*keys).distinct(), keys, "left_anti")
+
+
+def whole_dataset_ids(records: DataFrame, name: str = "dataset_id") -> DataFrame:
+    """Records with a number over all their files: files in order of their path, records in order of their id.
+
+    One count per file is joined back; the records themselves are not moved.
+    """
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a file: the window holds as many rows as the dataset has files.
+    files = records.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select(
+        "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    return records.join(files, "file").withColumn(name, F.col("_first") + F.col("record_id")).drop("_first")

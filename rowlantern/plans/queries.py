@@ -17,6 +17,7 @@ from rowlantern.sources import as_records, catalog, open_dataset, read_csv, read
 from rowlantern.streaming import start_search, stream_hits
 
 PHRASE = "of the"
+EVERY_HIT = 1 << 62
 PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 
 
@@ -132,8 +133,25 @@ def search_csv_capped(spark, sf):
     return hits.select((F.col("record_id") - 1).alias("record_id"), "hit_no", "truncated")
 
 
+def indexed_search(spark, sf):
+    """Whole words by an index of all documents: one word, and two in any order."""
+    docs, folder = documents(spark, sf), scratch_path(spark, "word-index")
+    op.build_index(docs, folder)
+    found = [op.indexed_search(docs, folder, query).select(F.lit(query).alias("query"), "record_id")
+             for query in ("with", "The OF")]
+    return found[0].unionByName(found[1])
+
+
+def index_word_counts(spark, sf):
+    """In how many documents each word stands, from the postings alone."""
+    folder = scratch_path(spark, "word-index")
+    op.build_index(documents(spark, sf), folder)
+    return op.word_counts(spark, folder)
+
+
 def search_hits_page(spark, sf):
-    hits = op.search_hits(documents(spark, sf), PHRASE)
+    """A page of all hits: no hit is too late to be paged to."""
+    hits = op.search_hits(documents(spark, sf), PHRASE, max_hits=EVERY_HIT)
     return op.hits_page(hits, index=20, size=10).select("record_id", "hit_no", "next_index", "eof")
 
 
@@ -396,7 +414,7 @@ _ALL = (
     scan_parquet_records, scan_jsonl_records, scan_csv_records, scan_json_array_records, open_by_path, catalog_scan,
     record_view, row_to_json, row_to_preview_line, get_record, json_validity,
     search_substring, search_case_sensitive, search_key_value, search_rows, search_scan_all_capped, search_csv_capped,
-    search_hits_page, search_current_page, search_stream, subtree_search,
+    indexed_search, index_word_counts, search_hits_page, search_current_page, search_stream, subtree_search,
     occurrence_count, occurrence_total, match_spans,
     select_by_ids, select_search_hits, selection_union, selection_difference,
     next_page, page_at_offset,

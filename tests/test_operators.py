@@ -53,11 +53,11 @@ def test_occurrences_and_spans(spark):
 
 def test_cap_and_truncation(spark):
     df = records(spark, *["x"] * 5)
-    for cap, n, more in [(3, 3, True), (5, 5, False), (9, 5, False)]:
+    for cap, n, more in [(3, 3, True), (5, 5, False), (9, 5, False), (10**9, 5, False)]:
         rows = op.search_hits(df, "x", max_hits=cap).orderBy("hit_no").collect()
         assert [r.record_id for r in rows] == list(range(n)) and all(r.truncated == more for r in rows)
     with pytest.raises(ValueError):
-        op.search_hits(df, "x", max_hits=10**9)
+        op.search_hits(df, "x", max_hits=-1)
     page = op.hits_page(op.search_hits(df, "x"), index=2, size=2).collect()
     assert sorted(r.record_id for r in page) == [2, 3] and page[0].next_index == 4 and not page[0].eof
     assert [r.record_id for r in op.hits_after(op.search_hits(df, "x"), 3, 2).collect()] == [4]
@@ -256,7 +256,7 @@ def test_plans(spark, tmp_path):
     """What the plans must and must not contain."""
     df = spark.range(1000).selectExpr("id", "cast(id as string) as t", "id % 7 as g")
     path = str(tmp_path / "p.parquet")
-    df.write.parquet(path)
+    df.coalesce(1).write.parquet(path)
 
     def plan(d):
         return d._jdf.queryExecution().executedPlan().toString()
@@ -274,3 +274,16 @@ def test_plans(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text("a\nb\n")
     text = plan(open_dataset(spark, str(tmp_path / "l.jsonl")))
     assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
+def test_ids_over_parts_of_a_dataset(spark, tmp_path):
+    path = str(tmp_path / "parts.parquet")
+    spark.range(100).repartition(3).sortWithinPartitions("id").write.parquet(path)
+    rows = open_dataset(spark, path)
+    with pytest.raises(ValueError, match="several files"):
+        op.select_by_ids(rows, [1])
+    whole = op.whole_dataset_ids(rows).select("file", "record_id", "dataset_id").orderBy("dataset_id").collect()
+    assert [r.dataset_id for r in whole] == list(range(100))
+    assert [(r.file, r.record_id) for r in whole] == sorted((r.file, r.record_id) for r in whole)
+    pairs = [(whole[40].file, whole[40].record_id), (whole[99].file, whole[99].record_id)]
+    assert op.select_by_ids(rows, pairs).count() == 2
