@@ -10,12 +10,13 @@ import sys
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import islice
 
-import pyarrow as pa
+import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlantern.functions import json_split
+from rowlantern.functions.json_builtin import PARTS, parts_of
 from rowlantern.functions.json_text import PathSegment, kind_of_text, located, path_label, value_preview
 from rowlantern.functions.render import CUT_MARK, PREVIEW_CHARS, cut
 from rowlantern.functions.search_text import matches
@@ -23,8 +24,8 @@ from rowlantern.operators.select import key_columns
 
 # Fixed value: page of children.
 CHILD_PAGE = 50
-# Rows and characters that leave a task at once.
-_ROWS, _CHARS = 10_000, 8 << 20
+#: Levels below the root that built-in functions open.
+LEVELS = 6
 _CHILD = "pos long, seg string, kind string, text string, error string"
 
 
@@ -32,42 +33,6 @@ cloudpickle.register_pickle_by_value(json_split)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _unfolded(records: DataFrame, column: str, schema: str, unfold: Callable[[str], Iterator[tuple]]) -> DataFrame:
-    """The rows ``unfold`` gives for the text of each record, behind the record's other columns.
-
-    One narrow pass; rows leave in bounded batches, so a record with very many
-    nodes is never held as one list.
-    """
-    keys = [c for c in records.columns if c != column]
-    rows = records.select(*keys, column)
-    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
-    fields = [pa.field(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(", "))]
-
-    def run(batches):
-        for batch in batches:
-            texts, at, made, chars = batch.column(len(keys)), [], [], 0
-
-            def flush():
-                left = [batch.column(i).take(pa.array(at, pa.int32())) for i in range(len(keys))]
-                right = [pa.array(values, field.type) for values, field in zip(zip(*made), fields)]
-                return pa.RecordBatch.from_arrays(left + right, names=[*keys, *(f.name for f in fields)])
-
-            for i in range(len(texts)):
-                text = texts[i].as_py()
-                for row in () if text is None else unfold(text):
-                    at.append(i)
-                    made.append(row)
-                    chars += sum(len(v) for v in row if isinstance(v, str))
-                    if len(at) >= _ROWS or chars >= _CHARS:
-                        yield flush()
-                        at, made, chars = [], [], 0
-            if at:
-                yield flush()
-
-    return rows.mapInArrow(run, ", ".join([*own, schema]))
-
-
 def _kind(text: str) -> str:
     return json_split.kind_of(text.lstrip(" \t\r\n\x00"))
 
@@ -82,19 +47,54 @@ def _listed(text: str, first: int = 0, last: int | None = None) -> Iterator[tupl
         yield None, None, "unknown", None, f"not JSON: {err}"
 
 
+def _named(seg: str):
+    return lambda part: part["seg"] == seg
+
+
+def _reached(records: DataFrame, path: Sequence[PathSegment], column: str) -> DataFrame:
+    """Keys, ``_raw``, the text ``_at`` the path and whether the built-ins vouch for the way there, ``_sure``."""
+    rows = records.select(*key_columns(records), F.col(column).alias("_raw")).withColumn("_at", F.col("_raw")).withColumn(
+        "_sure", F.lit(True))
+    for seg in path:
+        rows = rows.withColumn("_parts", parts_of(F.col("_at")))
+        wanted = "[" if isinstance(seg, int) else "{"
+        found = F.filter("_parts", _named(str(seg)))
+        rows = rows.withColumn("_sure", F.col("_sure") & (F.col("_at").isNull() | F.col("_parts").isNotNull())).withColumn(
+            "_at", F.when(F.substring("_at", 1, 1) == wanted, F.get(found, F.lit(0))["text"])).drop("_parts")
+    return rows
+
+
+def _with_second_opinion(rows: DataFrame, keys: list[str], schema: str,
+                         unfold: Callable[[str], Iterator[tuple]]) -> DataFrame:
+    """The rows in ``_rows`` where the built-ins are ``_sure``; for other records what ``unfold`` makes of ``_raw``."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    kind = f"array<struct<{','.join(part.replace(' ', ':') for part in schema.split(', '))}>>"
+
+    def read(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [dict(zip(names, row)) for row in unfold(t)] for t in texts], dtype=object)
+
+    rows = rows.select(*keys, F.when(F.col("_sure"), F.col("_rows")).cast(kind).alias("_rows"),
+                       F.when(~F.col("_sure"), F.col("_raw")).alias("_doubtful"))
+    rows = rows.withColumn("_more", F.pandas_udf(read, kind)(F.col("_doubtful")))
+    return rows.select(*keys, F.inline(F.coalesce("_rows", "_more")))
+
+
 def subtree(records: DataFrame, path: Sequence[PathSegment], on_missing: str = "null", column: str = "raw") -> DataFrame:
     """The value at ``path`` of every record, verbatim, with its kind and ``error``.
 
     ``on_missing``: ``null`` keeps the record with NULL, ``skip`` leaves it out,
     ``error`` fails the query.  A record that is broken on the way to the value
-    has an ``error`` and is never left out.
+    has an ``error`` and is never left out.  Built-in functions read the records
+    that they vouch for; Python sees the others only.
     """
-    out = records.select(*key_columns(records), F.col(column).alias("value"))
+    keys = key_columns(records)
     if path:
-        out = out.withColumn("found", located(F.col("value"), path)).select(
-            *key_columns(records), "found.value", "found.error")
+        rows = _reached(records, path, column).withColumn(
+            "found", located(F.when(~F.col("_sure"), F.col("_raw")), path))
+        out = rows.select(*keys, F.when(F.col("_sure"), F.col("_at")).otherwise(F.col("found.value")).alias("value"),
+                          F.when(~F.col("_sure"), F.col("found.error")).alias("error"))
     else:
-        out = out.withColumn("error", F.lit(None).cast("string"))
+        out = records.select(*keys, F.col(column).alias("value"), F.lit(None).cast("string").alias("error"))
     if on_missing == "error":
         why = F.concat(F.lit(f"no value at {path_label(path) or 'root'}"), F.coalesce(
             F.concat(F.lit(": "), F.col("error")), F.lit("")))
@@ -103,12 +103,17 @@ def subtree(records: DataFrame, path: Sequence[PathSegment], on_missing: str = "
         out = out.where(F.col("value").isNotNull() | F.col("error").isNotNull())
     elif on_missing != "null":
         raise ValueError(f"on_missing: {on_missing}")
-    return out.select(*key_columns(records), "value", F.when(
+    return out.select(*keys, "value", F.when(
         F.col("value").isNotNull(), kind_of_text(F.col("value"))).alias("kind"), "error")
 
 
-def _below(records: DataFrame, path: Sequence[PathSegment], column: str, schema: str, unfold) -> DataFrame:
-    """What ``unfold`` makes of the value at ``path``; a record broken before it gives a row with the error alone."""
+def _below(records: DataFrame, path: Sequence[PathSegment], column: str, schema: str, unfold, builtin) -> DataFrame:
+    """What ``unfold`` makes of the value at ``path``; a record broken before it gives a row with the error alone.
+
+    ``builtin`` gives the same rows, as an array of structs, from the parts and
+    the kind of the value, for the records that the built-ins vouch for: they
+    never reach Python.
+    """
     names = [part.split()[0] for part in schema.split(", ")]
     steps = list(path)
 
@@ -120,13 +125,23 @@ def _below(records: DataFrame, path: Sequence[PathSegment], column: str, schema:
             yield from unfold(value)
 
     keys = key_columns(records)
-    return _unfolded(records.select(*keys, column), column, schema, listed)
+    rows = _reached(records, path, column).withColumn("_parts", parts_of(F.col("_at")))
+    rows = rows.withColumn("_sure", F.col("_sure") & (F.col("_at").isNull() | F.col("_parts").isNotNull()))
+    made = F.when(F.col("_at").isNotNull(), builtin(F.col("_parts"), kind_of_text(F.col("_at")), F.col("_at")))
+    return _with_second_opinion(rows.withColumn("_rows", made), keys, schema, listed)
+
+
+def _rows_of(parts: Column, *more: Column) -> Column:
+    """Children as the columns of ``_CHILD``, and ``more``."""
+    return F.transform(parts, lambda x, i: F.struct(
+        i.cast("long").alias("pos"), x["seg"], kind_of_text(x["text"]).alias("kind"), x["text"],
+        F.lit(None).cast("string").alias("error"), *more))
 
 
 def children(records: DataFrame, path: Sequence[PathSegment] = (), column: str = "raw",
              preview_chars: int = PREVIEW_CHARS) -> DataFrame:
     """Direct children at ``path``: pos, seg, kind, preview, the value verbatim, and error."""
-    listed = _below(records, path, column, _CHILD, _listed)
+    listed = _below(records, path, column, _CHILD, _listed, lambda parts, of, text: _rows_of(parts))
     return listed.select(*key_columns(records), "pos", "seg", "kind", cut(F.col("text"), preview_chars).alias("preview"),
                          "text", "error")
 
@@ -135,14 +150,18 @@ def children_page(records: DataFrame, path: Sequence[PathSegment] = (), cursor:
                   column: str = "raw") -> DataFrame:
     """Children ``cursor .. cursor + limit - 1`` of every record; ``next_cursor`` is NULL at the end.
 
-    Reading stops one child behind the page.
+    The error of a record that breaks off behind the page is not seen.
     """
     def page(text):
         rows = list(_listed(text, cursor, cursor + limit + 1))
         more = cursor + limit if len(rows) > limit and rows[limit][4] is None else None
         yield from ((*row, more) for row in (rows[:limit] if more else rows))
 
-    listed = _below(records, path, column, f"{_CHILD}, next_cursor long", page)
+    def builtin(parts, of, text):
+        following = F.when(F.size(parts) > cursor + limit, F.lit(cursor + limit).cast("long"))
+        return F.slice(_rows_of(parts, following.alias("next_cursor")), cursor + 1, limit)
+
+    listed = _below(records, path, column, f"{_CHILD}, next_cursor long", page, builtin)
     return listed.select(*key_columns(records), "pos", "seg", "kind", "text", "next_cursor", "error")
 
 
@@ -160,7 +179,14 @@ def node_summary(records: DataFrame, path: Sequence[PathSegment] = (), max_items
         held = kind in ("object", "array")
         yield kind, (max_items if over else n) if held else None, not over, None
 
-    return _below(records, path, column, "kind string, child_count long, complete boolean, error string", count)
+    def builtin(parts, of, text):
+        n = F.size(parts).cast("long")
+        over = F.lit(False) if max_items is None else n > max_items
+        counted = F.when(of.isin("object", "array"), n if max_items is None else F.least(n, F.lit(max_items).cast("long")))
+        return F.array(F.struct(of.alias("kind"), counted.alias("child_count"), (~over).alias("complete"),
+                                F.lit(None).cast("string").alias("error")))
+
+    return _below(records, path, column, "kind string, child_count long, complete boolean, error string", count, builtin)
 
 
 def select_children(records: DataFrame, path: Sequence[PathSegment], wanted: Iterable[PathSegment],
@@ -174,7 +200,13 @@ def select_children(records: DataFrame, path: Sequence[PathSegment], wanted: Ite
         names = keys if _kind(text) == "object" else indexes
         return (row for row in _listed(text) if row[1] in names or row[4] is not None)
 
-    return _below(records, path, column, _CHILD, chosen)
+    def builtin(parts, of, text):
+        names, places = ([F.lit(w) for w in sorted(group)] for group in (keys, indexes))
+        asked = F.when(of == "object", F.array(*names).cast("array<string>")).otherwise(
+            F.array(*places).cast("array<string>"))
+        return F.filter(_rows_of(parts), lambda x: F.array_contains(asked, x["seg"]))
+
+    return _below(records, path, column, _CHILD, chosen, builtin)
 
 
 def subtree_as_records(records: DataFrame, path: Sequence[PathSegment] = (), column: str = "raw") -> DataFrame:
@@ -193,7 +225,13 @@ def subtree_as_records(records: DataFrame, path: Sequence[PathSegment] = (), col
         elif kind != "null":
             yield 0, None, kind, text, None, kind
 
-    rows = _below(records, path, column, f"{_CHILD}, of string", parts)
+    def builtin(parts, of, text):
+        scalar = F.array(F.struct(
+            F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("seg"), of.alias("kind"), text.alias("text"),
+            F.lit(None).cast("string").alias("error"), of.alias("of")))
+        return F.when(of.isin("object", "array"), _rows_of(parts, of.alias("of"))).when(of != "null", scalar)
+
+    rows = _below(records, path, column, f"{_CHILD}, of string", parts, builtin)
     label = F.when(F.col("of") == "array", F.concat(F.lit("#"), F.col("seg"))).when(
         F.col("of") == "object", F.concat(F.col("seg"), F.lit(":")))
     preview = F.concat_ws(" ", label, value_preview(F.col("text"), F.col("kind")))
@@ -209,14 +247,57 @@ def subtree_search(records: DataFrame, path: Sequence[PathSegment], query: str,
     return found.where(matches(hay, query, key_value=False) | F.col("error").isNotNull())
 
 
+def _grown(path: Column, part: Column, of_array: Column) -> Column:
+    """Path of a child, as text."""
+    return F.when(of_array, F.concat(path, F.lit("["), part["seg"], F.lit("]"))).when(
+        path == "", part["seg"]).otherwise(F.concat(path, F.lit("."), part["seg"]))
+
+
+def _levels(records: DataFrame, column: str, max_depth: int | None, preview_chars: int) -> DataFrame:
+    """Keys, ``_raw``, the nodes of each level in ``_n0``, ``_n1``, ... and whether the built-ins vouch for all, ``_sure``.
+
+    A level is the children of the containers of the level above; what is no
+    container leaves the frontier at once.
+    """
+    nothing = F.lit(None).cast("string")
+    last = LEVELS if max_depth is None else min(max_depth, LEVELS)
+    rows = records.select(*key_columns(records), F.col(column).alias("_raw")).withColumn(
+        "_f", F.array(F.struct(F.lit("").alias("path"), F.lit(0).cast("long").alias("pos"), nothing.alias("seg"),
+                               F.col("_raw").alias("text")))).withColumn("_sure", F.lit(True))
+    for depth in range(last + 1):
+        held = F.col("_f")
+        first = lambda n: F.substring(n["text"], 1, 1)
+        # A scalar below the root is a slice of a text that was put together again, and needs no second look.
+        own = (lambda n: parts_of(n["text"])) if not depth else (
+            lambda n: F.when(first(n).isin("{", "["), parts_of(n["text"])).otherwise(F.array().cast(PARTS)))
+        rows = rows.withColumn("_f", F.transform(held, lambda n: F.struct(
+            n["path"], n["pos"], n["seg"], n["text"], kind_of_text(n["text"]).alias("kind"), own(n).alias("parts"))))
+        rows = rows.withColumn("_sure", F.col("_sure") & F.forall("_f", lambda n: n["parts"].isNotNull()))
+        if depth == last and max_depth is None:
+            rows = rows.withColumn("_sure", F.col("_sure") & F.forall("_f", lambda n: F.size(n["parts"]) == 0))
+        stops = max_depth is not None and depth == max_depth
+        rows = rows.withColumn(f"_n{depth}", F.transform("_f", lambda n: F.struct(
+            n["path"], F.lit(depth).alias("depth"), n["pos"], n["seg"], n["kind"],
+            F.when(n["kind"].isin("object", "array"), F.size(n["parts"]).cast("long")).alias("child_count"),
+            (cut(n["text"], preview_chars) if preview_chars > 0 else F.lit("")).alias("preview"),
+            (~n["kind"].isin("object", "array") if stops else F.lit(True)).alias("expanded"), nothing.alias("error"))))
+        rows = rows.withColumn("_f", F.flatten(F.transform(
+            F.filter("_f", lambda n: F.size(n["parts"]) > 0), lambda n: F.transform(n["parts"], lambda x, i: F.struct(
+                _grown(n["path"], x, n["kind"] == "array").alias("path"), i.cast("long").alias("pos"), x["seg"],
+                x["text"])))))
+    return rows.select(*key_columns(records), "_raw", "_sure",
+                       F.concat(*[f"_n{d}" for d in range(last + 1)]).alias("_rows"))
+
+
 def nodes(records: DataFrame, max_depth: int | None = None, column: str = "raw",
           preview_chars: int = PREVIEW_CHARS) -> DataFrame:
     """Every node of every record: path, depth, pos, seg, kind, child_count, preview, expanded, error.
 
-    One narrow pass and one walk over each text, to any depth.  With ``max_depth``
-    a container there is listed with its child count and ``expanded`` false.  A
-    record that cannot be read to the end has, behind the nodes that were, a row
-    with its ``error``.
+    One narrow pass, to any depth.  Built-in functions open a record level by
+    level; records that they do not vouch for, or deeper than LEVELS, are walked
+    in Python.  With ``max_depth`` a container there is listed with its child
+    count and ``expanded`` false.  A record that cannot be read to the end has,
+    behind the nodes that were, a row with its ``error``.
     """
     def listed(text):
         place: list[int] = []  # children read so far of the containers on the way; a container ends behind its children
@@ -236,7 +317,7 @@ def nodes(records: DataFrame, max_depth: int | None = None, column: str = "raw",
         except ValueError as err:
             yield "", 0, None, None, "unknown", None, None, False, f"not JSON: {err}"
 
-    keys = key_columns(records)
-    return _unfolded(records.select(*keys, column), column, (
+    rows = _levels(records, column, max_depth, preview_chars)
+    return _with_second_opinion(rows, key_columns(records), (
         "path string, depth int, pos long, seg string, kind string, child_count long, preview string, "
         "expanded boolean, error string"), listed)
