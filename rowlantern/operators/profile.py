@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +45,31 @@ def json_schema(records: DataFrame, column: str = "raw") -> DataFrame:
     found = nodes(records, column=column, preview_chars=0)
     path = F.when(F.col("error").isNull(), F.regexp_replace("path", r"\[[0-9]+\]", "[*]"))
     return found.groupBy(path.alias("path"), "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_schema(records: DataFrame, column: str = "raw") -> str:
+    """One type for all JSON texts of a column, as ``from_json`` and ``read_typed`` take it.
+
+    Types are merged in each task and then once more, so one string reaches the
+    driver whatever the number of records.  Values of different kinds at one
+    place become VARIANT, a place that only holds null STRING.  Texts that are
+    not JSON, or repeat a key, are left out; a column without any other text, or
+    whose texts are all scalars, has no such type: ValueError.
+    """
+    found = records.agg(F.schema_of_variant_agg(F.try_parse_json(F.col(column))).alias("type")).first()["type"]
+
+    def named(match):
+        return {"OBJECT<": "STRUCT<", "VOID": "STRING"}.get(match.group(), match.group())
+
+    ddl = re.sub(r"`(?:[^`]|``)*`|\bOBJECT<|\bVOID\b(?!:)", named, found)
+    if not ddl.startswith(("STRUCT<", "ARRAY<")):
+        raise ValueError(f"no object or array in common: {found}")
+    return ddl
+
+
+def read_typed(records: DataFrame, schema: str | None = None, column: str = "raw", name: str = "value") -> DataFrame:
+    """``records`` with the JSON text parsed by ``schema``, else by the merged schema of all of them.
+
+    A text that does not fit is NULL, or has NULL at the place that does not fit.
+    """
+    return records.withColumn(name, F.from_json(F.col(column), schema or merged_schema(records, column)))

@@ -63,7 +63,7 @@ def catalog_scan(spark, sf):
     files = catalog(spark, sf).where("supported")
     anything = spark.read.schema("_none int").option("recursiveFileLookup", "true").parquet(sf)
     counts = anything.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("records"))
-    return files.join(counts, "path", "left").select("name", "kind", "format", "supported", "records")
+    return files.join(counts, "path", "left").select("name", "kind", "format", "supported", "ordinal", "records")
 
 
 # --- identity, view, lookup ----------------------------------------------
@@ -360,9 +360,9 @@ def export_csv_to_json(spark, sf):
 def export_csv_passthrough(spark, sf):
     out = scratch_path(spark, "part-csv")
     export_records(_csv_parts(spark, sf), "csv", "csv", out)
-    # The header is a record like any other here, wherever range partitioning put it.
+    # The header is a record like any other here, and comes back as one.
     line = F.from_csv("value", F.lit(_PART_DDL), {"escape": '"'})
-    return spark.read.text(out).select(line.alias("r")).select("r.*").where("p_partkey != 'p_partkey'")
+    return spark.read.text(out).select(line.alias("r")).select("r.*")
 
 
 def export_json_subtree(spark, sf):
@@ -370,8 +370,12 @@ def export_json_subtree(spark, sf):
     export_subtree(document_trees(spark, sf), [], "jsonl", out, children=["meta", "lang"])
     lines = spark.read.text(out)
     whole = F.from_json("value", "source string, n_chars long")
-    return lines.select(F.when(F.col("value").startswith("{"), whole["source"]).otherwise(F.col("value")).alias("shown"),
-                        whole["n_chars"].alias("n_chars"))
+    top = lines.select(F.when(F.col("value").startswith("{"), whole["source"]).otherwise(F.col("value")).alias("shown"),
+                       whole["n_chars"].alias("n_chars"))
+    out = scratch_path(spark, "lines-json")
+    export_subtree(document_trees(spark, sf), ["meta"], "json", out, children=["source"])
+    inner = spark.read.text(out).where("value not in ('[', ']')")
+    return top.unionByName(inner.select(F.rtrim("value", F.lit(",")).alias("shown"), F.lit(None).cast("long").alias("n_chars")))
 
 
 def export_summary(spark, sf):
@@ -403,6 +407,13 @@ def stats_schema(spark, sf):
     return op.json_schema(document_trees(spark, sf))
 
 
+def stats_schema_merged(spark, sf):
+    """All documents as JSON texts, read again by the one type that was found for them."""
+    docs = op.read_typed(document_trees(spark, sf))
+    return docs.select(F.col("value.doc_id"), F.col("value.lang"), F.col("value.meta.source"), F.col("value.meta.n_chars"),
+                       F.size("value.lines").cast("long").alias("n_lines"), F.md5(F.array_join("value.lines", "\n")).alias("text_md5"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Search all documents for a phrase; show the first hits as bounded records."""
     records = as_records(table(spark, sf, "documents"))
@@ -420,7 +431,7 @@ _ALL = (
     next_page, page_at_offset,
     json_children, json_children_page, json_node_summary, json_subtree, json_select_children,
     subtree_as_records, json_nodes,
-    row_count, hits_by_group, export_summary, column_filter, stats_missing_rate, stats_topk, stats_schema,
+    row_count, hits_by_group, export_summary, column_filter, stats_missing_rate, stats_topk, stats_schema, stats_schema_merged,
     export_parquet_to_jsonl, export_parquet_to_json, export_jsonl_passthrough, export_jsonl_to_json,
     export_csv_passthrough, export_csv_to_jsonl, export_csv_to_json, export_json_to_jsonl, export_json_to_json,
     export_jsonl_to_csv, export_json_subtree,

@@ -61,9 +61,9 @@ def export_subtree(records: DataFrame, path: list[PathSegment], out_format: str,
     if include_root or not children:
         out = whole.select(*keys, F.lit(0).cast("long").alias("pos"), "value")
     else:
-        container = F.col("kind").isin("object", "array")
-        leaf = whole.where(~container).select(*keys, F.lit(0).cast("long").alias("pos"), "value")
-        picked = select_children(whole.where(container), [], children, "value")
+        # A record without the path fails here, whatever its children.
+        leaf = whole.where(~F.col("kind").isin("object", "array")).select(*keys, F.lit(0).cast("long").alias("pos"), "value")
+        picked = select_children(records, path, children, column)
         fail = F.raise_error(F.concat(F.lit("cannot read children: "), F.col("error"))).cast("string")
         picked = picked.withColumn("text", F.when(F.col("error").isNotNull(), fail).otherwise(F.col("text")))
         out = picked.select(*keys, "pos", F.col("text").alias("value")).unionByName(leaf)
