@@ -10,6 +10,7 @@ is padded.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +25,8 @@ from tokenizers import Tokenizer
 from rowlantern.llm.tables import store
 
 ENDS = (".", ",")
-CACHED_WORDS, CACHED_BASES, BATCH = 200_000, 500_000, 4096
+MARK = "<|"  # special tokens begin with it
+CACHED_WORDS, CACHED_BASES, BATCH = 500_000, 500_000, 4096
 LAST_LATIN = "\xff"
 
 
@@ -49,12 +51,13 @@ class WordCoder:
 
     The tokenizer's pattern never matches across white space and its
     normalisation looks at nothing beyond it, so a text may be cut at spaces
-    and line breaks and its words be encoded by themselves.
+    and line breaks and its words be encoded by themselves.  Marks of special
+    tokens in a text become those tokens, as the library has it by default; a
+    word with one is left to the library as it is.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
         # Words without a last stop or comma, in lower case: the newer and the older half.
         self.bases: dict[str, bytes] = {}
@@ -62,13 +65,14 @@ class WordCoder:
         self.ends = {"": b"", **{c: self._ids([c])[0] for c in ENDS}}
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
+        return [struct.pack(f"<{len(e)}I", *e.ids)
                 for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _merged(self, word: str) -> bytes:
         """Ids of lower-case Latin letters, which normalisation and splitting leave as they are."""
         seen = word if word.isascii() else "".join(map(SEEN.__getitem__, word.encode()))
-        return np.array([t.id for t in self.tokenizer.model.tokenize(seen)], "<u4").tobytes()
+        ids = [t.id for t in self.tokenizer.model.tokenize(seen)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, words: set[str]) -> None:
         if len(self.bases) >= CACHED_BASES:
@@ -76,14 +80,18 @@ class WordCoder:
         cut = []
         for w in words:
             # The pattern never matches a letter and a stop together.
-            base, end = (w[:-1], w[-1]) if w[-1:] in ENDS and w[-2:-1].lower().isalpha() else (w, "")
-            latin = base.isalpha() and max(base) <= LAST_LATIN
-            cut.append((w, base.lower() if latin or base.isascii() else base, end))
+            base, end = (w[:-1], w[-1]) if w[-1] in ENDS and w[-2:-1].lower().isalpha() else (w, "")
+            if base.isascii():
+                base = w if MARK in w else base.lower()
+                end = "" if MARK in w else end
+            elif base.isalpha() and max(base) <= LAST_LATIN:
+                base = base.lower()
+            cut.append((w, base, end))
         fresh = []
         for base in {base for _, base, _ in cut}.difference(self.bases):
             if base in self.older:
                 self.bases[base] = self.older[base]
-            elif base.isalpha() and max(base) <= LAST_LATIN:
+            elif base.isalpha() and (base.isascii() or max(base) <= LAST_LATIN):
                 self.bases[base] = self._merged(base)
             else:
                 fresh.append(base)
@@ -136,8 +144,9 @@ class Packer:
         n = len(piece)
         fits = [(self.size - used - n, k) for k, (used, _) in enumerate(self.open) if used + n <= self.size]
         if fits:
-            used, held = self.open[min(fits)[1]]
-            self.open[min(fits)[1]] = (used + n, held)
+            best = min(fits)[1]
+            used, held = self.open[best]
+            self.open[best] = (used + n, held)
             held.append(piece)
         elif len(self.open) < self.limit:
             self.open.append((n, [piece]))

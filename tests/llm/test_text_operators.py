@@ -192,7 +192,6 @@ def test_winnowing_equals_the_definition(spark):
 
 def test_packing_round_trip(spark):
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     df = docs(spark)
     got = packing.pack(df, WORDS, size=64, windows=3, merge=2).collect()
     want = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
@@ -220,6 +219,45 @@ def test_packing_round_trip(spark):
     assert packing.pack(empty(spark), WORDS).count() == 0
 
 
+MARKS = ["a <|endoftext|> b", "a<|endoftext|>b.", "<|startoftext|>, <|ENDOFTEXT|> <|endoftext|", "X<|endoftext|>. <|endoftext|>É,",
+         "\t<|endoftext|>\t<|endoftext|>\n", "Wörter É. Ünd, ÀB, a. B, c.. ,. 1. x, ?, don't. \u0130. ﬁ."]
+
+
+def test_word_coder_equals_the_default_call():
+    tokenizer, own, rng = Tokenizer.from_file(WORDS), packing.WordCoder(WORDS), random.Random(9)
+    pieces = [" ", "\n", "\t", ".", ",", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "A", "bc", "É", "中", "7", "'s", "ß", "\u0301"]
+    for text in [*MARKS, *["".join(rng.choices(pieces, k=rng.randrange(1, 14))) for _ in range(4000)]]:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert list(np.frombuffer(own.encode(text), "<u4")) == want, text
+
+
+def test_packing_fills_best_and_emits_the_fullest():
+    """Every step against the rule, read off a plain list of windows."""
+    rng = random.Random(10)
+    packer, windows = packing.Packer(32, 3), []
+    for k in range(2000):
+        n = rng.randrange(1, 33)
+        out = [sum(map(len, held)) for held in packer.add(packing.Piece(k, 0, bytes(4 * n), n))]
+        fits = [w for w in windows if w + n <= 32]
+        want = []
+        if fits:
+            windows.remove(max(fits))
+            windows.append(max(fits) + n)
+        elif len(windows) < 3:
+            windows.append(n)
+        else:
+            full = max(windows)
+            windows.remove(full)
+            want, rest = [32], n - (32 - full)
+            fits = [w for w in windows if w + rest <= 32]
+            if fits:
+                windows.remove(max(fits))
+            windows.append(max(fits, default=0) + rest)
+        want += [32] * windows.count(32)
+        windows = [w for w in windows if w < 32]
+        assert out == want and sorted(u for u, _ in packer.open) == sorted(windows)
+
+
 # --- toxicity ---------------------------------------------------------------
 
 def test_toxicity_of_held_out_rows(spark):
