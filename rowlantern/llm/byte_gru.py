@@ -259,8 +259,14 @@ def identify(docs: DataFrame, model: ByteGRU | None = None, id_col: str = "doc_i
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs``, all columns, whose language is known with a score of at least ``least``."""
+    """Rows of ``docs``, all columns, whose language is known with a score of at least ``least``.
+
+    Without any label to learn from nothing is rejected.  Null texts and texts
+    without a letter go; repeated rows are judged each; an empty table gives no rows.
+    """
     model = fit(docs, text_col=text_col, **options)
+    if model is None:
+        return docs
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
     kind = docs.schema.simpleString()
     judged = rows.mapInArrow(predictor(model), f"row {kind}, lang_pred string, score double")

@@ -304,8 +304,15 @@ def score(docs: DataFrame, labels: DataFrame, model: Scorer | None = None, id_co
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5, text_col: str = "text", **bounds) -> DataFrame:
-    """Rows of ``docs``, all columns, whose score is below ``limit``."""
+    """Rows of ``docs``, all columns, whose score is below ``limit``.
+
+    Labels of one kind alone tell nothing apart: then every row is kept.  Null
+    and empty texts are scored as empty; repeated rows are judged each; an empty
+    table gives no rows.
+    """
     model = fit(docs, labels, text_col=text_col, **bounds)
+    if model.trees is None:
+        return docs
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
     judged = rows.mapInArrow(scorer(model), f"row {docs.schema.simpleString()}, score double")
     return judged.where(F.col("score") < limit).select("row.*")

@@ -292,3 +292,12 @@ def test_isotonic_steps_rise():
     margin = rng.normal(size=500)
     at, rate = toxicity.isotonic(margin, (rng.random(500) < 1 / (1 + np.exp(-2 * margin))).astype(float))
     assert (np.diff(at) > 0).all() and (np.diff(rate) >= -1e-2).all()
+
+
+def test_stages_keep_documents_without_labels(spark):
+    df = spark.createDataFrame([(i, f"some words {i}", None) for i in range(20)], "doc_id long, text string, lang string")
+    assert byte_gru.keep_identified(df).count() == 20
+    for label in (1, 0):
+        labels = spark.createDataFrame([(i, label) for i in range(20)], "doc_id long, toxic int")
+        assert toxicity.keep_clean(df, labels).count() == 20
+    assert toxicity.keep_clean(df, labels.where("false")).count() == 20
