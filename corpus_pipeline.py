@@ -21,27 +21,42 @@ SHINGLE, PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; `und` and unsure ones go."""
+    """Documents whose language is known; `und` (null texts, texts without a letter) and unsure ones go.
+
+    Without any ``lang`` to learn from, all stay.  Repeated rows are judged each;
+    an empty table gives no rows; columns beyond those of documents stay.
+    """
     return byte_gru.keep_identified(docs, LEAST_LANGUAGE_SCORE)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not toxic."""
+    """Documents that are not toxic; null texts are judged as empty, repeated rows each.
+
+    Unless ``labels`` has both kinds, all stay.  An empty table gives no rows; all columns stay.
+    """
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TOXIC_FROM)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: that of the smallest id; of rows with one id and text, one.
+
+    Null texts and texts without a word are alike to nothing and stay, as do
+    rows without an id that are alike to nothing; an empty table gives no rows.
+    """
     return chosen_path.keep_one(docs, shingle=SHINGLE, percent=PERCENT)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier document holds."""
+    """Documents without the passages that the document of the smallest id among those with them keeps.
+
+    Null and short texts stay as they are; repeats inside a document are not
+    removed; ``n_chars`` is counted anew; an empty table gives no rows.
+    """
     return paragraphs.drop_passages(docs, length_col="n_chars", percent=PERCENT)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences of 4096 tokens."""
+    """Pieces of training sequences of 4096 tokens; a null text is its end mark alone, repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
