@@ -51,7 +51,8 @@ def located(raw: Column, path: Sequence[PathSegment]) -> Column:
         found = [(None, None) if t is None else json_split.value_at(t, steps) for t in texts]
         return pd.DataFrame(found, columns=["value", "error"], dtype=object)
 
-    return F.pandas_udf(find, "value string, error string")(raw)
+    # Kept where it stands: the optimiser must not write it into a lambda, where Python cannot be called.
+    return F.pandas_udf(find, "value string, error string").asNondeterministic()(raw)
 
 
 def path_label(path: Sequence[PathSegment]) -> str:

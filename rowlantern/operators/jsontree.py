@@ -75,7 +75,7 @@ def _with_second_opinion(rows: DataFrame, keys: list[str], schema: str,
 
     rows = rows.select(*keys, F.when(F.col("_sure"), F.col("_rows")).cast(kind).alias("_rows"),
                        F.when(~F.col("_sure"), F.col("_raw")).alias("_doubtful"))
-    rows = rows.withColumn("_more", F.pandas_udf(read, kind)(F.col("_doubtful")))
+    rows = rows.withColumn("_more", F.pandas_udf(read, kind).asNondeterministic()(F.col("_doubtful")))
     return rows.select(*keys, F.inline(F.coalesce("_rows", "_more")))
 
 
