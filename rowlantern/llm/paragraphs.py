@@ -1,14 +1,18 @@
 """Removal of passages that repeat across documents: paragraph MinHash banding.
 
-A paragraph is a run of 24 words.  It starts at words that the text itself
-chooses (the smallest hash of four words among 24 places, rightmost of equal
-ones), so a passage is cut alike wherever it stands, inside a line or across
-lines: every passage of 50 words holds at least one whole paragraph.  Paragraphs
-that share a band of minwise tokens of their five-word shingles are joined,
-similarity is verified on the full shingle sets, and components of alike
-paragraphs are removed everywhere but in the document of the smallest id.  What
-is removed grows to both sides, word by word, as far as that document goes on
-with the same words.
+A paragraph is a line of at least 24 words, or a part between blank lines whose
+lines are all shorter.  Paragraphs that share a band of minwise tokens of their
+five-word shingles are joined, similarity is verified on the full shingle sets,
+and components of alike paragraphs are removed everywhere but in the document of
+the smallest id.  Seven bands of two tokens miss a pair at 0.8 with a chance of
+8e-4; paragraphs equal in all words are found by name, always.
+
+Passages inside paragraphs repeat word for word: seeds of 16 words start where
+the text itself chooses (the smallest hash of four words among 24 places,
+rightmost of equal ones), so a passage is cut alike wherever it stands, and
+every passage of 39 words holds a whole seed.  A repeated seed grows to both
+sides, word by word, as far as the document that keeps it goes on with the same
+words; what then has 24 words goes.
 """
 
 from __future__ import annotations
@@ -25,100 +29,227 @@ from rowlantern.llm import shingles as sh
 from rowlantern.llm.chosen_path import TOKENS, NodeJoin, few
 from rowlantern.llm.tables import store
 
-WORDS, SPREAD, ANCHOR, SHINGLE = 24, 24, 4, 5
-INSIDE = WORDS - SHINGLE + 1
-#: Words next to a run that are compared: a longer repeat holds one more whole paragraph.
-REACH = WORDS + SPREAD - 2
-#: Places by which an alike paragraph may be shifted.
-SLACK = 2
-# Some 0.9 kB each.
-BROADCAST_SIDES = 100_000
-# 8 bytes a band, some 100 MB as a hash table.
-BROADCAST_BANDS = 3_000_000
-#: One token a band: two paragraphs at 0.8 meet in one of two bands with a chance of 0.96, at 0.9 of 0.99.
-BANDS = 2
-PARAGRAPH = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("para", pa.int64()),
-                       *((f"band{k}", pa.int64()) for k in range(BANDS))])
-PARAGRAPH_SQL = "doc_id long, start int, para long, " + ", ".join(f"band{k} long" for k in range(BANDS))
+#: Words of a paragraph, and of what is removed, at least.
+WORDS = 24
+SEED, SPREAD, ANCHOR, SHINGLE = 16, 24, 4, 5
+#: Words next to a run that are compared: a longer repeat holds one more whole seed.
+REACH = SPREAD
+#: Two paragraphs at s meet in a band with a chance of s ** ROWS.
+BANDS, ROWS = 7, 2
+#: Words that are worked on at once, and bytes of text; a longer word or paragraph is a piece of its own.
+CHUNK_WORDS, CHUNK_BYTES = 1 << 16, 1 << 20
+# 16 bytes a name, some 100 MB as a hash table.
+BROADCAST_NAMES = 2_000_000
+# Some 300 bytes each.
+BROADCAST_SIDES = 300_000
+LARGEST = (1 << 63) - 1
+PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("name", pa.int64()),
+                   ("bands", pa.list_(pa.int64()))])
+PIECE_SQL = "doc_id long, start int, words int, name long, bands array<long>"
 
 
 def _runs(words: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros(len(words) - size + 1, np.uint64)
-    for k in range(size):
+    out = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for k in range(size if len(out) else 0):
         out = sh.mixed(out * sh.STEP + words[k:len(words) - size + 1 + k])
     return out
 
 
-def paragraph_starts(words: np.ndarray) -> np.ndarray:
-    """First words of the paragraphs of a text; none if it is shorter than one."""
-    places = len(words) - WORDS + 1
+def read_words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a text and the number of line breaks before each, a slice of bytes at a time."""
+    data = (text or "").encode()
+    raw = np.frombuffer(data, np.uint8)
+    hashes, breaks, at, lines = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0, 0
+    while at < len(raw):
+        end = at + CHUNK_BYTES
+        if end < len(raw):
+            gap = sh.GAPS[raw[end:end + CHUNK_BYTES]]
+            while not gap.any() and end + len(gap) < len(raw):  # inside a very long word
+                gap = sh.GAPS[raw[end:end + 2 * len(gap)]]
+            end = end + int(gap.argmax()) if gap.any() else len(raw)
+        part = raw[at:end]
+        gap = sh.GAPS[part]
+        starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+        ends = np.flatnonzero(part == 10)
+        hashes.append(sh.word_hashes(data[at:end]))
+        breaks.append(lines + np.searchsorted(ends, starts))
+        lines, at = lines + len(ends), max(end, at + 1)
+    return np.concatenate(hashes), np.concatenate(breaks)
+
+
+def seed_starts(words: np.ndarray) -> np.ndarray:
+    """First words of the seeds of a text; none if it is shorter than one."""
+    places = len(words) - SEED + 1
     if places < 1:
         return np.empty(0, np.int64)
     anchors = _runs(words, ANCHOR)[:places]
     width = min(SPREAD, places)
-    views = np.lib.stride_tricks.sliding_window_view(anchors, width)[:, ::-1]
-    return np.unique(np.arange(len(views)) + width - 1 - views.argmin(axis=1))
+    views = np.lib.stride_tricks.sliding_window_view(anchors, width)
+    chosen = [np.arange(at, at + len(part)) + width - 1 - part[:, ::-1].argmin(axis=1)
+              for at in range(0, len(views), CHUNK_WORDS) for part in [views[at:at + CHUNK_WORDS]]]
+    return np.unique(np.concatenate(chosen))
 
 
-def paragraph_names(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A hash of all words of each paragraph, from the shingles that cover it."""
+def seed_names(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of all words of each seed, from the shingles that cover it."""
     name = np.zeros(len(starts), np.uint64)
-    for k in (0, 5, 10, 15, INSIDE - 1):
+    for k in (*range(0, SEED - SHINGLE, SHINGLE), SEED - SHINGLE):
         name = sh.mixed(name * sh.STEP + grams[starts + k])
     return name
 
 
+def paragraph_spans(breaks: np.ndarray) -> np.ndarray:
+    """(first word, word behind the last) of every paragraph of a text."""
+    if not len(breaks):
+        return np.empty((0, 2), np.int64)
+    step = np.diff(breaks)
+    lines = np.concatenate([[0], np.flatnonzero(step > 0) + 1, [len(breaks)]])
+    blocks = np.concatenate([[0], np.flatnonzero(step > 1) + 1, [len(breaks)]])
+    sizes = np.diff(lines)
+    longest = np.maximum.reduceat(sizes, np.searchsorted(lines, blocks[:-1]))
+    some, wrapped = sizes >= WORDS, (longest < WORDS) & (np.diff(blocks) >= WORDS)
+    spans = np.concatenate([np.stack([lines[:-1], lines[1:]], 1)[some], np.stack([blocks[:-1], blocks[1:]], 1)[wrapped]])
+    return spans[np.argsort(spans[:, 0], kind="stable")]
+
+
+def paragraph_names(words: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """A hash of all words of each paragraph; never that of a seed but by chance."""
+    out = np.empty(len(spans), np.uint64)
+    for i, (a, b) in enumerate(spans.tolist()):
+        out[i] = sh.mixed(words[a:b] + np.arange(b - a, dtype=np.uint64) * sh.STEP).sum(dtype=np.uint64)
+    return sh.mixed(out + (spans[:, 1] - spans[:, 0]).astype(np.uint64) + sh.MIX[0])
+
+
+def paragraph_bands(grams: np.ndarray, spans: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """One row of band hashes for each paragraph; ``grams`` are the shingles of all words."""
+    bands = np.empty((len(spans), BANDS), np.uint64)
+    # Shingles inside a paragraph, then those across its end, which are left out.
+    edges = np.stack([spans[:, 0], spans[:, 1] - SHINGLE + 1], 1).ravel()
+    first = 0
+    while first < len(spans):
+        last = max(first + 1, int(np.searchsorted(spans[:, 1], spans[first, 0] + CHUNK_WORDS)))
+        low, high = spans[first, 0], spans[last - 1, 1] - SHINGLE + 1
+        part, cuts = grams[low:high], edges[2 * first:2 * last - 1] - low
+        for k in range(BANDS):
+            band = np.full(last - first, k + 1, np.uint64)
+            for seed in seeds[k * ROWS:(k + 1) * ROWS]:
+                token = part * seed
+                token ^= token >> np.uint64(29)
+                token *= sh.MIX[1]
+                band = sh.mixed(band * sh.STEP + np.minimum.reduceat(token, cuts)[::2])
+            bands[first:last, k] = band
+        first = last
+    return bands
+
+
 def _cut(batches: Iterator[pa.RecordBatch]):
-    seeds, inside = sh.seeds_of(TOKENS)[:BANDS], np.arange(INSIDE)
-    for batch in batches:
-        parts: list[list[np.ndarray]] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            with np.errstate(over="ignore"):
-                words = sh.word_hashes((text.as_py() or "").encode())
-                starts = paragraph_starts(words)
-                if not len(starts):
-                    continue
-                grams = _runs(words, SHINGLE)
-                bands = []
-                for k, seed in enumerate(seeds):
-                    token = grams * seed
-                    token ^= token >> np.uint64(29)
-                    token *= sh.MIX[1]
-                    least = token[starts[:, None] + inside].min(axis=1)
-                    bands.append(sh.mixed(least + np.uint64(k + 1)).astype(np.int64))
-                parts.append([np.full(len(starts), doc_id if doc_id is not None else -1, np.int64),
-                              starts.astype(np.int32), paragraph_names(grams, starts).astype(np.int64), *bands,
-                              np.full(len(starts), doc_id is None)])
-        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.int64)] * (len(PARAGRAPH) + 1)
-        missing = columns[-1].astype(bool)
-        arrays = [pa.array(columns[0].astype(np.int64), pa.int64(), mask=missing)]
-        arrays += [pa.array(c.astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(columns[1:], list(PARAGRAPH)[1:])]
-        yield pa.RecordBatch.from_arrays(arrays, schema=PARAGRAPH)
+    """(doc_id, text) to its seeds, without bands, and its paragraphs."""
+    seeds = sh.seeds_of(BANDS * ROWS)
+
+    def out(held):
+        texts, spans, at = [], [], 0
+        for _, words, breaks in held:
+            texts.append(words)
+            spans.append(paragraph_spans(breaks) + at)
+            at += len(words)
+        words, grams = np.concatenate(texts), _runs(np.concatenate(texts), SHINGLE)
+        own, begin = np.repeat(np.arange(len(held)), [len(s) for s in spans]), np.cumsum([0] + [len(t) for t in texts])
+        spans = np.concatenate(spans)
+        starts = [seed_starts(t) for t in texts]
+        whose = np.repeat(np.arange(len(held)), [len(s) for s in starts])
+        starts = np.concatenate(starts)
+        names = seed_names(grams, starts + begin[whose])
+        bands = paragraph_bands(grams, spans, seeds).view(np.int64)
+        who = np.concatenate([whose, own])
+        missing = np.array([h[0] is None for h in held], bool)
+        ids = np.array([h[0] or 0 for h in held], np.int64)
+        offsets = np.concatenate([np.zeros(len(starts)), np.arange(len(spans) + 1) * BANDS]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.concatenate(
+            [np.ones(len(starts), bool), np.zeros(len(spans) + 1, bool)])), pa.array(bands.ravel()))
+        return pa.RecordBatch.from_arrays([
+            pa.array(ids[who], pa.int64(), mask=missing[who]),
+            pa.array(np.concatenate([starts, spans[:, 0] - begin[own]]), pa.int64()).cast(pa.int32()),
+            pa.array(np.concatenate([np.full(len(starts), SEED), spans[:, 1] - spans[:, 0]]), pa.int64()).cast(pa.int32()),
+            pa.array(np.concatenate([names, paragraph_names(words, spans)]).view(np.int64)), lists], schema=PIECE)
+
+    with np.errstate(over="ignore"):
+        held, size = [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words, breaks = read_words(text.as_py())
+                if len(words) >= SEED:
+                    held.append((doc_id, words, breaks))
+                    size += len(words)
+                if size >= CHUNK_WORDS:
+                    yield out(held)
+                    held, size = [], 0
+        if held:
+            yield out(held)
+
+
+def _batch(schema: pa.Schema, rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * len(schema), schema)], schema=schema)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]):
-    """(text, places: [(start, para)]) to the sets of those paragraphs."""
-    schema = pa.schema([("cid", pa.int64()), ("sign", pa.binary()), ("tokens", pa.binary())])
+    """(text, places: [(start, words, name)]) to the sets of those paragraphs."""
+    schema = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("sign", pa.binary()), ("tokens", pa.binary())])
     seeds = sh.seeds_of(TOKENS)
-    for batch in batches:
-        rows = []
-        for text, places in zip(batch.column(0), batch.column(1).to_pylist()):
-            with np.errstate(over="ignore"):
-                words = sh.word_hashes((text.as_py() or "").encode())
-                starts = np.array([p["start"] for p in places])
-                para = np.array([p["para"] for p in places])
-                fits = starts + WORDS <= len(words)
-                starts, para = starts[fits], para[fits]
-                if not len(starts):
-                    continue
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            rows, held = [], 0
+            for text, places in zip(batch.column(0), batch.column(1).to_pylist()):
+                words, _ = read_words(text.as_py())
                 grams = _runs(words, SHINGLE)
-                # Another text under the same id has other words at these places.
-                same = paragraph_names(grams, starts).astype(np.int64) == para
-                for at, name in zip(starts[same], para[same]):
-                    tokens = np.unique(grams[at:at + INSIDE])
-                    rows.append((int(name), sh.minwise(tokens, seeds).tobytes(), tokens.tobytes()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 3, schema)], schema=schema)
+                for p in places:
+                    span = np.array([[p["start"], p["start"] + p["words"]]])
+                    # Another text under the same id has other words at these places.
+                    if span[0, 1] > len(words) or int(paragraph_names(words, span).view(np.int64)[0]) != p["name"]:
+                        continue
+                    tokens = np.unique(grams[span[0, 0]:span[0, 1] - SHINGLE + 1])
+                    rows.append((p["name"], len(tokens), sh.minwise(tokens, seeds).tobytes(), tokens.tobytes()))
+                    held += len(tokens)
+                if held >= 4 * CHUNK_WORDS:
+                    yield _batch(schema, rows)
+                    rows, held = [], 0
+            yield _batch(schema, rows)
+
+
+def _some(names: DataFrame) -> DataFrame:
+    """With a broadcast hint if these rows of fixed size are counted to be few."""
+    return F.broadcast(names) if names.count() <= BROADCAST_NAMES else names
+
+
+def _alike_paragraphs(rows: DataFrame, cut: DataFrame, shared: DataFrame, percent: int, leaf: int,
+                      depth: int) -> DataFrame | None:
+    """(name, c) of the paragraphs that are alike to one with other words; None if there is none.
+
+    ``shared`` has the names of equal pieces with the document that keeps them, which stands for all.
+    """
+    single = cut.where("bands is not null").join(_some(shared), "name", "left").where(
+        "keeper is null or doc = keeper").select("doc_id", "start", "words", "name", "bands")
+    banded = single.select("name", F.explode("bands").alias("node"))
+    mixed = store(banded.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"), "bands")
+    nodes = single.select("doc_id", "start", "words", "name", F.posexplode("bands").alias("tree", "node")).join(
+        _some(mixed), "node")
+    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "words")
+    nodes = store(nodes.groupBy("tree", "node", F.col("name").alias("cid")).agg(F.min(at).alias("at")), "members")
+    several = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    several = store(several, "mixed")
+    nodes = nodes.join(_some(several), "node")
+    places = nodes.groupBy("cid").agg(F.min("at").alias("at")).groupBy(F.col("at.doc_id").alias("own")).agg(
+        F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.words").alias("words"),
+                                F.col("cid").alias("name"))).alias("places"))
+    places = store(places, "places")
+    texts = rows.join(few(places, "places"), rows["doc_id"].eqNullSafe(F.col("own"))).select("text", "places")
+    sets = store(texts.mapInArrow(_tokens, "cid long, n long, sign binary, tokens binary"), "sets")
+    counts = sets.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cid").alias("cids")).first()
+    if counts["n"] > counts["cids"]:  # repeated rows
+        sets = store(sets.dropDuplicates(["cid"]), "sets")
+    join = NodeJoin(percent, leaf, depth)
+    comp = join.connect(nodes.select("tree", "node", "cid"), sets.select("cid", "n", "sign"), lambda _: sets)
+    return None if comp is None else comp.select(F.col("v").alias("name"), "c")
 
 
 def repeated_passages(docs: DataFrame, percent: int = 80, leaf: int = 64, depth: int = 3, id_col: str = "doc_id",
@@ -126,62 +257,38 @@ def repeated_passages(docs: DataFrame, percent: int = 80, leaf: int = 64, depth:
     """(doc_id, first_doc_id, start, words): runs of words to remove, and where they stay.
 
     ``start`` counts words (A-Z lower-cased, parted by white space) from 0.  A run
-    is a union of overlapping paragraphs whose component also stands in the
-    document ``first_doc_id``, the smallest id among those that hold it, with the
-    words next to it that follow alike there.  Repeats
-    within one id, passages under 24 words, null, empty and short texts give no
-    rows; repeated rows have one id and so are no repeats of each other; a null
-    id counts as larger than any; an empty table gives no rows; other columns
-    are not read.
+    is a union of overlapping or adjoining paragraphs and word-for-word repeats
+    of at least 24 words that also stand in documents of smaller ids, of which
+    ``first_doc_id`` is the smallest.  Repeats within one id, passages under 24 words, null, empty and short texts
+    give no rows; repeated rows have one id and so are no repeats of each other;
+    a null id counts as larger than any; an empty table gives no rows; other
+    columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = store(rows.mapInArrow(_cut, PARAGRAPH_SQL), "paragraphs")
-    bands = F.array(*[F.col(f"band{k}") for k in range(BANDS)])
-    banded = cut.select("doc_id", "start", "para", F.posexplode(bands).alias("tree", "node"))
-    doc = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    keys = store(banded.groupBy("node").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")).where("lo < hi").select(
-        "node"), "bands")
-    shared = F.broadcast(keys) if keys.count() <= BROADCAST_BANDS else keys
-    members = store(banded.join(shared, "node"), "members")
-    # A paragraph that repeats word for word has its first band repeated.
-    seen = members.where("tree = 0").select("doc_id", "start", "para")
-    # Where all documents of a band hold the same paragraphs, none has to be compared with another.
-    own = members.select("node", "doc_id", "para").distinct().groupBy("node", "doc_id").agg(
-        F.bit_xor("para").alias("x"), F.count(F.lit(1)).alias("c"))
-    mixed = own.groupBy("node").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("c").alias("c0"),
-                                    F.max("c").alias("c1")).where("x0 <> x1 or c0 <> c1").select("node")
-    nodes = store(members.join(mixed, "node").select("tree", "node", F.col("para").alias("cid")).distinct(), "banded")
-
-    join = NodeJoin(percent, leaf, depth)
-    joined = nodes.select("cid").distinct()
-    one = members.join(joined, members["para"] == joined["cid"]).groupBy("para").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")).alias("at"))
-    places = store(one.groupBy(F.col("at.doc_id").alias("own")).agg(
-        F.collect_list(F.struct(F.col("at.start").alias("start"), "para")).alias("places")), "places")
-    texts = rows.join(few(places, "places"), rows["doc_id"].eqNullSafe(F.col("own"))).select("text", "places")
-    sets = store(texts.mapInArrow(_tokens, "cid long, sign binary, tokens binary"), "sets")
-    if sets.count() > joined.count():  # repeated rows
-        sets = store(sets.dropDuplicates(["cid"]), "sets")
-    signs = sets.select("cid", (F.octet_length("tokens") / 8).cast("long").alias("n"), "sign")
-    comp = join.connect(nodes, signs, lambda _: sets)
-
-    held = seen if comp is None else seen.unionByName(
-        members.join(comp.select(F.col("v").alias("para")), "para").select("doc_id", "start", "para")).distinct()
-    held = held.withColumn("c", F.col("para")) if comp is None else held.join(
-        comp.select(F.col("v").alias("para"), "c"), "para", "left").withColumn("c", F.coalesce("c", "para"))
-    held = store(held.select("doc_id", "start", "para", "c"), "held")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
-    first = held.groupBy("c").agg(F.min(order).alias("a"), F.max(order).alias("b")).where("a <> b").select(
-        "c", F.col("a.doc_id").alias("first_doc_id"))
-    held = store(held.join(first, "c"), "repeats")
-    stays = F.col("doc_id").eqNullSafe(F.col("first_doc_id"))
-    units = held.where(~stays).withColumn("end", F.col("start") + WORDS)
-    runs = store(_merged(units, F.min(F.struct("start", "para", "c")).alias("head"),
-                         F.max(F.struct("start", "para", "c")).alias("tail")), "runs")
-    longer = _longer(rows, runs, held.where(stays).select("doc_id", "start", "para", "c").distinct())
-    return _merged(runs.select("doc_id", "first_doc_id", "start", "end").unionByName(longer)).select(
-        "doc_id", "first_doc_id", F.col("start").cast("long").alias("start"),
-        (F.col("end") - F.col("start")).cast("long").alias("words"))
+    cut = store(rows.mapInArrow(_cut, PIECE_SQL), "pieces").withColumn("doc", F.coalesce("doc_id", F.lit(LARGEST)))
+    shared = store(cut.groupBy("name").agg(F.min("doc").alias("keeper"), F.max("doc").alias("largest")).where(
+        "keeper < largest").select("name", "keeper"), "shared")
+    held = store(cut.join(_some(shared), "name").select(
+        "doc_id", "start", "words", "name", F.col("keeper").alias("first_doc_id"),
+        (F.col("doc") == F.col("keeper")).alias("stays"), F.col("bands").isNull().alias("seed")), "held")
+    end = (F.col("start") + F.col("words")).alias("end")
+    gone = held.where("not stays").select("doc_id", "first_doc_id", "start", end, "name", "seed")
+    spans = gone.where("not seed").drop("name", "seed")
+    near = _alike_paragraphs(rows, cut, shared, percent, leaf, depth)
+    if near is not None:
+        # Every name of a component, with the smallest document that holds one of its paragraphs.
+        own = cut.where("bands is not null").join(_some(near), "name").select("doc_id", "doc", "start", "words", "c")
+        own = store(own, "alike")
+        keeps = own.groupBy("c").agg(F.min("doc").alias("first_doc_id"))
+        spans = spans.unionByName(own.join(_some(store(keeps, "keeps")), "c").where("doc <> first_doc_id").select(
+            "doc_id", "first_doc_id", "start", end))
+    runs = store(_merged(gone.where("seed").drop("seed"), F.min(F.struct("start", "name")).alias("head"),
+                         F.max(F.struct("start", "name")).alias("tail")), "runs")
+    grown = store(_merged(runs.select("doc_id", "first_doc_id", "start", "end").unionByName(
+        _longer(rows, runs, held.where("seed and stays").select("doc_id", "start", "name").distinct()))), "grown")
+    size = F.col("end") - F.col("start")
+    return _merged(grown.where(size >= WORDS).unionByName(spans)).select(
+        "doc_id", "first_doc_id", F.col("start").cast("long").alias("start"), size.cast("long").alias("words"))
 
 
 def _merged(spans: DataFrame, *more: Column) -> DataFrame:
@@ -195,75 +302,74 @@ def _merged(spans: DataFrame, *more: Column) -> DataFrame:
 
 
 def _sides(batches: Iterator[pa.RecordBatch]):
-    """(doc_id, text, places) to the words at one side of each place: SHINGLE of the paragraph, then those next to it."""
+    """(doc_id, text, places) to the words at one side of each place: those next to the seed, 32 bits each."""
     schema = pa.schema([("doc_id", pa.int64()), ("stays", pa.bool_()), ("side", pa.int32()), ("start", pa.int32()),
-                        ("c", pa.int64()), ("words", pa.binary())])
-    for batch in batches:
-        rows = {}
-        for doc_id, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            with np.errstate(over="ignore"):
-                words = sh.word_hashes((text.as_py() or "").encode())
-                places = [p for p in places if p["start"] + WORDS <= len(words)]
+                        ("name", pa.int64()), ("near", pa.binary())])
+    out = np.arange(REACH)
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            rows = {}
+            for doc_id, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                words, _ = read_words(text.as_py())
+                places = [p for p in places if p["start"] + SEED <= len(words)]
                 if not places:
                     continue
-                names = paragraph_names(_runs(words, SHINGLE), np.array([p["start"] for p in places])).astype(np.int64)
-            for p, name in zip(places, names.tolist()):
-                # Another text under the same id has other words at this place.
-                if name != p["para"]:
-                    continue
-                slack = SLACK if p["stays"] else 0
-                out = np.arange(-SHINGLE - slack, REACH + slack)
-                at = p["start"] + WORDS + out if p["side"] else p["start"] - 1 - out
-                near = np.full(len(at), int(p["stays"]), np.uint64)  # no word equals what is beyond the text
-                there = (at >= 0) & (at < len(words))
-                near[there] = words[at[there]]
-                # In the document that stays, only the words matter, not the place.
-                rows[doc_id, p["stays"], p["side"], -1 if p["stays"] else p["start"], p["c"], near.tobytes()] = None
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * len(schema), schema)], schema=schema)
+                names = seed_names(_runs(words, SHINGLE), np.array([p["start"] for p in places])).view(np.int64)
+                for p, name in zip(places, names.tolist()):
+                    # Another text under the same id has other words at this place.
+                    if name != p["name"]:
+                        continue
+                    at = p["start"] + SEED + out if p["side"] else p["start"] - 1 - out
+                    near = np.full(REACH, int(p["stays"]), np.uint32)  # no word equals what is beyond the text
+                    there = (at >= 0) & (at < len(words))
+                    near[there] = (words[at[there]] >> np.uint64(32)).astype(np.uint32) | np.uint32(2)
+                    # In the document that stays, only the words matter, not the place.
+                    rows[doc_id, p["stays"], p["side"], -1 if p["stays"] else p["start"], name, near.tobytes()] = None
+                if len(rows) >= CHUNK_WORDS // 4:
+                    yield _batch(schema, rows)
+                    rows = {}
+            yield _batch(schema, rows)
 
 
 def _reach(batches: Iterator[pa.RecordBatch]):
-    """(doc_id, first_doc_id, side, start, words, theirs) to the span of the paragraph and the same words next to it."""
+    """(doc_id, first_doc_id, side, start, near, theirs) to the span of the seed and the same words next to it."""
     schema = pa.schema([("doc_id", pa.int64()), ("first_doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
     for batch in batches:
         rows = []
-        for doc_id, first, side, start, words, theirs in zip(*(c.to_pylist() for c in batch.columns)):
-            own = np.frombuffer(words, np.uint64)
-            views = np.lib.stride_tricks.sliding_window_view(
-                np.frombuffer(b"".join(theirs), np.uint64).reshape(len(theirs), -1), len(own), axis=1)
-            same = np.logical_and.accumulate(views == own, axis=2).sum(axis=2)
-            more = int(same.max()) - SHINGLE
-            if more > 0:
-                rows.append((doc_id, first, start - (0 if side else more), start + WORDS + (more if side else 0)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * len(schema), schema)], schema=schema)
+        for doc_id, first, side, start, near, theirs in zip(*(c.to_pylist() for c in batch.columns)):
+            same = np.frombuffer(b"".join(theirs), np.uint32).reshape(len(theirs), -1) == np.frombuffer(near, np.uint32)
+            more = int(np.logical_and.accumulate(same, axis=1).sum(axis=1).max())
+            if more:
+                rows.append((doc_id, first, start - (0 if side else more), start + SEED + (more if side else 0)))
+        yield _batch(schema, rows)
 
 
 def _longer(rows: DataFrame, runs: DataFrame, kept: DataFrame) -> DataFrame:
-    """(doc_id, first_doc_id, start, end): the outer paragraphs of runs with the words that go on alike where they stay.
+    """(doc_id, first_doc_id, start, end): the outer seeds of runs with the words that go on alike where they stay.
 
-    ``kept`` has the places (doc_id, start, para, c) of components in the documents that keep them.
+    ``kept`` has the places (doc_id, start, name) of repeated seeds in the documents that keep them.
     """
     def place(stays, side, of):
         return F.struct(F.lit(stays).alias("stays"), F.lit(side).alias("side"), *[
-            F.col(f"{of}{c}").alias(c) for c in ("start", "para", "c")])
+            F.col(f"{of}{c}").alias(c) for c in ("start", "name")])
 
     asked = runs.select("doc_id", F.explode(F.array(place(False, 0, "head."), place(False, 1, "tail."))).alias("at"))
-    wanted = asked.select("at.c").distinct()
-    known = kept.join(wanted, "c").select(
+    wanted = store(asked.select("at.name").distinct(), "wanted")
+    known = kept.join(_some(wanted), "name").select(
         "doc_id", F.explode(F.array(place(True, 0, ""), place(True, 1, ""))).alias("at"))
     places = store(asked.unionByName(known).groupBy(F.col("doc_id").alias("own")).agg(
         F.collect_list("at").alias("places")), "edges")
     texts = rows.join(few(places, "places"), rows["doc_id"].eqNullSafe(F.col("own"))).select("own", "text", "places")
     sides = store(texts.mapInArrow(
-        _sides, "doc_id long, stays boolean, side int, start int, c long, words binary"), "sides")
-    # One row for each component and side, whatever the number of its repeats.
-    theirs = store(sides.where("stays").groupBy("c", "side").agg(
-        F.first("doc_id").alias("first_doc_id"), F.collect_set("words").alias("theirs")), "theirs")
-    theirs = F.broadcast(theirs) if theirs.count() <= BROADCAST_SIDES else theirs
-    pairs = sides.where("not stays").join(theirs, ["c", "side"]).select(
-        "doc_id", "first_doc_id", "side", "start", "words", "theirs")
+        _sides, "doc_id long, stays boolean, side int, start int, name long, near binary"), "sides")
+    # One row for each seed and side, whatever the number of its repeats.
+    theirs = sides.where("stays").groupBy("name", "side").agg(
+        F.first("doc_id").alias("first_doc_id"), F.collect_set("near").alias("theirs"))
+    theirs = store(theirs, "theirs")
+    rows_of = theirs.agg(F.sum(F.size("theirs"))).first()[0] or 0
+    theirs = F.broadcast(theirs) if rows_of <= BROADCAST_SIDES else theirs
+    pairs = sides.where("not stays").join(theirs, ["name", "side"]).select(
+        "doc_id", "first_doc_id", "side", "start", "near", "theirs")
     return pairs.mapInArrow(_reach, "doc_id long, first_doc_id long, start int, end int")
 
 

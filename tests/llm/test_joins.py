@@ -215,19 +215,92 @@ def test_planted_passages_go_up_to_their_ends(spark):
         assert not own & set(zip(*[passages[i % 8][k:] for k in range(5)]))
 
 
-def test_every_passage_of_fifty_words_holds_a_paragraph():
+def test_every_passage_of_39_words_holds_a_seed():
     rng = random.Random(10)
     for _ in range(200):
-        passage = [rng.randrange(1 << 63) for _ in range(50)]
+        passage = [rng.randrange(1 << 63) for _ in range(39)]
         seen = []
         for _ in range(2):
             ahead, behind = ([rng.randrange(1 << 63) for _ in range(rng.randrange(80))] for _ in range(2))
             words = np.array(ahead + passage + behind, np.uint64)
-            starts = paragraphs.paragraph_starts(words) - len(ahead)
-            seen.append({s for s in starts.tolist() if 0 <= s <= 50 - paragraphs.WORDS})
+            starts = paragraphs.seed_starts(words) - len(ahead)
+            seen.append({s for s in starts.tolist() if 0 <= s <= 39 - paragraphs.SEED})
         assert seen[0] & seen[1]
 
 
+def _changed(rng, words, count):
+    words = list(words)
+    for at in rng.sample(range(len(words)), count):
+        words[at] = f"new{rng.randrange(10**9)}"
+    return words
+
+
+def _five(words):
+    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+
+
+@pytest.mark.parametrize("blank", [False, True])
+def test_paragraphs_equal_or_alike_are_found_as_by_brute_force(spark, blank):
+    """Lines, or parts between blank lines wrapped at nine words, between fresh text; 0, 1 and 2 words changed."""
+    rng, vocabulary = random.Random(12 + blank), [f"w{i}" for i in range(20_000)]
+    fresh = lambda n: rng.choices(vocabulary, k=n)
+    step = "\n\n" if blank else "\n"
+    line = (lambda w: "\n".join(" ".join(w[i:i + 9]) for i in range(0, len(w), 9))) if blank else " ".join
+    rows, pairs = [], []
+    for size in (24, 30, 60, 100):
+        for count in (0, 1, 2):
+            for _ in range(25):
+                paragraph = fresh(size)
+                other = _changed(rng, paragraph, count)
+                a, b = _five(paragraph), _five(other)
+                first = len(rows)
+                for words in (paragraph, other):
+                    ahead = fresh(rng.randrange(26, 60))
+                    rows.append((len(rows), step.join(line(w) for w in (ahead, words, fresh(rng.randrange(26, 60))))))
+                    at = len(ahead)
+                pairs.append((first, at, size, 5 * len(a & b) >= 4 * len(a | b), count))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {}
+    for r in paragraphs.repeated_passages(df).collect():
+        found.setdefault(r.doc_id, []).append(r)
+    alike = [p for p in pairs if p[3]]
+    whole = [(first, at, size) for first, at, size, _, _ in alike
+             if any((r.first_doc_id, r.start, r.words) == (first, at, size) for r in found.get(first + 1, []))]
+    assert len(alike) > 150 and len(whole) >= 0.99 * len(alike)
+    assert all((first, at, size) in whole for first, at, size, _, count in pairs if not count)
+    # Fresh text stays: nothing outside of the planted paragraphs goes, and nothing of the first documents.
+    for first, at, size, _, _ in pairs:
+        assert first not in found
+        assert all(at <= r.start and r.start + r.words <= at + size for r in found.get(first + 1, []))
+
+
+def test_hot_family_of_alike_lines(spark):
+    """2000 near copies of one line, and one line that is equal in 1000 documents."""
+    rng, vocabulary = random.Random(14), [f"w{i}" for i in range(5000)]
+    line, equal = rng.choices(vocabulary, k=120), rng.choices(vocabulary, k=40)
+    rows = [(i, " ".join(_changed(rng, line, 1)) + "\n" + " ".join(f"own{i}-{k}" for k in range(30))
+             + ("\n" + " ".join(equal) if i % 2 else "")) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    left = {r.doc_id: r.text.split("\n") for r in paragraphs.drop_passages(df).collect()}
+    lines = {i: text.split("\n") for i, text in rows}
+    assert [x.strip() for x in left[0]] == lines[0]
+    assert left[1] == [lines[1][1], lines[1][2]]
+    assert all(left[i] == [lines[i][1]] for i in range(2, 2000))
+
+
+def test_pieces_of_texts():
+    words, breaks = paragraphs.read_words("A b\n\nc  d\n" + "x" * 3_000_000 + " e\r\nf")
+    assert breaks.tolist() == [0, 0, 2, 2, 3, 3, 4] and words[0] == paragraphs.read_words("a")[0][0]
+    assert [len(x) for x in paragraphs.read_words(None)] == [0, 0]
+    text = " ".join(f"w{i % 977}" for i in range(700_000))
+    assert (paragraphs.read_words(text)[0] == paragraphs.sh.word_hashes(text.encode())).all()
+    spans = lambda t: paragraphs.paragraph_spans(paragraphs.read_words(t)[1]).tolist()
+    long, short = "a " * 30, "a " * 10
+    assert spans(long + "\n" + short + "\n" + long) == [[0, 30], [40, 70]]
+    assert spans("\n".join([short] * 3)) == [[0, 30]] and spans("\n".join([short] * 2)) == []
+    assert spans("\n".join([short] * 3) + "\n \n" + long + "\n" + short) == [[0, 30], [30, 60]]
+
+
 # --- sharding ---------------------------------------------------------------
 
 def test_shards_move_only_where_weights_change(spark):
