@@ -55,11 +55,10 @@ def _runs(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def read_words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a text and the number of line breaks before each, a slice of bytes at a time."""
-    data = (text or "").encode()
+def _read(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, the number of line breaks before each and their first bytes, a slice of bytes at a time."""
     raw = np.frombuffer(data, np.uint8)
-    hashes, breaks, at, lines = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0, 0
+    hashes, breaks, places, at, lines = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0, 0
     while at < len(raw):
         end = at + CHUNK_BYTES
         if end < len(raw):
@@ -73,21 +72,61 @@ def read_words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         ends = np.flatnonzero(part == 10)
         hashes.append(sh.word_hashes(data[at:end]))
         breaks.append(lines + np.searchsorted(ends, starts))
+        places.append(at + starts)
         lines, at = lines + len(ends), max(end, at + 1)
-    return np.concatenate(hashes), np.concatenate(breaks)
+    return np.concatenate(hashes), np.concatenate(breaks), np.concatenate(places)
+
+
+def read_words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a text and the number of line breaks before each."""
+    return _read((text or "").encode())[:2]
 
 
-def seed_starts(words: np.ndarray) -> np.ndarray:
-    """First words of the seeds of a text; none if it is shorter than one."""
-    places = len(words) - SEED + 1
-    if places < 1:
+def _texts(batches: Iterator[pa.RecordBatch], text: int):
+    """Rows of some texts, their words and line breaks as one array each, and the bounds of each text in them.
+
+    Texts are parted by blank lines, so no paragraph is in two; a long text is alone.
+    """
+    def read(held, texts):
+        words, breaks, places = _read(b"\n\n".join(texts))
+        ends = np.cumsum([len(t) + 2 for t in texts])
+        return held, words, breaks, np.concatenate([[0], np.searchsorted(places, ends)])
+
+    held, texts, size = [], [], 0
+    for batch in batches:
+        others = [c.to_pylist() for i, c in enumerate(batch.columns) if i != text]
+        for *row, value in zip(*others, batch.column(text)):
+            data = (value.as_py() or "").encode()
+            if texts and size + len(data) > CHUNK_BYTES // 2:
+                yield read(held, texts)
+                held, texts, size = [], [], 0
+            held.append(row)
+            texts.append(data)
+            size += len(data)
+    if texts:
+        yield read(held, texts)
+
+
+def seed_starts(words: np.ndarray, bounds: np.ndarray | None = None) -> np.ndarray:
+    """First words of the seeds of texts (one text without ``bounds``); none in those shorter than a seed."""
+    bounds = np.array([0, len(words)]) if bounds is None else bounds
+    if len(words) < SEED:
         return np.empty(0, np.int64)
-    anchors = _runs(words, ANCHOR)[:places]
-    width = min(SPREAD, places)
-    views = np.lib.stride_tricks.sliding_window_view(anchors, width)
-    chosen = [np.arange(at, at + len(part)) + width - 1 - part[:, ::-1].argmin(axis=1)
-              for at in range(0, len(views), CHUNK_WORDS) for part in [views[at:at + CHUNK_WORDS]]]
-    return np.unique(np.concatenate(chosen))
+    # 32 bits of hash, and the smaller number for the later word: the least is the rightmost of equal hashes.
+    key = _runs(words, ANCHOR)
+    low = np.uint64(0xFFFFFFFF)
+    key = (key & ~low) | (low - np.arange(len(key), dtype=np.uint64))
+    least, width = key, 1
+    while 2 * width <= SPREAD:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    least = np.minimum(least[:len(least) - (SPREAD - width)], least[SPREAD - width:])
+    size = np.diff(bounds)
+    # Windows whose seeds lie in one text.
+    inside = np.repeat(bounds[1:], size) - np.arange(len(words)) >= SPREAD - 1 + SEED
+    chosen = [least[np.flatnonzero(inside[:len(least)])]]
+    for i in np.flatnonzero((size >= SEED) & (size < SPREAD - 1 + SEED)):
+        chosen.append(key[bounds[i]:bounds[i + 1] - SEED + 1].min(keepdims=True))
+    return np.unique((low - (np.concatenate(chosen) & low)).astype(np.int64))
 
 
 def seed_names(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -114,10 +153,14 @@ def paragraph_spans(breaks: np.ndarray) -> np.ndarray:
 
 def paragraph_names(words: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """A hash of all words of each paragraph; never that of a seed but by chance."""
-    out = np.empty(len(spans), np.uint64)
-    for i, (a, b) in enumerate(spans.tolist()):
-        out[i] = sh.mixed(words[a:b] + np.arange(b - a, dtype=np.uint64) * sh.STEP).sum(dtype=np.uint64)
-    return sh.mixed(out + (spans[:, 1] - spans[:, 0]).astype(np.uint64) + sh.MIX[0])
+    if not len(spans):
+        return np.empty(0, np.uint64)
+    size, edges = spans[:, 1] - spans[:, 0], np.append(spans.ravel()[:-1], spans[-1, 1]) - spans[0, 0]
+    part = words[spans[0, 0]:spans[-1, 1]]
+    place = np.arange(spans[0, 0], spans[-1, 1])
+    place -= np.repeat(np.concatenate([[spans[0, 0]], spans[:, 0][1:]]), np.diff(np.append(edges[::2], len(part))))
+    each = sh.mixed(part + place.astype(np.uint64) * sh.STEP)
+    return sh.mixed(np.add.reduceat(each, edges[:-1])[::2] + size.astype(np.uint64) + sh.MIX[0])
 
 
 def paragraph_bands(grams: np.ndarray, spans: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -145,46 +188,22 @@ def paragraph_bands(grams: np.ndarray, spans: np.ndarray, seeds: np.ndarray) ->
 def _cut(batches: Iterator[pa.RecordBatch]):
     """(doc_id, text) to its seeds, without bands, and its paragraphs."""
     seeds = sh.seeds_of(BANDS * ROWS)
-
-    def out(held):
-        texts, spans, at = [], [], 0
-        for _, words, breaks in held:
-            texts.append(words)
-            spans.append(paragraph_spans(breaks) + at)
-            at += len(words)
-        words, grams = np.concatenate(texts), _runs(np.concatenate(texts), SHINGLE)
-        own, begin = np.repeat(np.arange(len(held)), [len(s) for s in spans]), np.cumsum([0] + [len(t) for t in texts])
-        spans = np.concatenate(spans)
-        starts = [seed_starts(t) for t in texts]
-        whose = np.repeat(np.arange(len(held)), [len(s) for s in starts])
-        starts = np.concatenate(starts)
-        names = seed_names(grams, starts + begin[whose])
-        bands = paragraph_bands(grams, spans, seeds).view(np.int64)
-        who = np.concatenate([whose, own])
-        missing = np.array([h[0] is None for h in held], bool)
-        ids = np.array([h[0] or 0 for h in held], np.int64)
-        offsets = np.concatenate([np.zeros(len(starts)), np.arange(len(spans) + 1) * BANDS]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.concatenate(
-            [np.ones(len(starts), bool), np.zeros(len(spans) + 1, bool)])), pa.array(bands.ravel()))
-        return pa.RecordBatch.from_arrays([
-            pa.array(ids[who], pa.int64(), mask=missing[who]),
-            pa.array(np.concatenate([starts, spans[:, 0] - begin[own]]), pa.int64()).cast(pa.int32()),
-            pa.array(np.concatenate([np.full(len(starts), SEED), spans[:, 1] - spans[:, 0]]), pa.int64()).cast(pa.int32()),
-            pa.array(np.concatenate([names, paragraph_names(words, spans)]).view(np.int64)), lists], schema=PIECE)
-
     with np.errstate(over="ignore"):
-        held, size = [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words, breaks = read_words(text.as_py())
-                if len(words) >= SEED:
-                    held.append((doc_id, words, breaks))
-                    size += len(words)
-                if size >= CHUNK_WORDS:
-                    yield out(held)
-                    held, size = [], 0
-        if held:
-            yield out(held)
+        for held, words, breaks, bounds in _texts(batches, 1):
+            grams, spans, starts = _runs(words, SHINGLE), paragraph_spans(breaks), seed_starts(words, bounds)
+            at = np.concatenate([starts, spans[:, 0]])
+            who = np.searchsorted(bounds, at, side="right") - 1
+            ids = [row[0] for row in held]
+            missing = np.array([i is None for i in ids], bool)
+            ids = np.array([i or 0 for i in ids], np.int64)
+            names = np.concatenate([seed_names(grams, starts), paragraph_names(words, spans)])
+            none = np.concatenate([np.ones(len(starts), bool), np.zeros(len(spans) + 1, bool)])
+            ends = np.concatenate([np.zeros(len(starts)), np.arange(len(spans) + 1) * BANDS]).astype(np.int32)
+            bands = pa.array(paragraph_bands(grams, spans, seeds).view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids[who], pa.int64(), mask=missing[who]), pa.array((at - bounds[who]).astype(np.int32)),
+                pa.array(np.concatenate([np.full(len(starts), SEED), spans[:, 1] - spans[:, 0]]).astype(np.int32)),
+                pa.array(names.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, mask=none), bands)], schema=PIECE)
 
 
 def _batch(schema: pa.Schema, rows) -> pa.RecordBatch:
@@ -307,28 +326,27 @@ def _sides(batches: Iterator[pa.RecordBatch]):
                         ("name", pa.int64()), ("near", pa.binary())])
     out = np.arange(REACH)
     with np.errstate(over="ignore"):
-        for batch in batches:
-            rows = {}
-            for doc_id, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                words, _ = read_words(text.as_py())
-                places = [p for p in places if p["start"] + SEED <= len(words)]
-                if not places:
-                    continue
-                names = seed_names(_runs(words, SHINGLE), np.array([p["start"] for p in places])).view(np.int64)
-                for p, name in zip(places, names.tolist()):
-                    # Another text under the same id has other words at this place.
-                    if name != p["name"]:
-                        continue
-                    at = p["start"] + SEED + out if p["side"] else p["start"] - 1 - out
-                    near = np.full(REACH, int(p["stays"]), np.uint32)  # no word equals what is beyond the text
-                    there = (at >= 0) & (at < len(words))
-                    near[there] = (words[at[there]] >> np.uint64(32)).astype(np.uint32) | np.uint32(2)
-                    # In the document that stays, only the words matter, not the place.
-                    rows[doc_id, p["stays"], p["side"], -1 if p["stays"] else p["start"], name, near.tobytes()] = None
-                if len(rows) >= CHUNK_WORDS // 4:
-                    yield _batch(schema, rows)
-                    rows = {}
-            yield _batch(schema, rows)
+        for held, words, _, bounds in _texts(batches, 1):
+            grams = _runs(words, SHINGLE)
+            counts = [len(places) for _, places in held]
+            who, ids = np.repeat(np.arange(len(held)), counts), [doc_id for doc_id, _ in held]
+            start, name, side, stays = (np.array([p[k] for _, places in held for p in places], t) for k, t in (
+                ("start", np.int64), ("name", np.int64), ("side", np.int32), ("stays", bool)))
+            # Another text under the same id has other words at this place.
+            fits = start + SEED <= (bounds[1:] - bounds[:-1])[who]
+            fits[fits] = seed_names(grams, (start + bounds[who])[fits]).view(np.int64) == name[fits]
+            who, start, name, side, stays = who[fits], start[fits], name[fits], side[fits], stays[fits]
+            for a in range(0, len(who), CHUNK_WORDS // 4):
+                few_ = slice(a, a + CHUNK_WORDS // 4)
+                low, high, first = bounds[who[few_], None], bounds[who[few_] + 1, None], start[few_, None] + bounds[who[few_], None]
+                at = np.where(side[few_, None] == 1, first + SEED + out, first - 1 - out)
+                there = (at >= low) & (at < high)
+                near = (words[np.where(there, at, low)] >> np.uint64(32)).astype(np.uint32) | np.uint32(2)
+                near = np.where(there, near, stays[few_, None].astype(np.uint32))  # no word equals what is beyond the text
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([ids[i] for i in who[few_].tolist()], pa.int64()), pa.array(stays[few_]), pa.array(side[few_]),
+                    pa.array(start[few_].astype(np.int32)), pa.array(name[few_]),
+                    pa.array([x.tobytes() for x in near], pa.binary())], schema=schema)
 
 
 def _reach(batches: Iterator[pa.RecordBatch]):
