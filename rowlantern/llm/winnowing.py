@@ -1,11 +1,12 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-Tokens are runs of non-space characters, cut every 12 characters so that text
-without spaces has tokens, too.  Each token is hashed once; every run of four
-tokens has the hash of its token hashes.  A window of eight runs keeps its
+Tokens are words of up to 24 characters and, in longer runs without white space
+(text of scripts that do not part words, encoded data), single characters, so
+that grams slide over such text by one.  Each token is hashed once; every run of
+four tokens has the hash of its token hashes.  A window of eight runs keeps its
 smallest hash, the rightmost of equal ones, with its position: two texts that
 share a run of at least ``WINDOW + GRAM - 1`` = 11 tokens share a fingerprint of
-that run.
+that run, wherever it stands.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from rowlantern.llm.tables import range_numbered
 
-TOKEN = r"[^\x20\x09-\x0D]{1,12}"
+# White space parts words.  A word is a token if no more than 24 characters long, else each of its characters is.
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,24}+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
 GRAM, WINDOW = 4, 8
 POSITION_BITS = 31
 LAST = (1 << POSITION_BITS) - 1

@@ -87,6 +87,55 @@ def test_search_equals_brute_force(spark):
             assert found == [(n + 1, i, scores[i]) for n, i in enumerate(best)]
 
 
+def test_search_is_exact_beyond_doubles(spark):
+    rng = np.random.default_rng(2)
+    big = [[1 << 27, int(k), -int(k) // 3] for k in rng.integers(-9, 9, 40)]
+    mixed = [[int(x) << int(s) for x, s in zip(rng.integers(-99, 99, 3), rng.integers(0, 24, 3))] for _ in range(60)]
+    vectors = big + mixed
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, vector array<long>")
+    for shard in (16, 1000):
+        got = {}
+        for r in maxscore.top_k(df, F.col("vec_id") % 7 == 0, 5, shard).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert set(got) == set(range(0, 100, 7))
+        for q, found in got.items():
+            scores = [sum(a * b for a, b in zip(v, vectors[q])) for v in vectors]
+            order = sorted((i for i in range(100) if i != q), key=lambda i: (-scores[i], i))[:5]
+            assert found == [(i, scores[i]) for i in order]
+
+
+def test_search_of_huge_components_ends(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, -1.0]), (2, [-1e300, 0.0]), (3, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, e array<double>")
+    df = df.select("vec_id", maxscore.integer_vector(F.col("e")).alias("vector"))
+    got = maxscore.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, (1 << 63) - 1), (3, 0), (2, -(1 << 63))]
+
+
+def test_search_skips_postings_that_cannot_matter():
+    """One heavy term decides; the light ones are read for the rows in question only."""
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-3, 3, (9000, 24))
+    vectors[:, 0] = rng.integers(0, 100_000, 9000)
+    read = []
+
+    class Seen(np.ndarray):
+        def __getitem__(self, key):
+            out = super().__getitem__(key)
+            if self.ndim == 2 and isinstance(key, tuple):
+                read.append(np.asarray(out).size)
+            return out
+
+    q = np.array([1000] + [1] * 23)
+    order = np.argsort(-vectors[:, 0], kind="stable")
+    postings = np.ascontiguousarray(vectors[order].T.astype(np.float64)).view(Seen)
+    ids, scores = maxscore._search_one(-1, q.astype(np.float64), order, postings, 5)
+    exact = vectors @ q
+    assert [(int(i), int(s)) for i, s in zip(ids, scores)] == [
+        (i, exact[i]) for i in sorted(range(9000), key=lambda i: (-exact[i], i))[:5]]
+    assert sum(read) < vectors.size * 0.35
+
+
 def test_search_of_few_or_none(spark):
     df = spark.createDataFrame([(0, [1, 2]), (0, [1, 2]), (5, [3, 4])], "vec_id long, vector array<long>")
     got = maxscore.top_k(df, F.col("vec_id") == 0).collect()
