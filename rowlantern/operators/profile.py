@@ -37,6 +37,27 @@ def top_values(rows: DataFrame, column: str, k: int = 10) -> DataFrame:
     return counts.orderBy(F.desc("n"), F.asc_nulls_last("value")).limit(k)
 
 
+def approx_top_values(rows: DataFrame, column: str, k: int = 10, tracked: int = 10_000) -> DataFrame:
+    """(value, n): frequent values from a mergeable sketch of ``tracked`` counters, whatever the number of values.
+
+    One sketch per task, merged: nothing is shuffled by value, where ``top_values``
+    shuffles a row per value.  Counts are exact while no more than ``tracked`` values
+    occur; beyond that n is never too small, and too large by at most
+    3.5 * rows / tracked.  NULL is a value, its count always exact; ties as in ``top_values``.
+    """
+    if not 0 < k <= tracked:
+        raise ValueError("k must be positive and not above the number of counters")
+    name = column.replace("`", "``")
+    # NULL rides beside the sketch: its count is always exact.
+    seen = rows.agg(F.expr(f"approx_top_k(`{name}`, {tracked}, {tracked})").alias("top"),
+                    F.count_if(F.col(f"`{name}`").isNull()).alias("nulls"))
+    # All counters, one bounded list, so that ties at the end are met by the order below.
+    top = seen.select(F.inline("top")).where("item is not null").select(F.col("item").alias("value"), F.col("count").alias("n"))
+    kind = top.schema["value"].dataType
+    nulls = seen.where("nulls > 0").select(F.lit(None).cast(kind).alias("value"), F.col("nulls").alias("n"))
+    return top.unionByName(nulls).orderBy(F.desc("n"), F.asc_nulls_last("value")).limit(k)
+
+
 def json_schema(records: DataFrame, column: str = "raw") -> DataFrame:
     """(path, kind, n): how often a kind of value stands at a path, with ``[*]`` for any index.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rowlantern import operators as op
 from rowlantern.functions.render import row_line, row_object
 from rowlantern.plans.tables import (
-    document_trees, documents, documents_as, event_props, field, table, table_as_csv)
+    document_trees, documents, documents_as, documents_in_order, event_props, field, table, table_as_csv)
 from rowlantern.session import scratch_path
 from rowlantern.sinks import export_records, export_subtree
 from rowlantern.sources import as_records, catalog, open_dataset, read_csv, read_json, read_jsonl
@@ -95,6 +95,29 @@ def get_record(spark, sf):
         "record_id", F.md5("raw").alias("raw_md5"), "bytes", "error")
 
 
+def _record_index(spark, sf):
+    index = scratch_path(spark, "record-index")
+    op.index_records(spark, documents_in_order(spark, sf), index, "jsonl")
+    return index
+
+
+def _numbered_documents(records, *columns):
+    return records.select("dataset_id", field("doc_id").cast("long").alias("doc_id"),
+                          F.md5(F.get_json_object("raw", "$.text")).alias("text_md5"), *columns)
+
+
+def indexed_lookup(spark, sf):
+    """All labelled documents by their number in the dataset, from the files that hold them."""
+    wanted = table(spark, sf, "labels").select("doc_id")
+    return _numbered_documents(op.lookup(spark, _record_index(spark, sf), wanted, locations=False))
+
+
+def indexed_page(spark, sf):
+    """A page of the dataset as a whole, from the files that hold it."""
+    page = op.dataset_page(spark, _record_index(spark, sf), 120, 25, locations=False)
+    return _numbered_documents(page, "next_id", "eof")
+
+
 def json_validity(spark, sf):
     props = event_props(spark, sf).select(F.lit("events").alias("src"), "raw")
     docs = documents(spark, sf).select(F.lit("documents").alias("src"), "raw")
@@ -133,6 +156,12 @@ def search_csv_capped(spark, sf):
     return hits.select((F.col("record_id") - 1).alias("record_id"), "hit_no", "truncated")
 
 
+def search_until_capped(spark, sf):
+    """The first hits of a folder of files, read in order and no further than needed."""
+    hits = op.first_hits(spark, documents_in_order(spark, sf), PHRASE, max_hits=100, fmt="jsonl", locations=False, preview_chars=40)
+    return hits.select(F.regexp_extract("preview", r'"doc_id":(\d+)', 1).cast("long").alias("doc_id"), "hit_no", "truncated")
+
+
 def indexed_search(spark, sf):
     """Whole words by an index of all documents: one word, and two in any order."""
     docs, folder = documents(spark, sf), scratch_path(spark, "word-index")
@@ -403,6 +432,12 @@ def stats_topk(spark, sf):
     return op.top_values(table(spark, sf, "events"), "event_type", 3)
 
 
+def stats_topk_approx(spark, sf):
+    """The most frequent days by a sketch with more counters than there are days."""
+    days = table(spark, sf, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
+    return op.approx_top_values(days, "day", 20)
+
+
 def stats_schema(spark, sf):
     return op.json_schema(document_trees(spark, sf))
 
@@ -423,15 +458,15 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 _ALL = (
     scan_parquet_records, scan_jsonl_records, scan_csv_records, scan_json_array_records, open_by_path, catalog_scan,
-    record_view, row_to_json, row_to_preview_line, get_record, json_validity,
-    search_substring, search_case_sensitive, search_key_value, search_rows, search_scan_all_capped, search_csv_capped,
+    record_view, row_to_json, row_to_preview_line, get_record, indexed_lookup, indexed_page, json_validity,
+    search_substring, search_case_sensitive, search_key_value, search_rows, search_scan_all_capped, search_csv_capped, search_until_capped,
     indexed_search, index_word_counts, search_hits_page, search_current_page, search_stream, subtree_search,
     occurrence_count, occurrence_total, match_spans,
     select_by_ids, select_search_hits, selection_union, selection_difference,
     next_page, page_at_offset,
     json_children, json_children_page, json_node_summary, json_subtree, json_select_children,
     subtree_as_records, json_nodes,
-    row_count, hits_by_group, export_summary, column_filter, stats_missing_rate, stats_topk, stats_schema, stats_schema_merged,
+    row_count, hits_by_group, export_summary, column_filter, stats_missing_rate, stats_topk, stats_topk_approx, stats_schema, stats_schema_merged,
     export_parquet_to_jsonl, export_parquet_to_json, export_jsonl_passthrough, export_jsonl_to_json,
     export_csv_passthrough, export_csv_to_jsonl, export_csv_to_json, export_json_to_jsonl, export_json_to_json,
     export_jsonl_to_csv, export_json_subtree,

@@ -46,6 +46,14 @@ def documents_as(spark: SparkSession, sf_dir: str, fmt: str) -> str:
     return out
 
 
+def documents_in_order(spark: SparkSession, sf_dir: str) -> str:
+    """All documents written as jsonl, so that the parts in order of their names hold them in order."""
+    docs = table(spark, sf_dir, "documents")
+    out = scratch_path(spark, "documents-in-order")
+    export_records(docs.select(*KEYS, F.to_json(F.struct("doc_id", "text")).alias("raw")), "parquet", "jsonl", out)
+    return out
+
+
 def table_as_csv(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> str:
     rows = table(spark, sf_dir, name).withColumn("row", row_in_part()).select(*columns, "row")
     out = scratch_path(spark, f"{name}-csv")
