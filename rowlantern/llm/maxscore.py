@@ -182,7 +182,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 81
         F.lit(True).alias("is_query"), "vec_id", "vector")
     tile = F.col("group").cast("long") * shards + F.col("shard")
     dealt = candidates.unionByName(asked).select(tile.alias("tile"), "is_query", "vec_id", "vector")
-    dealt = dealt.repartition(min(shards * groups, TILE_TASKS), "tile").sortWithinPartitions("tile", "is_query", "vec_id")
+    tasks = min(shards * groups, TILE_TASKS)
+    # By number, not by hash, so that every task has as many tiles as the next one.
+    dealt = dealt.repartitionById(tasks, F.pmod("tile", F.lit(tasks)).cast("int"))
+    dealt = dealt.sortWithinPartitions("tile", "is_query", "vec_id")
     hits = dealt.mapInArrow(_search_tiles(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
