@@ -13,7 +13,7 @@ from rowlantern.plans.tables import (
     document_trees, documents, documents_as, documents_in_order, event_props, field, table, table_as_csv)
 from rowlantern.session import scratch_path
 from rowlantern.sinks import export_records, export_subtree
-from rowlantern.sources import as_records, catalog, open_dataset, read_csv, read_json, read_jsonl
+from rowlantern.sources import as_records, catalog, open_dataset, read_csv, read_json, read_jsonl, read_standard_csv
 from rowlantern.streaming import start_search, stream_hits
 
 PHRASE = "of the"
@@ -53,6 +53,11 @@ def scan_csv_records(spark, sf):
     return _scanned_documents(read_csv(spark, path).where("record_id > 0"), first_id=1)
 
 
+def scan_standard_csv(spark, sf):
+    path = table_as_csv(spark, sf, "documents", ["doc_id", "lang", "source", "n_chars", "text"])
+    return _scanned_documents(read_standard_csv(spark, path), first_id=1)
+
+
 def open_by_path(spark, sf):
     """A folder opened by its format, with the layout found by itself."""
     return _scanned_documents(open_dataset(spark, documents_as(spark, sf, "json"), "json"))
@@ -457,7 +462,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = (
-    scan_parquet_records, scan_jsonl_records, scan_csv_records, scan_json_array_records, open_by_path, catalog_scan,
+    scan_parquet_records, scan_jsonl_records, scan_csv_records, scan_standard_csv, scan_json_array_records, open_by_path, catalog_scan,
     record_view, row_to_json, row_to_preview_line, get_record, indexed_lookup, indexed_page, json_validity,
     search_substring, search_case_sensitive, search_key_value, search_rows, search_scan_all_capped, search_csv_capped, search_until_capped,
     indexed_search, index_word_counts, search_hits_page, search_current_page, search_stream, subtree_search,

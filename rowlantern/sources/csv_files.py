@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowlantern.functions.render import row_line, row_object
+from rowlantern.session import materialise, pin_split_layout
 from rowlantern.sources import kernels
 from rowlantern.sources.splits import (
-    assemble, carried_splits, overview, scan_pieces, straddling_records)
+    SPLIT_KEY, assemble, attach_splits, carried_splits, overview, scan_pieces, straddling_records)
 
 
 def read_csv(spark: SparkSession, paths) -> DataFrame:
@@ -36,6 +38,32 @@ def read_csv(spark: SparkSession, paths) -> DataFrame:
     return whole.unionByName(located.mapInArrow(kernels.objects_from_lines, kernels.RECORDS_DDL))
 
 
+def read_standard_csv(spark: SparkSession, paths) -> DataFrame:
+    """Data records of files that the caller knows to follow RFC 4180, by Spark's own reader alone.
+
+    file, record_id, text, raw as ``read_csv`` numbers them (the header is record
+    0 and left out); ``text`` is the fields, tab-joined.  Every file has the same
+    header with distinct names.  A row with more or fewer fields ends the query;
+    blank lines are no records.  In a file whose lines end with CR LF, that pair
+    inside a field is read as LF.  A file is one task, so large files are better
+    left to ``read_csv``.
+    """
+    pin_split_layout(spark)
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    # Without pruning every row is measured against the header, whichever columns are asked for.
+    read = spark.read.option("columnPruning", "false").csv(
+        paths, header=True, multiLine=True, escape='"', mode="FAILFAST", enforceSchema=False)
+    names = read.columns
+    rows = read.select(F.struct("_metadata.*").alias("_of"), *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names])
+    pieces = rows.select(
+        F.col("_of.file_path").alias("file"), F.col("_of.file_block_start").alias("block_start"),
+        F.col("_of.file_block_length").alias("block_length"), F.monotonically_increasing_id().alias("seq"),
+        row_line(rows, names).alias("text"), row_object(rows, names).alias("raw"))
+    splits = materialise(pieces.groupBy(*SPLIT_KEY).agg(F.count("*").alias("n_pieces"), F.min("seq").alias("first_seq")))
+    numbered = attach_splits(pieces, splits, splits.count(), [])
+    return numbered.select("file", (F.col("piece") + 1).alias("record_id"), "text", "raw")
+
+
 def _check_headers(splits: DataFrame) -> None:
     """A header record that leaves its first split has no names to give the data rows."""
     bad = splits.groupBy("file").agg(
