@@ -37,6 +37,9 @@ _DELTA[list(b"}]")] = -1
 _ENDS_TOKEN = np.zeros(256, dtype=bool)
 _ENDS_TOKEN[list(BLANK + b'}],"[')] = True
 
+# Bytes of text that are looked at together: a kernel holds some 40 bytes for each.
+CHUNK_BYTES = 1 << 20
+
 _START = pa.struct([
     ("inside", pa.int32()), ("rel", pa.int32()), ("n", pa.int64()),
     ("first_piece", pa.int64()), ("first_byte", pa.int64()), ("first_off", pa.int64()),
@@ -107,11 +110,23 @@ def run_by_split(batches, begin, feed, finish):
                 if state is not None:
                     yield from finish(state)
                 state = begin(opened[a])
-            yield from feed(state, batch.slice(a, b - a))
+            for part in _portions(batch.slice(a, b - a)):
+                yield from feed(state, part)
     if state is not None:
         yield from finish(state)
 
 
+def _portions(rows):
+    """Rows in runs of about ``CHUNK_BYTES`` of text, so memory does not follow the size of a batch."""
+    ends = np.cumsum(_lengths(rows.column("value")) + 1)
+    a = 0
+    while a < rows.num_rows:
+        before = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, side="right")))
+        yield rows.slice(a, b - a)
+        a = b
+
+
 # --- CSV -----------------------------------------------------------------
 
 _CLOSING = re.compile(rb'[^"]*+(?:""[^"]*+)*+"')
@@ -366,20 +381,27 @@ def _quotes(buf):
     quote = buf == 0x22
     slash = buf == 0x5C
     if slash.any():
-        idx = np.arange(len(buf))
-        last_other = np.maximum.accumulate(np.where(slash, -1, idx))
-        at = np.flatnonzero(quote)
-        at = at[at > 0]
-        run = (at - 1) - last_other[at - 1]
-        quote[at[run % 2 == 1]] = False
+        # Of each backslash, the place where its run begins.
+        at = np.flatnonzero(slash)
+        opens = np.r_[True, np.diff(at) > 1]
+        begin = at[np.maximum.accumulate(np.where(opens, np.arange(len(at)), 0))]
+        odd = at[(at - begin) % 2 == 0] + 1
+        quote[odd[odd < len(buf)]] = False
     return quote
 
 
+def _offsets(values):
+    wide = np.int64 if pa.types.is_large_binary(values.type) or pa.types.is_large_string(values.type) else np.int32
+    return np.frombuffer(values.buffers()[1], wide)[values.offset:values.offset + len(values) + 1].astype(np.int64)
+
+
+def _lengths(values):
+    return np.diff(_offsets(values))
+
+
 def _packed(values):
     """Bytes of a binary column end to end, and each value's length plus a separator."""
-    wide = np.int64 if pa.types.is_large_binary(values.type) else np.int32
-    _, offsets, data = values.buffers()
-    offs = np.frombuffer(offsets, wide)[values.offset:values.offset + len(values) + 1].astype(np.int64)
+    offs, data = _offsets(values), values.buffers()[2]
     flat = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     return flat[offs[0]:offs[-1]], np.diff(offs) + 1
 
