@@ -108,7 +108,7 @@ def _alike_signs(least: np.ndarray, enough: int) -> np.ndarray:
     return same >= enough
 
 
-def _alike_sets(sets: list[np.ndarray], percent: int, width: int = 1 << 15) -> np.ndarray:
+def _alike_sets(sets: list[np.ndarray], percent: int, width: int = 1 << 13) -> np.ndarray:
     """Pairs of sets that are alike, from products of their incidence matrix, a slice of tokens at a time."""
     n = np.array([len(s) for s in sets])
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
@@ -273,7 +273,7 @@ class NodeJoin:
 
     def by_grid(self, large: DataFrame) -> DataFrame:
         """Everyone outside a node's largest component against all members, block by block."""
-        down, across = F.ceil(F.col("size") / self.leaf), F.ceil(F.col("others") / self.leaf)
+        down, across = (F.ceil(F.col(n) / (2 * self.leaf)) for n in ("size", "others"))
         hashed = F.xxhash64("cid", "node")
         span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
         key = F.xxhash64("node", "i", "j").alias("block")
@@ -282,6 +282,22 @@ class NodeJoin:
         return members.select(key, F.lit(MEMBER).alias("role"), "cid", "comp").unionByName(
             others.select(key, F.lit(PIVOT).alias("role"), "cid", "comp"))
 
+    def merged(self, nodes: DataFrame, most: int) -> DataFrame:
+        """Nodes of one largest component as one node, so that their pairs are compared once and not in every tree.
+
+        Only where at most ``most`` are then outside the component, so the node is
+        compared as a whole, and where that is no more pairs than the nodes have apart.
+        """
+        apart = nodes.select("main", "node", "size", "others").distinct().groupBy("main").agg(
+            F.sum(F.col("size") * F.col("others")).alias("apart"))
+        once = nodes.select("main", "cid", "comp").distinct()
+        whole = once.groupBy("main").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("comp") != F.col("main")).alias("others"))
+        whole = store(whole.join(apart, "main").where(
+            (F.col("others") <= most) & (F.col("size") * F.col("others") <= F.col("apart"))).drop("apart"), "whole")
+        kept = nodes.join(whole.select("main"), "main", "left_anti")
+        return kept.unionByName(once.join(whole, "main").withColumn("tree", F.lit(-1)).withColumn(
+            "node", F.xxhash64("main", F.lit("merged"))).select(kept.columns))
+
     def connect(self, roots: DataFrame, signs: DataFrame, fetch) -> DataFrame | None:
         """(v, c) of all classes that are linked with another; None if none is.
 
@@ -289,7 +305,7 @@ class NodeJoin:
         (cid, n, sign).  The first tree goes first: what it connects need not be
         compared in the others.  Large nodes meet their pivots; those that then
         still hold several components are compared in a grid if few are left
-        outside the largest, and branch otherwise.
+        outside the largest, those of one component together, and branch otherwise.
         """
         live = store(self.sized(roots), "nodes")
         small, large = live.where(F.col("size") <= self.leaf), live.where(F.col("size") > self.leaf)
@@ -317,7 +333,9 @@ class NodeJoin:
         left = store(self.ranked(self.open_nodes(large, comp)), "left")
         if not left.limit(1).count():
             return comp
-        few_left = F.col("others") <= 4 * self.leaf
+        most = 32 * self.leaf
+        few_left = F.col("others") <= most
+        left = store(self.merged(left, most), "merged")
         blocks, wide = self.by_grid(left.where(few_left)), left.where(~few_left)
         for _ in range(self.depth - 1):
             if not wide.limit(1).count():
