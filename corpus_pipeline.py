@@ -16,16 +16,26 @@ from rowlantern.llm.tables import ready, store
 LEAST_LANGUAGE_SCORE = 0.5
 #: Toxicity score from which on a document is rejected.
 TOXIC_FROM = 0.5
+#: Rows hold whole texts: an executor's cores each have a batch in the JVM and in Python.
+BATCH_ROWS = 1000
 #: Five-word shingles, alike from 0.8 on.
 SHINGLE, PERCENT = 5, 80
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session to ``BATCH_ROWS``; fewer, if it has them so, stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; `und` (null texts, texts without a letter) and unsure ones go.
 
     Without any ``lang`` to learn from, all stay.  Repeated rows are judged each;
     an empty table gives no rows; columns beyond those of documents stay.
     """
+    _small_batches(spark)
     return byte_gru.keep_identified(docs, LEAST_LANGUAGE_SCORE)
 
 
@@ -34,6 +44,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Unless ``labels`` has both kinds, all stay.  An empty table gives no rows; all columns stay.
     """
+    _small_batches(spark)
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TOXIC_FROM)
 
 
@@ -43,6 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null texts and texts without a word are alike to nothing and stay, as do
     rows without an id that are alike to nothing; an empty table gives no rows.
     """
+    _small_batches(spark)
     return chosen_path.keep_one(docs, shingle=SHINGLE, percent=PERCENT)
 
 
@@ -52,11 +64,13 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and short texts stay as they are; repeats inside a document are not
     removed; ``n_chars`` is counted anew; an empty table gives no rows.
     """
+    _small_batches(spark)
     return paragraphs.drop_passages(docs, length_col="n_chars", percent=PERCENT)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences of 4096 tokens; a null text is its end mark alone, repeated rows are packed each."""
+    _small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
