@@ -23,10 +23,10 @@ SHINGLE, PERCENT = 5, 80
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session to ``BATCH_ROWS``; fewer, if it has them so, stay."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Bound the batches of this session, Arrow's and those read from Parquet, to ``BATCH_ROWS``; fewer, if it has them so, stay."""
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowlantern.llm.tables import lean
+
 SPAN, SIDE = 64, 1024
 #: Documents of each label in a sample of however many labels.
 LEAST_SAMPLE = 16
@@ -255,7 +257,7 @@ def identify(docs: DataFrame, model: ByteGRU | None = None, id_col: str = "doc_i
     model = model or fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **bounds)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
                        F.col(text_col).alias("text"))
-    return rows.mapInArrow(predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(predictor(model)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, text_col: str = "text", **options) -> DataFrame:
@@ -269,5 +271,5 @@ def keep_identified(docs: DataFrame, least: float = 0.5, text_col: str = "text",
         return docs
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
     kind = docs.schema.simpleString()
-    judged = rows.mapInArrow(predictor(model), f"row {kind}, lang_pred string, score double")
+    judged = rows.mapInArrow(lean(predictor(model)), f"row {kind}, lang_pred string, score double")
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

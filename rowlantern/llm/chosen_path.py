@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rowlantern.llm import shingles as sh
 from rowlantern.llm.components import components
-from rowlantern.llm.tables import store
+from rowlantern.llm.tables import lean, store
 
 TOKENS, BRANCH, PIVOTS = 64, 2, 8
 MEMBER, PIVOT, PEER = 0, 1, 2
@@ -230,12 +230,12 @@ class NodeJoin:
         rows = blocks.join(signs, "cid").select("block", "role", "cid", "comp", "n", "sign")
         rows = rows.repartition("block").sortWithinPartitions("block", "role", "cid")
         rows = store(rows.mapInArrow(
-            _sieve(self.percent, self.enough), "block long, role int, cid long, comp long"), "likely")
+            lean(_sieve(self.percent, self.enough)), "block long, role int, cid long, comp long"), "likely")
         sets = fetch(rows.select("cid").distinct())
         rows = rows.join(signs, "cid").join(sets.select("cid", "tokens"), "cid").select(
             "block", "role", "cid", "comp", "sign", "tokens")
         rows = rows.repartition("block").sortWithinPartitions("block", "role", "cid")
-        return store(rows.mapInArrow(_confirm(self.percent, self.enough), "a long, b long"), "links")
+        return store(rows.mapInArrow(lean(_confirm(self.percent, self.enough)), "a long, b long"), "links")
 
     @staticmethod
     def open_nodes(members: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -341,7 +341,7 @@ class NodeJoin:
             if not wide.limit(1).count():
                 break
             children = wide.join(signs, "cid").select("tree", "node", "cid", "sign").mapInArrow(
-                _branch, "tree int, node long, cid long")
+                lean(_branch), "tree int, node long, cid long")
             level = store(self.open_nodes(self.sized(children), comp), "level")
             blocks = blocks.unionByName(peers(level.where(F.col("size") <= self.leaf)))
             wide = self.ranked(level.where(F.col("size") > self.leaf))
@@ -357,7 +357,7 @@ class _Documents(NodeJoin):
     def __init__(self, rows: DataFrame, size: int, percent: int, trees: int, leaf: int, depth: int):
         super().__init__(percent, leaf, depth)
         self.size = size
-        signed = rows.mapInArrow(_sign(size, trees), SIGNED)
+        signed = rows.mapInArrow(lean(_sign(size, trees)), SIGNED)
         self.signed = store(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
         some = self.signed.where("n > 0")
         # Equal sets are one class, named by its first row.
@@ -372,7 +372,7 @@ class _Documents(NodeJoin):
         wanted = store(wanted, "wanted")
         n = wanted.count()
         texts = docs.join(few(wanted), docs["doc_id"].eqNullSafe(F.col("own"))).select("cid", "digest", "text")
-        sets = store(texts.mapInArrow(_sets(self.size), "cid long, tokens binary"), "sets")
+        sets = store(texts.mapInArrow(lean(_sets(self.size)), "cid long, tokens binary"), "sets")
         if sets.count() > n:  # repeated rows
             sets = store(sets.dropDuplicates(["cid"]), "sets")
         return sets

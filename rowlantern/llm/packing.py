@@ -10,6 +10,7 @@ is padded.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rowlantern.llm.tables import store
+from rowlantern.llm.tables import lean, store
 
 ENDS = (".", ",")
 MARK = "<|"  # special tokens begin with it
-CACHED_WORDS, CACHED_BASES, BATCH = 500_000, 500_000, 4096
+#: Some 170 bytes each; of bases there are up to twice as many.
+CACHED_WORDS, CACHED_BASES, BATCH = 250_000, 125_000, 4096
 LAST_LATIN = "\xff"
 
 
@@ -58,11 +60,14 @@ class WordCoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+        self.ends = {"": b"", **{c: self._ids([c])[0] for c in ENDS}}
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
         # Words without a last stop or comma, in lower case: the newer and the older half.
         self.bases: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.ends = {"": b"", **{c: self._ids([c])[0] for c in ENDS}}
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e)}I", *e.ids)
@@ -182,14 +187,19 @@ def _pack_task(path: str, end_id: int, size: int, windows: int):
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]):
+        # Words come a few at a time, and each core has a worker: threads would only add memory and time.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         packer, own, task, first = Packer(size, windows), coder(path), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = own.encode(text.as_py() or "") + tail
-                more, first = _rows(packer.add(Piece(doc_id, 0, ids, len(ids) // 4)), task, False, first)
-                rows += more
-            yield _batch(rows)
+        try:
+            for batch in batches:
+                rows = []
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    ids = own.encode(text.as_py() or "") + tail
+                    more, first = _rows(packer.add(Piece(doc_id, 0, ids, len(ids) // 4)), task, False, first)
+                    rows += more
+                yield _batch(rows)
+        finally:  # the worker stays for other stages
+            own.forget()
         left = [held for _, held in packer.open]
         yield _batch(_rows(left, task, True, first)[0])
 
@@ -244,12 +254,12 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096, windows:
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # Written once: both parts below must come from the same run of the first pass.
-    pieces = store(rows.mapInArrow(_pack_task(path, end_id, size, windows), PIECE_SQL), "packed")
+    pieces = store(rows.mapInArrow(lean(_pack_task(path, end_id, size, windows)), PIECE_SQL), "packed")
     done = pieces.where("ids is null").withColumn("sequence_id", F.col("task") * (1 << 40) + F.col("sequence") * 2)
     group = F.floor(F.col("task") / merge)
     left = pieces.where("ids is not null").withColumn("task", group).repartition("task").sortWithinPartitions(
         "task", "doc_id", "start", "ids_crc32")
-    merged = left.mapInArrow(_merge_task(size), PIECE_SQL).withColumn(
+    merged = left.mapInArrow(lean(_merge_task(size)), PIECE_SQL).withColumn(
         "sequence_id", F.col("task") * (1 << 40) + F.col("sequence") * 2 + 1)
     return done.unionByName(merged).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

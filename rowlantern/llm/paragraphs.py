@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from rowlantern.llm import shingles as sh
 from rowlantern.llm.chosen_path import TOKENS, NodeJoin, few
-from rowlantern.llm.tables import store
+from rowlantern.llm.tables import lean, store
 
 #: Words of a paragraph, and of what is removed, at least.
 WORDS = 24
@@ -262,7 +262,7 @@ def _alike_paragraphs(rows: DataFrame, cut: DataFrame, shared: DataFrame, percen
                                 F.col("cid").alias("name"))).alias("places"))
     places = store(places, "places")
     texts = rows.join(few(places, "places"), rows["doc_id"].eqNullSafe(F.col("own"))).select("text", "places")
-    sets = store(texts.mapInArrow(_tokens, "cid long, n long, sign binary, tokens binary"), "sets")
+    sets = store(texts.mapInArrow(lean(_tokens), "cid long, n long, sign binary, tokens binary"), "sets")
     counts = sets.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cid").alias("cids")).first()
     if counts["n"] > counts["cids"]:  # repeated rows
         sets = store(sets.dropDuplicates(["cid"]), "sets")
@@ -284,7 +284,7 @@ def repeated_passages(docs: DataFrame, percent: int = 80, leaf: int = 64, depth:
     columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = store(rows.mapInArrow(_cut, PIECE_SQL), "pieces").withColumn("doc", F.coalesce("doc_id", F.lit(LARGEST)))
+    cut = store(rows.mapInArrow(lean(_cut), PIECE_SQL), "pieces").withColumn("doc", F.coalesce("doc_id", F.lit(LARGEST)))
     shared = store(cut.groupBy("name").agg(F.min("doc").alias("keeper"), F.max("doc").alias("largest")).where(
         "keeper < largest").select("name", "keeper"), "shared")
     held = store(cut.join(_some(shared), "name").select(
@@ -379,7 +379,7 @@ def _longer(rows: DataFrame, runs: DataFrame, kept: DataFrame) -> DataFrame:
         F.collect_list("at").alias("places")), "edges")
     texts = rows.join(few(places, "places"), rows["doc_id"].eqNullSafe(F.col("own"))).select("own", "text", "places")
     sides = store(texts.mapInArrow(
-        _sides, "doc_id long, stays boolean, side int, start int, name long, near binary"), "sides")
+        lean(_sides), "doc_id long, stays boolean, side int, start int, name long, near binary"), "sides")
     # One row for each seed and side, whatever the number of its repeats.
     theirs = sides.where("stays").groupBy("name", "side").agg(
         F.first("doc_id").alias("first_doc_id"), F.collect_set("near").alias("theirs"))
@@ -388,7 +388,7 @@ def _longer(rows: DataFrame, runs: DataFrame, kept: DataFrame) -> DataFrame:
     theirs = F.broadcast(theirs) if rows_of <= BROADCAST_SIDES else theirs
     pairs = sides.where("not stays").join(theirs, ["name", "side"]).select(
         "doc_id", "first_doc_id", "side", "start", "near", "theirs")
-    return pairs.mapInArrow(_reach, "doc_id long, first_doc_id long, start int, end int")
+    return pairs.mapInArrow(lean(_reach), "doc_id long, first_doc_id long, start int, end int")
 
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -429,7 +429,7 @@ def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     clean = docs.join(few(runs.select("own")), on, "left_anti")
     rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     touched = docs.join(few(runs, "runs"), on).select(rows, F.col(text_col).alias("text"), "runs")
-    cut = touched.mapInArrow(_apply, f"row {docs.schema.simpleString()}, rest string").where("rest <> ''")
+    cut = touched.mapInArrow(lean(_apply), f"row {docs.schema.simpleString()}, rest string").where("rest <> ''")
     put = {text_col: F.col("rest")} | ({length_col: F.length("rest").cast(docs.schema[length_col].dataType)}
                                        if length_col else {})
     return clean.unionByName(cut.select(*[put[c].alias(c) if c in put else F.col("row").getField(c).alias(c)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowlantern.llm.tables import lean
+
 SEED = frozenset("idiot idiots stupid moron morons scum loser losers trash pathetic worthless disgusting clown dumb "
                  "imbecile jerk".split())
 PERSONS = frozenset("you your you're u du dich dir dein deine ihr euch tu te toi ton ta vous votre usted tú ti vos"
@@ -299,7 +301,7 @@ def score(docs: DataFrame, labels: DataFrame, model: Scorer | None = None, id_co
     model = model or fit(docs, labels, id_col=id_col, text_col=text_col, **bounds)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
                        F.col(text_col).alias("text"))
-    out = rows.mapInArrow(scorer(model), "doc_id long, held_out boolean, score double")
+    out = rows.mapInArrow(lean(scorer(model)), "doc_id long, held_out boolean, score double")
     return out.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -314,5 +316,5 @@ def keep_clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5, text_col:
     if model.trees is None:
         return docs
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    judged = rows.mapInArrow(scorer(model), f"row {docs.schema.simpleString()}, score double")
+    judged = rows.mapInArrow(lean(scorer(model)), f"row {docs.schema.simpleString()}, score double")
     return judged.where(F.col("score") < limit).select("row.*")
